@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .media import op3_media
+from .minhash import op9_minhash
 from .packing import op5_packing
+from .winnowing import op1_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_winnowing": op1_winnowing,
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
+        "op9_minhash": op9_minhash,
     }
 
 
