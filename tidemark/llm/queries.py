@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .langid import op7_langid
 from .media import op3_media
 from .minhash import op9_minhash
 from .packing import op5_packing
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
+        "op7_langid": op7_langid,
         "op9_minhash": op9_minhash,
     }
 
