@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .langid import op7_langid
+from .linededup import ORACLE as LINEDEDUP
+from .linededup import op8_linededup
 from .media import op3_media
 from .minhash import op9_minhash
 from .packing import op5_packing
+from .warc import ORACLE as WARC
+from .warc import op10_warc
 from .winnowing import op1_winnowing
 
 
@@ -21,9 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
         "op7_langid": op7_langid,
+        "op8_linededup": op8_linededup,
         "op9_minhash": op9_minhash,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_linededup": LINEDEDUP, "op10_warc": WARC}
