@@ -13,6 +13,7 @@ from .linededup import op8_linededup
 from .media import op3_media
 from .minhash import op9_minhash
 from .packing import op5_packing
+from .pii import op2_pii
 from .warc import ORACLE as WARC
 from .warc import op10_warc
 from .winnowing import op1_winnowing
@@ -21,6 +22,7 @@ from .winnowing import op1_winnowing
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": op1_winnowing,
+        "op2_pii": op2_pii,
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
