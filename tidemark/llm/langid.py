@@ -215,47 +215,70 @@ def train(labelled: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> Mo
     return model
 
 
+class Judge:
+    """Judges texts one by one, with a bounded memory of the scores of words."""
+
+    def __init__(self, model: Model | None):
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.table = np.empty((0, 1 + len(model.languages) if model else 1))
+
+    def numbers(self, words: list[str]) -> list[int]:
+        known = self.known
+        if len(known) > MEMORY_WORDS:
+            known.clear()
+        new = list({w for w in words if w not in known})
+        if new:
+            used = len(known)
+            scored = self.model.score_words(new)
+            if used + len(scored) > len(self.table):  # grow by half at least, so that copying stays in proportion
+                self.table = np.concatenate((self.table[:used], np.empty((max(len(scored), used // 2, 10_000), self.table.shape[1]))))
+            self.table[used : used + len(scored)] = scored
+            known.update(zip(new, range(used, used + len(new)), strict=True))
+        return [known[w] for w in words]
+
+    def __call__(self, text: str | None) -> tuple[str, float, float | None, bool]:
+        """Language, score, cross-entropy, whether it is rejected."""
+        words = letter_words(text) if self.model else []
+        if not words:
+            return UNKNOWN, 0.0, None, True
+        own = self.model
+        at = self.numbers(words)
+        sums = self.table[at].sum(0)
+        loss = -sums[:-1] / sums[-1]
+        best = int(np.argmin(loss))
+        score = 1 / np.exp(-(loss - loss[best]) * min(sums[-1], SHARPNESS)).sum()
+        limit = own.mean[best] + DEVIATIONS * own.spread[best] / len(words) ** 0.5 + LEEWAY
+        return own.languages[best], float(score), float(loss[best]), bool(loss[best] > limit)
+
+
 def predict(docs: DataFrame, model: Model | None, fold: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected: one row a document, no exchange."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        own = shared.value
-        known: dict[str, int] = {}
-        table = None
+        judge = Judge(shared.value)
         for part in pieces(batches):
-            texts = [letter_words(t) if own else [] for t in part.column(1).to_pylist()]
-            if len(known) > MEMORY_WORDS:
-                known, table = {}, None
-            new = list({w for words in texts for w in words if w not in known})
-            if new:
-                scored = own.score_words(new)
-                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                if table is None:
-                    table, used = scored, len(scored)
-                else:
-                    if used + len(scored) > len(table):  # grow by half at least, so that copying stays in proportion
-                        table = np.concatenate((table[:used], np.empty((max(len(scored), used // 2), table.shape[1]))))
-                    table[used : used + len(scored)] = scored
-                    used += len(scored)
-            out = []
-            for key, words in zip(part.column(0).to_pylist(), texts, strict=True):
-                is_held = id_crc32(key) % fold == held
-                if not words:
-                    out.append((key, is_held, UNKNOWN, 0.0, None, True))
-                    continue
-                sums = table[[known[w] for w in words]].sum(0)
-                loss = -sums[:-1] / sums[-1]
-                best = int(np.argmin(loss))
-                score = 1 / np.exp(-(loss - loss[best]) * min(sums[-1], SHARPNESS)).sum()
-                limit = own.mean[best] + DEVIATIONS * own.spread[best] / len(words) ** 0.5 + LEEWAY
-                out.append((key, is_held, own.languages[best], float(score), float(loss[best]), bool(loss[best] > limit)))
+            out = [(key, id_crc32(key) % fold == held, *judge(text)) for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
             kinds = (pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def accept(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` without the rows that the model rejects; texts cross to Python and back once, no exchange."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        judge = Judge(shared.value)
+        for part in pieces(batches):
+            keep = [not r[-1] for r in map(judge, part.column("text").to_pylist())]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predict(docs, train(docs.where(crc_fold("doc_id", 3) != 1)))

@@ -179,5 +179,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows that near_duplicates() doesn't keep: of each group the least doc_id stays."""
+    found = near_duplicates(docs, percent)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)

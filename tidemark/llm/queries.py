@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .gru import op6_gru
 from .langid import op7_langid
 from .linededup import ORACLE as LINEDEDUP
 from .linededup import op8_linededup
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_bpe": op4_bpe,
         "op5_packing": op5_packing,
+        "op6_gru": op6_gru,
         "op7_langid": op7_langid,
         "op8_linededup": op8_linededup,
         "op9_minhash": op9_minhash,
