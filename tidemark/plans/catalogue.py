@@ -126,19 +126,21 @@ covs as (select a.i, a.j, a.bar, any_value(a.n) as n,
 # --- sources, returns ----------------------------------------------------------------------
 
 
-@query(f"with {BARS} select date::varchar as date, ticker, {o6('close', 'close')} from bars")
+@query(f"with {BARS} select date::varchar as date, ticker, {o6('ln(close)', 'log_close')} from bars")
 def price_bars(spark, sf_dir):
-    return rounded(regions(spark, sf_dir), "close")
+    return regions(spark, sf_dir).select("date", "ticker", r6(F.log("close")).alias("log_close"))
 
 
-@query(f"with {BARS} select date::varchar as date, ticker, {o6('close', 'close')} from bars where ticker in ('ASIA', 'EUROPE')")
+@query(f"with {BARS} select date::varchar as date, ticker, {o6('ln(close)', 'log_close')} from bars where ticker in ('ASIA', 'EUROPE')")
 def ticker_filter(spark, sf_dir):
-    return rounded(regions(spark, sf_dir).where(F.col("ticker").isin("ASIA", "EUROPE")), "close")
+    rows = regions(spark, sf_dir).where(F.col("ticker").isin("ASIA", "EUROPE"))
+    return rows.select("date", "ticker", r6(F.log("close")).alias("log_close"))
 
 
-@query(f"with {BARS} select date::varchar as date, " + ", ".join(f"round(max(close) filter (ticker = '{t}'), 6) + 0.0 as \"{t}\"" for t in REGIONS) + " from bars group by date")
+@query(f"with {BARS} select date::varchar as date, " + ", ".join(f"round(ln(max(close) filter (ticker = '{t}')), 6) + 0.0 as \"{t}\"" for t in REGIONS) + " from bars group by date")
 def wide_panel(spark, sf_dir):
-    return rounded(P.wide_panel(regions(spark, sf_dir), list(REGIONS)), *REGIONS)
+    wide = P.wide_panel(regions(spark, sf_dir), list(REGIONS))
+    return wide.select("date", *[r6(F.log(t)).alias(t) for t in REGIONS])
 
 
 @query(f"with {BARS}, {RETURNS} select date::varchar as date, ticker, {o6('r', 'log_return')}, {o6('close / lag(close) over (partition by ticker order by date) - 1', 'simple_return')} from rets")
@@ -153,9 +155,10 @@ def bad_tick_filter(spark, sf_dir):
 
 
 @query(f"""with {BARS}, grid as (select * from (select distinct date from bars), (select distinct ticker from bars))
-select date::varchar as date, ticker, {o6('close', 'close')}, round(last_value(close ignore nulls) over (partition by ticker order by date), 6) + 0.0 as sticky from grid left join bars using (date, ticker)""")
+select date::varchar as date, ticker, {o6('ln(close)', 'log_close')}, round(ln(last_value(close ignore nulls) over (partition by ticker order by date)), 6) + 0.0 as log_sticky from grid left join bars using (date, ticker)""")
 def sticky_prices(spark, sf_dir):
-    return rounded(P.dense_panel(regions(spark, sf_dir)), "close", "sticky")
+    rows = P.dense_panel(regions(spark, sf_dir))
+    return rows.select("date", "ticker", r6(F.log("close")).alias("log_close"), r6(F.log("sticky")).alias("log_sticky"))
 
 
 @query(f"""with {BARS}, {RETURNS}, {NUMBERED}, grid as (select * from numbered, (select distinct ticker from bars))
@@ -201,9 +204,9 @@ def rolling_std_63(spark, sf_dir):
     return rows.select("date", "ticker", r6(FE.rolling_std("log_return", 63)).alias("std"))
 
 
-@query(f"with {BARS} select date::varchar as date, ticker, round(lag(close, 252) over (partition by ticker order by date), 6) + 0.0 as before from bars")
+@query(f"with {BARS} select date::varchar as date, ticker, round(ln(lag(close, 252) over (partition by ticker order by date)), 6) + 0.0 as log_before from bars")
 def lag_252(spark, sf_dir):
-    return regions(spark, sf_dir).select("date", "ticker", r6(FE.lagged("close", 252)).alias("before"))
+    return regions(spark, sf_dir).select("date", "ticker", r6(F.log(FE.lagged("close", 252))).alias("log_before"))
 
 
 @query(f"with {BARS} select date::varchar as date, ticker, round(ln(lag(close, 21) over w / lag(close, 252) over w), 6) + 0.0 as raw from bars window w as (partition by ticker order by date)")
