@@ -86,9 +86,9 @@ def vol_scaled_momentum(panel: DataFrame, lookbacks=LOOKBACKS) -> DataFrame:
     return rows.select("date", "ticker", *[c.alias(n) for n, c in found.items()])
 
 
-def winsorised(rows: DataFrame, value: str, out: str, *, halflife: float = WINSOR_HALFLIFE, width: float = WINSOR_WIDTH) -> DataFrame:
+def winsorised(rows: DataFrame, value: str, out: str, *, halflife: float = WINSOR_HALFLIFE, width: float = WINSOR_WIDTH, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
     """Clip to the running mean +- ``width`` deviations, the current value included; unchanged while these are cold."""
-    rows = ewm_moments(rows, ["ticker"], "date", value, "__mean", "__dev", halflife=halflife)
+    rows = ewm_moments(rows, list(keys), "date", value, "__mean", "__dev", halflife=halflife)
     low, high = F.col("__mean") - width * F.col("__dev"), F.col("__mean") + width * F.col("__dev")
     return rows.withColumn(out, F.least(F.greatest(F.col(value), low), high)).drop("__mean", "__dev")
 
@@ -98,8 +98,10 @@ def feature_panel(panel: DataFrame, squash_momentum: bool = False, squash_macd:
     names = [*(f"mom_{k}" for k in LOOKBACKS), *(f"macd_{s}_{l}" for s, l in MACD_PAIRS)]
     rows = vol_scaled_momentum(panel).join(macd(panel), ["date", "ticker"])
     rows = rows.withColumns({n: response(F.col(n)) for n in names if (squash_momentum if n.startswith("mom") else squash_macd)})
-    if winsorise:
-        for n in names:
-            clipped = winsorised(rows.select("date", "ticker", n), n, f"__{n}").select("date", "ticker", f"__{n}")
-            rows = rows.join(clipped, ["date", "ticker"], "left").drop(n).withColumnRenamed(f"__{n}", n)
-    return rows.select("date", "ticker", *names)
+    if not winsorise:
+        return rows.select("date", "ticker", *names)
+    # one scan for all features, keyed by ticker and feature
+    long = rows.unpivot(["date", "ticker"], names, "feature", "value")
+    clipped = winsorised(long.where("value is not null"), "value", "clipped", keys=("ticker", "feature"))
+    wide = clipped.groupBy("date", "ticker").pivot("feature", names).agg(F.first("clipped"))
+    return panel.select("date", "ticker").join(wide, ["date", "ticker"], "left").select("date", "ticker", *names)

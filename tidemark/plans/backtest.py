@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import matrices as M
+from ..functions.lineage import settled
 from ..operators.crosssection import TRADING_DAYS, summary
 from ..operators.ewm import alpha, ewm_moments
 from ..operators.features import VOL_SPAN, macd_score
@@ -148,7 +149,7 @@ def _optimised(snap: dict, scores: dict, value: dict, equity: float, leg: Leg) -
 
 def macd_legs(panel: DataFrame, legs: list[Leg]) -> DataFrame:
     """Trend-scored legs over one panel; scores are computed once for all of them."""
-    return run_legs(leg_inputs(panel, macd_score(panel)), legs)
+    return run_legs(settled(leg_inputs(panel, settled(macd_score(panel)))), legs)
 
 
 def equity_curve(run: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import settled
 from ..operators import crosssection as X
 from ..operators import ewm as E
 from ..operators import factors as FA
@@ -542,27 +543,27 @@ CONFIG = R.Config(REGIONS, (("World", 1, {t: 0.2 for t in REGIONS}), ("East", 2,
 
 @query()
 def risk_model(spark, sf_dir):
-    return R.snapshots(regions(spark, sf_dir), CONFIG)
+    return R.snapshots(settled(regions(spark, sf_dir)), CONFIG)
 
 
 @query()
 def model_risk_shares(spark, sf_dir):
-    panel = regions(spark, sf_dir)
-    snaps = R.snapshots(panel, CONFIG)
+    panel = settled(regions(spark, sf_dir))
+    snaps = settled(R.snapshots(panel, CONFIG))
     held = snaps.select("bar", F.explode("tickers").alias("ticker")).withColumn("weight", F.lit(0.2))
     return R.risk(snaps, held)
 
 
 @query()
 def model_factor_returns(spark, sf_dir):
-    panel = regions(spark, sf_dir)
-    return R.factor_returns(R.snapshots(panel, CONFIG), R.bar_inputs(panel, CONFIG)[0])
+    panel = settled(regions(spark, sf_dir))
+    return R.factor_returns(settled(R.snapshots(panel, CONFIG)), R.bar_inputs(panel, CONFIG)[0])
 
 
 @query()
 def model_residual_correlations(spark, sf_dir):
-    panel = regions(spark, sf_dir)
-    snaps = R.snapshots(panel, CONFIG)
+    panel = settled(regions(spark, sf_dir))
+    snaps = settled(R.snapshots(panel, CONFIG))
     last = snaps.agg(F.max("bar").alias("last"))
     return B.worst_pairs(B.residual_correlations(snaps.join(F.broadcast(last), F.col("bar") == F.col("last")), R.bar_inputs(panel, CONFIG)[1].select("bar", "pairs")))
 
@@ -580,8 +581,8 @@ def backtest_metrics(spark, sf_dir):
 
 @query()
 def backtest_optimized(spark, sf_dir):
-    panel = regions(spark, sf_dir)
-    snaps = R.snapshots(panel, CONFIG).join(P.bar_numbers(panel), "bar")
+    panel = settled(regions(spark, sf_dir))
+    snaps = settled(R.snapshots(panel, CONFIG)).join(P.bar_numbers(panel), "bar")
     inputs = B.leg_inputs(panel, FE.macd_score(panel))
     return B.equity_curve(B.run_legs(inputs, [B.Leg("optimised", "optimized", max_gross=2.0)], snaps))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import matrices as M
+from ..functions.lineage import settled
 from ..operators.ewm import ewm_covariance, ewm_moments
 from ..sources.panel import bar_numbers, good_ticks, with_returns
 
@@ -68,14 +69,16 @@ def _matrix(values, rows: int) -> np.ndarray:
 def bar_inputs(panel: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """Returns (bar, ticker, value), and a row a bar: bar, pairs of covariances, raw momentum."""
     panel = good_ticks(panel.where(F.col("ticker").isin(list(config.tickers))))
-    bars = bar_numbers(panel)
+    bars = settled(bar_numbers(panel))
     order = Window.partitionBy("ticker").orderBy("date")
     rows = with_returns(panel).withColumn("raw", F.log(F.lag("close", config.skip).over(order) / F.lag("close", config.lookback).over(order)))
     rows = rows.join(bars, "date").select("bar", "ticker", F.col("log_return").alias("value"), "raw")
+    rows = settled(rows)
     returns = rows.select("bar", "ticker", "value").where("value is not null")
     short = ewm_covariance(returns, span=config.vol_span, periods=config.vol_span).withColumnRenamed("cov", "v").drop("n")
     long = ewm_covariance(returns, span=config.corr_span, periods=config.corr_periods).withColumnRenamed("cov", "s").drop("n")
     both = short.join(long, ["bar", "i", "j"])
+    both = settled(both)
     grid = bars.select("bar").crossJoin(F.broadcast(both.select("i", "j").distinct()))
     held = Window.partitionBy("i", "j").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
     full = grid.join(both, ["bar", "i", "j"], "left").select("bar", "i", "j", *[F.last(c, True).over(held).alias(c) for c in ("s", "v")])
@@ -225,11 +228,12 @@ SNAPSHOT = "bar long, tickers array<string>, factors array<string>, b array<doub
 def snapshots(panel: DataFrame, config: Config) -> DataFrame:
     """One row for each bar with a ready model: covariance is B F B' + diag(D)."""
     returns, inputs = bar_inputs(panel, config)
-    bars = bar_numbers(good_ticks(panel.where(F.col("ticker").isin(list(config.tickers)))))
-    blocks = macro_blocks(inputs, config).cache()
-    loaded = loadings(blocks, momentum_states(blocks, returns, bars, config), config).cache()
+    bars = settled(bar_numbers(good_ticks(panel.where(F.col("ticker").isin(list(config.tickers))))))
+    blocks = settled(macro_blocks(inputs, config))
+    states = settled(momentum_states(blocks, returns, bars, config))
+    loaded = settled(loadings(blocks, states, config))
     rows = loaded.join(eigen_biases(loaded, config), "bar") if config.eigen else loaded.withColumn("bias", F.lit(None).cast("array<double>"))
-    eps = residuals(loaded, returns)
+    eps = settled(residuals(loaded, returns))
     spread = ewm_moments(eps, ["ticker"], "bar", "eps", "__m", "std", span=config.vol_span, periods=config.vol_span).select("bar", "ticker", "std")
     grid = loaded.select("bar", F.explode("tickers").alias("ticker"))
     held = Window.partitionBy("ticker").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
