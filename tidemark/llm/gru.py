@@ -37,8 +37,10 @@ KNOWN = 200_000
 COUNTED_AT_ONCE = 500_000
 #: Rounds of training; each takes one of SHARES parts of the training documents, by their ids.
 ROUNDS, SHARES = 3, 16
-LANES, STEPS, RATE = 64, 16, 0.01
-SCORE_LANES, SCORE_STEPS, SCORE_TOKENS = 512, 32, 3_000_000
+LANES, STEPS, RATE = 256, 16, 0.02
+SCORE_LANES, SCORE_STEPS, SCORE_TOKENS = 512, 32, 6_000_000
+#: Tokens after which training starts from the zero state again, so that lanes are of equal length.
+SEGMENT = 512
 SMOOTH = 0.1
 
 
@@ -180,24 +182,48 @@ def score_block(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 
 
 class Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v, self.k, self.rate = np.zeros(size, "f4"), np.zeros(size, "f4"), 0, rate
+    """Moments of each weight; updates in place."""
 
-    def update(self, grad: np.ndarray) -> np.ndarray:
+    def __init__(self, net: Network, rate: float):
+        self.m = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
+        self.v = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
+        self.k, self.rate = 0, rate
+
+    def update(self, net: Network, grads: dict[str, np.ndarray], scale: float) -> None:
         self.k += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.01 * (grad**2 - self.v)
-        return self.rate * (self.m / (1 - 0.9**self.k)) / (np.sqrt(self.v / (1 - 0.99**self.k)) + 1e-8)
+        size = self.rate / (1 - 0.9**self.k)
+        for n, g in grads.items():
+            g *= scale
+            m, v = self.m[n], self.v[n]
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.99
+            g *= g
+            v += 0.01 * g
+            np.divide(v, 1 - 0.99**self.k, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= size
+            weights = getattr(net, n)
+            weights -= g
 
 
 def train_block(net: Network, docs: list[np.ndarray], rate: float = RATE) -> Network:
-    """Truncated backpropagation over windows of STEPS tokens; states, not gradients, cross windows."""
-    tokens, owner, _ = streams(docs, LANES)
-    width = tokens.shape[1]
-    first = np.vstack((np.ones((1, width), bool), owner[1:] != owner[:-1]))
-    adam, h = Adam(net.flat().size, rate), np.zeros((width, STATE), "f4")
-    for at in range(0, len(tokens), STEPS):
-        span = range(at, min(at + STEPS, len(tokens)))
+    """Truncated backpropagation over windows of STEPS tokens; states, not gradients, cross windows.
+
+    Lanes come longest first, so those in use in a window are the first ones.
+    """
+    docs = [d[k : k + SEGMENT] for d in docs for k in range(0, len(d), SEGMENT)]
+    all_tokens, all_owner, used = streams(docs, LANES)
+    all_first = np.vstack((np.ones((1, all_tokens.shape[1]), bool), all_owner[1:] != all_owner[:-1]))
+    net = net.filled(net.flat())
+    adam, h = Adam(net, rate), np.zeros((all_tokens.shape[1], STATE), "f4")
+    for at in range(0, len(all_tokens), STEPS):
+        span = range(min(STEPS, len(all_tokens) - at))
+        width = used[at]
+        tokens, owner, first = (x[at : at + STEPS, :width] for x in (all_tokens, all_owner, all_first))
+        h = h[:width]
         kept, before = [], []
         for t in span:
             h = h * ~first[t][:, None]
@@ -224,11 +250,14 @@ def train_block(net: Network, docs: list[np.ndarray], rate: float = RATE) -> Net
             da = np.concatenate((dz, dr, dn * r), 1)
             grads["recur"] += before[i].T @ da
             back = back * z + da @ net.recur.T + out[i]
-            back = back * ~first[span[i]][:, None]
-        np.add.at(grads["inputs"], np.concatenate([tokens[t] for t in span])[flat], all_x.reshape(-1, 3 * STATE)[flat])
-        grad = np.concatenate([grads[n].ravel() for n in net.NAMES]) / max(1, flat.sum())
-        norm = float(np.sqrt((grad**2).sum()))
-        net = net.filled(net.flat() - adam.update(grad * min(1.0, 1.0 / max(norm, 1e-9))))
+            back = back * ~first[i][:, None]
+        fed = tokens.ravel()[flat]
+        order = np.argsort(fed, kind="stable")
+        rows, starts = np.unique(fed[order], return_index=True)
+        grads["inputs"][rows] = np.add.reduceat(all_x.reshape(-1, 3 * STATE)[flat][order], starts, axis=0)
+        count = max(1, int(flat.sum()))
+        norm = sum(float((g.astype("f8") ** 2).sum()) for g in grads.values()) ** 0.5 / count
+        adam.update(net, grads, min(1.0, 1.0 / max(norm, 1e-9)) / count)
     return net
 
 
@@ -244,10 +273,39 @@ class Lexicon:
     rest_kinds: np.ndarray
     net: Network | None = field(default=None)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def prepare(self) -> None:
+        """The known words' places, and by place the number and the logs of the base and in-class shares."""
+        words = [*self.counts, *(() if END in self.counts else (END,))]
+        head = len(self.number)
+        counts = np.array([self.counts.get(w, 0) for w in words], float)
+        classes = np.array([rest_class(w) for w in words])
+        in_head = np.array([w in self.number for w in words])
+        self.place = {w: i for i, w in enumerate(words)}
+        self.numbered = np.array([self.number.get(w, head + r) for w, r in zip(words, classes.tolist(), strict=True)], "i4")
+        self.log_base = np.log10((counts + SMOOTH) / self.base_total())
+        self.log_rest = np.where(in_head, 0.0, np.log10((counts + SMOOTH) / self.rest_total()[classes]))
+        self.seen = counts > 0
+
+    def base_total(self) -> float:
+        return self.tokens + SMOOTH * (self.kinds + 1)
+
+    def rest_total(self) -> np.ndarray:
+        return self.rest_tokens + SMOOTH * (self.rest_kinds + 1)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places of a document's words and its end; -1 for a word that isn't known."""
+        if not hasattr(self, "place"):
+            self.prepare()
+        get = self.place.get
+        return np.array([get(w, -1) for w in words] + [self.place[END]])
+
+    def numbers(self, words: list[str], places: np.ndarray | None = None) -> np.ndarray:
         """Input and output numbers of a document's words and its end."""
-        get, head = self.number.get, len(self.number)
-        return np.array([n if (n := get(w)) is not None else head + rest_class(w) for w in words] + [self.number[END]], "i4")
+        places = self.places(words) if places is None else places
+        out = self.numbered[places]
+        for i in np.flatnonzero(places < 0).tolist():
+            out[i] = len(self.number) + rest_class(words[i])
+        return out
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -349,16 +407,11 @@ def score_documents(docs: DataFrame, fold: int = 10, known: int = KNOWN, head: i
     lex, tail_words = lexicon(words, known, head)
     trained = lex.tokens > 0
     lex.net = train(training, lex, rounds, shares) if trained else None
+    base_total, rest_total = lex.base_total(), lex.rest_total()
     shared = docs.sparkSession.sparkContext.broadcast(lex)
-    base_total = lex.tokens + SMOOTH * (lex.kinds + 1)
-    rest_total = lex.rest_tokens + SMOOTH * (lex.rest_kinds + 1)
 
     def run(batches):
         own = shared.value
-        log_base = {w: math.log10((n + SMOOTH) / base_total) for w, n in own.counts.items()}
-        log_rest = {w: math.log10((n + SMOOTH) / rest_total[rest_class(w)]) for w, n in own.counts.items() if w not in own.number}
-        log_rest |= dict.fromkeys(own.number, 0.0)
-        log_base.setdefault(END, math.log10(SMOOTH / base_total))
 
         def block(rows, numbers):
             found = score_block(own.net, numbers) / math.log(10) if own.net else np.zeros(len(rows))
@@ -369,19 +422,14 @@ def score_documents(docs: DataFrame, fold: int = 10, known: int = KNOWN, head: i
         rows, numbers, held = [], [], 0
         for part in pieces(batches):
             for row, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                tokens = ascii_words(text or "")
-                logs = [log_base.get(w) for w in tokens]
-                tail = Counter(w for w, x in zip(tokens, logs, strict=True) if x is None) if None in logs else {}
-                if tail:
-                    seen = [w for w in tokens if w in log_base]
-                    base = math.fsum(x for x in logs if x is not None)
-                else:
-                    seen, base = tokens, math.fsum(logs)
-                within = math.fsum(map(log_rest.__getitem__, seen))
-                end_known = own.counts.get(END, 0) > 0
-                rows.append((row, key, id_crc32(key) % fold == 0, len(tokens) + 1, len(seen) + end_known, base + log_base[END], within, [{"word": w, "n": n} for w, n in tail.items()]))
-                numbers.append(own.numbers(tokens))
-                held += len(tokens) + 1
+                words = ascii_words(text or "")
+                places = own.places(words)
+                numbers.append(own.numbers(words, places))
+                tail = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
+                places = places[places >= 0]
+                base, within, seen = float(own.log_base[places].sum()), float(own.log_rest[places].sum()), int(own.seen[places].sum())
+                rows.append((row, key, id_crc32(key) % fold == 0, len(words) + 1, seen, base, within, [{"word": w, "n": n} for w, n in tail.items()]))
+                held += len(words) + 1
             if held >= SCORE_TOKENS:
                 yield block(rows, numbers)
                 rows, numbers, held = [], [], 0
