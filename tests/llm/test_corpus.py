@@ -276,6 +276,7 @@ def test_near_duplicates(spark, docs):
 
 def test_blocks_miss_no_pair(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "JOINED", 4)
     monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
     base, texts = prose(60, 80).split(), {}
     for k in range(30):  # each differs from the common base, and from all others, in a few words

@@ -4,10 +4,10 @@ A document's set holds its distinct runs of five words (ASCII white space, A-Z l
 with fewer words has the whole sequence, one without words or with null text the empty set, and it is
 linked with nothing. Documents of equal sets form a class, which its least doc_id stands for.
 Representatives whose signatures agree in a band are candidates. Each is first held against the
-least one of its bucket; then, in buckets that still hold several components, every pair across
-components is tried. So a bucket of many copies costs one link a copy, and no link that could join
-two components is left out. Candidates pass if their signatures agree well enough, and are then
-confirmed on the full sets.
+least one of its bucket, then with a few drawn members of the bucket's commonest component; at last, in buckets
+that still hold several components, every pair across components is tried. So a bucket of many copies costs one link a copy, and no link that could join
+two components is left out. In the same join, candidates must be near in size and their signatures, one bit
+a hash function, must agree well enough; those that pass are confirmed on the full sets.
 
 Rows of null doc_id are linked with nothing: their component is null and they are kept. Rows that
 share a doc_id are kept or dropped together with their own text's class. Extra columns are ignored.
@@ -19,19 +19,30 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpoint, documents, pieces
 from .components import components
 
 SHINGLE = 5
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 SEED = 20_240_501
-#: A candidate whose signatures agree in fewer than the threshold less this share is dropped: 4.1 deviations.
-SLACK = 0.15
+#: A candidate whose signatures differ in more bits than expected at the threshold, by so many deviations, is dropped.
+DEVIATIONS = 6.0
+#: Most bits of the filter of document ids that tasks hold (16 MB).
+FILTER_BITS = 1 << 27
+#: Rounds in which each bucket's other members are tried with so many drawn members of its commonest component.
+PIVOT_ROUNDS, PIVOTS = 1, 3
+#: Members of a bucket that are held against as many others at once.
+BLOCK = 512
+#: Buckets of so many members at most are joined; larger ones are compared in blocks.
+JOINED = 48
+#: Deviations below the threshold at which a pair's share of equal least values rules it out.
+SHARE_DEVIATIONS = 5.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xD6E8FEB86659FD93)
 
@@ -72,10 +83,16 @@ class Signer:
     def sign(self, values: np.ndarray) -> np.ndarray:
         """The least value of each function, its upper 32 bits."""
         least = np.full(len(self.a), ~np.uint64(0))
-        for at in range(0, len(values), 2048):
-            np.minimum(least, (self.a * values[None, at : at + 2048] + self.b).min(axis=1), out=least)
+        for at in range(0, len(values), 1024):
+            np.minimum(least, (self.a * values[None, at : at + 1024] + self.b).min(axis=1), out=least)
         return (least >> np.uint64(32)).astype("<u4")
 
+    def bits(self, signature: np.ndarray) -> np.ndarray:
+        """One bit of each least value, as four longs; equal with probability (1 + J) / 2."""
+        out = np.zeros(256, np.uint8)
+        out[: len(signature)] = (_mixed(signature.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+        return np.packbits(out).view(np.int64)
+
     def buckets(self, signature: np.ndarray) -> np.ndarray:
         """A 64-bit key a band, different for equal values of different bands."""
         parts = signature.reshape(self.bands, self.rows).astype(np.uint64)
@@ -86,7 +103,9 @@ class Signer:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key, signature, buckets: one row a document, no exchange."""
+    """doc_id, n_shingles, set_key, s0 ... s3, signature (a byte of each least value), buckets: one row a document, no exchange."""
+    names = ["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "signature", "buckets"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64())]
 
     def run(batches):
         signer = Signer(bands, rows)
@@ -96,36 +115,59 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 own = shingles(text)
                 if len(own):
                     signature = signer.sign(own)
-                    out.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), signature.tobytes(), signer.buckets(signature)))
+                    out.append((len(own), set_key(own), *signer.bits(signature).tolist(), signature.astype(np.uint8).tobytes(), signer.buckets(signature)))
                 else:
-                    out.append((0, None, None, None))
-            n, key, signature, found = zip(*out, strict=True)
-            yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(signature, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "signature", "buckets"])
+                    out.append((0, None, None, None, None, None, None, None))
+            columns = [part.column(0), *zip(*out, strict=True)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, signature binary, buckets array<long>")
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose signatures agree in a share of ``least`` or more."""
+def set_key(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
-    def run(batches):
-        for part in batches:
-            if part.num_rows:
-                a, b = (np.frombuffer(b"".join(part.column(k).to_pylist()), "<u4").reshape(part.num_rows, -1) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array((a == b).mean(1) >= least))
 
-    own = reps.select(F.col("rep").alias("u"), F.col("signature").alias("a"))
-    other = reps.select(F.col("rep").alias("v"), F.col("signature").alias("b"))
-    return pairs.join(own, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+def _plausible(a: str, b: str, percent: int, bits: int) -> Column:
+    """Whether structs a, b (rep, n_shingles, s0 ... s3) can be links, by their sizes and signatures."""
+    p = (100 - percent) / 200
+    most = int(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5)
+    differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= most)
+
+
+def _id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash of ``rep`` that occurs; of a size fixed by the count, FILTER_BITS at most."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    hashed = ids.select(_id_hash("rep", bits).alias("h"))
+    words = hashed.groupBy(F.floor(F.col("h") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("v")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.int64).view(np.uint64)
+    return out, bits
+
+
+def _id_hash(column: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of representatives with 100 |A and B| >= percent |A or B|, on full sets."""
+    """The pairs (u, v) of representatives with 100 |A and B| >= percent |A or B|, on full sets.
+
+    Sets are made again from the texts of the documents that occur in pairs; the others are passed over
+    in the scan by a filter of their ids, so that no text is shuffled.
+    """
+    ids = checkpoint(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct())
+    words, bits = _id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def sets(batches):
+        known = shared.value
         for part in pieces(batches):
+            h = part.column(2).to_numpy()
+            part = part.filter(pa.array((known[h // 64] >> (h % 64).astype(np.uint64)) & np.uint64(1) != 0))
             own = [shingles(t) for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "set_key", "members"])
+            yield pa.record_batch([part.column(0), pa.array(map(set_key, own), pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "set_key", "members"])
 
     def run(batches):
         for part in pieces(batches, 64):
@@ -137,43 +179,101 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
     wanted = reps.join(ids, "rep", "left_semi").select("rep", "set_key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep", "left_semi")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("h", _id_hash("rep", bits))
     found = texts.mapInArrow(sets, "rep long, set_key binary, members binary").join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
     a = found.select(F.col("rep").alias("u"), F.col("members").alias("a"))
     b = found.select(F.col("rep").alias("v"), F.col("members").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _strangers(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The buckets that hold several components: their members, and those outside the commonest component."""
+    now = placed.join(found, placed["m.rep"] == found["node"], "left").select("bucket", "band", "m", F.coalesce("component", "m.rep").alias("component"))
+    counts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "top")
+    now = checkpoint(now.join(mixed, "bucket"))
+    return now, now.where("component != top").select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
+
+
+def _across(members: DataFrame, reps: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(u, v): the pairs of different components in a bucket that their sizes and signatures allow, each from one bucket only.
+
+    A bucket is dealt into blocks of about BLOCK members and every pair of blocks is a group of its own, of
+    bounded size. A pair that also shares an earlier band is left to that band's bucket.
+    """
+    p = percent / 100
+
+    def run(part):
+        a, b = (part[part["mine"] == k] for k in (0, 1)) if part["lo"].iloc[0] != part["hi"].iloc[0] else (part, part)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        band, out = int(part["band"].iloc[0]), []
+        sig = [np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(len(x), -1) for x in (a, b)]
+        least = p - SHARE_DEVIATIONS * (p * (1 - p) / sig[0].shape[1]) ** 0.5
+        size, component, rep = ([x[c].to_numpy() for x in (a, b)] for c in ("n_shingles", "component", "rep"))
+        for at in range(0, len(a), 32):
+            cut = slice(at, at + 32)
+            same = sig[0][cut, None] == sig[1][None]
+            n, m = size[0][cut, None], size[1][None]
+            fits = (same.mean(2) >= least) & (component[0][cut, None] != component[1][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if part["lo"].iloc[0] == part["hi"].iloc[0]:
+                fits &= rep[0][cut, None] < rep[1][None]
+            if band and fits.any():
+                i, j = np.nonzero(fits)
+                before = same[i, j].reshape(len(i), -1, rows)[:, :band].all(2).any(1)
+                fits[i[before], j[before]] = False
+            i, j = np.nonzero(fits)
+            out.append(np.stack((rep[0][cut][i], rep[1][j])))
+        found = np.concatenate(out, axis=1)
+        return pd.DataFrame({"u": found.max(0), "v": found.min(0)})
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(reps.select("rep", "signature"), "rep")
+    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "n_shingles", "component", "signature")
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     base = checkpoint(signatures(docs, bands, rows))
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    members = full.join(classes, "set_key")
-    reps = checkpoint(members.where("doc_id = rep").select("rep", "set_key", "signature", "buckets").dropDuplicates(["rep", "set_key"]))
-    in_buckets = reps.select("rep", F.explode("buckets").alias("bucket"))
+    first_rows = full.join(classes.withColumnRenamed("set_key", "__key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__key")))
+    reps = checkpoint(first_rows.select("rep", "set_key", "n_shingles", "s0", "s1", "s2", "s3", "signature", "buckets").dropDuplicates(["rep", "set_key"]))
+    member = F.struct("rep", "n_shingles", "s0", "s1", "s2", "s3")
+    in_buckets = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
     shared = in_buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
-    placed = checkpoint(in_buckets.join(shared, "bucket"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return checkpoint(_confirmed(checkpoint(_agreeing(pairs, reps, percent / 100 - SLACK)), docs, reps, percent))
-
-    to_least = placed.where("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    links = linked(to_least)
-    first = components(links)
-    # buckets with more than one component: all against all but within the commonest one
-    now = placed.join(first, placed.rep == first.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    counts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "top")
-    now = checkpoint(now.join(mixed, "bucket"))
-    rest = now.where("component != top").select("bucket", F.col("rep").alias("s"), F.col("component").alias("s_component"))
-    across = now.join(rest, "bucket").where("component != s_component and (component = top or rep < s)")
-    pairs = across.select(F.greatest("rep", "s").alias("u"), F.least("rep", "s").alias("v")).distinct().join(to_least, ["u", "v"], "left_anti")
-    more = linked(pairs)
-    whole = components(links.union(more))
-    of_class = classes.join(whole, classes.rep == whole.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    signed = reps.select("rep", member.alias("m"))
+    placed = checkpoint(in_buckets.join(shared, "bucket").join(signed, "rep").drop("rep"))
+    near = lambda a, b: _plausible(a, b, percent, bands * rows)
+
+    centres = placed.where("m.rep = least").select("bucket", F.col("m").alias("c")).dropDuplicates(["bucket"])
+    to_least = placed.where("m.rep != least").join(centres, "bucket").where(near("m", "c"))
+    to_least = checkpoint(to_least.select(F.col("m.rep").alias("u"), F.col("c.rep").alias("v")).distinct())
+    tested = to_least
+    links = checkpoint(_confirmed(to_least, docs, reps, percent))
+    for k in range(PIVOT_ROUNDS):
+        now, rest = _strangers(placed, components(links))
+        drawn = [F.min_by("m", F.xxhash64("m.rep", F.lit(k * PIVOTS + i))) for i in range(PIVOTS)]
+        pivots = now.where("component = top").groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
+        tried = rest.join(pivots, "bucket").select("s", F.explode("pivots").alias("m")).where(near("m", "s"))
+        tried = tried.select(F.greatest("m.rep", "s.rep").alias("u"), F.least("m.rep", "s.rep").alias("v")).distinct()
+        tried = checkpoint(tried.join(tested, ["u", "v"], "left_anti"))
+        tested = tested.union(tried)
+        links = checkpoint(links.union(_confirmed(tried, docs, reps, percent)))
+    # what is left: all against all in a bucket, but within its commonest component
+    now, _ = _strangers(placed, components(links))
+    now = now.join(now.groupBy("bucket").agg(F.count("*").alias("held")), "bucket")
+    few = now.where(F.col("held") <= JOINED)
+    other = few.select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
+    joined = few.join(other, "bucket").where((F.col("component") != F.col("s_component")) & (F.col("m.rep") < F.col("s.rep")) & near("m", "s"))
+    many = now.where(F.col("held") > JOINED).select("bucket", "band", "m.rep", "m.n_shingles", "component")
+    pairs = joined.select(F.col("s.rep").alias("u"), F.col("m.rep").alias("v")).union(_across(many, reps, percent, rows)).distinct()
+    pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
+    whole = components(links.union(_confirmed(pairs, docs, reps, percent)))
+    of_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
