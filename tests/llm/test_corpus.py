@@ -289,6 +289,21 @@ def test_blocks_miss_no_pair(spark, monkeypatch):
     assert got == brute_components(texts, 85)
 
 
+def test_bands_that_agree_in_low_bytes_only(spark):
+    """A pair isn't left to an earlier band whose low bytes agree by chance: its bucket there is another."""
+    signer = minhash.Signer(40, 6)
+    one = np.arange(240, dtype="<u4") * 977
+    other = one.copy()
+    other[:6] += 256
+    made = [(k, s.astype(np.uint8).tobytes(), signer.buckets(s).tolist()) for k, s in enumerate((one, other))]
+    assert made[0][1] == made[1][1] and made[0][2][0] != made[1][2][0] and made[0][2][1:] == made[1][2][1:]
+    reps = spark.createDataFrame(made, "rep long, signature binary, buckets array<long>")
+    members = spark.createDataFrame([(b[band], band, k, 50, k) for k, _, b in made for band in range(40)], "bucket long, band int, rep long, n_shingles long, component long")
+    # of the 39 buckets that they share, in the first one only
+    assert [tuple(r) for r in minhash._across(members, reps, 80).collect()] == [(1, 0)]
+    assert minhash._across(members.where("band = 2"), reps, 80).count() == 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(200, 100), (100, 150), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))

@@ -196,11 +196,11 @@ def _strangers(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFram
     return now, now.where("component != top").select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
 
 
-def _across(members: DataFrame, reps: DataFrame, percent: int, rows: int) -> DataFrame:
+def _across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """(u, v): the pairs of different components in a bucket that their sizes and signatures allow, each from one bucket only.
 
     A bucket is dealt into blocks of about BLOCK members and every pair of blocks is a group of its own, of
-    bounded size. A pair that also shares an earlier band is left to that band's bucket.
+    bounded size. A pair that also shares an earlier band's bucket, by its whole key, is left to that bucket.
     """
     p = percent / 100
 
@@ -211,17 +211,17 @@ def _across(members: DataFrame, reps: DataFrame, percent: int, rows: int) -> Dat
         band, out = int(part["band"].iloc[0]), []
         sig = [np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(len(x), -1) for x in (a, b)]
         least = p - SHARE_DEVIATIONS * (p * (1 - p) / sig[0].shape[1]) ** 0.5
+        keys = [np.concatenate(list(x["earlier"])).reshape(len(x), band) for x in (a, b)] if band else None
         size, component, rep = ([x[c].to_numpy() for x in (a, b)] for c in ("n_shingles", "component", "rep"))
         for at in range(0, len(a), 32):
             cut = slice(at, at + 32)
-            same = sig[0][cut, None] == sig[1][None]
             n, m = size[0][cut, None], size[1][None]
-            fits = (same.mean(2) >= least) & (component[0][cut, None] != component[1][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            fits = ((sig[0][cut, None] == sig[1][None]).mean(2) >= least) & (component[0][cut, None] != component[1][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
             if part["lo"].iloc[0] == part["hi"].iloc[0]:
                 fits &= rep[0][cut, None] < rep[1][None]
             if band and fits.any():
                 i, j = np.nonzero(fits)
-                before = same[i, j].reshape(len(i), -1, rows)[:, :band].all(2).any(1)
+                before = (keys[0][cut][i] == keys[1][j]).any(1)
                 fits[i[before], j[before]] = False
             i, j = np.nonzero(fits)
             out.append(np.stack((rep[0][cut][i], rep[1][j])))
@@ -230,8 +230,8 @@ def _across(members: DataFrame, reps: DataFrame, percent: int, rows: int) -> Dat
 
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(reps.select("rep", "signature"), "rep")
-    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "n_shingles", "component", "signature")
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(reps.select("rep", "signature", "buckets"), "rep")
+    dealt = dealt.withColumn("earlier", F.slice("buckets", F.lit(1), F.col("band"))).select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "n_shingles", "component", "signature", "earlier")
     return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
 
 
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     other = few.select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
     joined = few.join(other, "bucket").where((F.col("component") != F.col("s_component")) & (F.col("m.rep") < F.col("s.rep")) & near("m", "s"))
     many = now.where(F.col("held") > JOINED).select("bucket", "band", "m.rep", "m.n_shingles", "component")
-    pairs = joined.select(F.col("s.rep").alias("u"), F.col("m.rep").alias("v")).union(_across(many, reps, percent, rows)).distinct()
+    pairs = joined.select(F.col("s.rep").alias("u"), F.col("m.rep").alias("v")).union(_across(many, reps, percent)).distinct()
     pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
     whole = components(links.union(_confirmed(pairs, docs, reps, percent)))
     of_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
