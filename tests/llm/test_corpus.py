@@ -169,6 +169,15 @@ def test_packing_is_optimal():
         assert low == at[-1] and total == best[-1]
 
 
+def test_short_sentences_are_places():
+    is_end = np.array([False, False, True])
+    ids = np.array([*[0, 0, 0, 0, 2] * 900, 1, *[0, 2, 1]])
+    at, cost = packing.places(ids, np.array([4501, 4504]), is_end)
+    assert at.tolist() == [0, *range(5, 4501, 5), 4501, 4503, 4504]
+    assert packing.IN_SENTENCE not in cost and cost[np.isin(at, [4501, 4504])].tolist() == [0, 0]
+    assert all(c % 5 == 0 or c > 4500 for c in packing.cut(at, cost))
+
+
 def test_recurrent_model(spark):
     rows = spark.createDataFrame([(k, prose(k, 40) if k % 9 else None, "en", "s", 0, "e") for k in range(60)], SCHEMA)
     tokens = {k: [*(prose(k, 40).lower().split() if k % 9 else []), ""] for k in range(60)}

@@ -32,8 +32,6 @@ WINDOW = 2048
 CLOSE = 1
 #: Penalties in tokens: of a window, of one that ends inside a document, inside a sentence.
 PER_WINDOW, IN_DOCUMENT, IN_SENTENCE = 4, 4, 24
-#: Sentence ends nearer than this to the last place are no places of their own.
-NEAREST = 12
 STRIDE = 128
 BLOCK_TOKENS = 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,17 +46,12 @@ def sentence_ends(own: WordCoder) -> np.ndarray:
     return ends
 
 
-def places(ids: np.ndarray, ends: np.ndarray, is_end: np.ndarray, stride: int = STRIDE, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+def places(ids: np.ndarray, ends: np.ndarray, is_end: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Where a window may end, ascending and from 0, and the penalty of each place.
 
-    ``ends``: the ends of the documents in the stream ``ids``.
+    ``ends``: the ends of the documents in the stream ``ids``. Every sentence end is a place.
     """
-    cuts = np.flatnonzero(is_end[ids]) + 1
-    starts = np.concatenate(([0], ends[:-1]))
-    owner = np.searchsorted(ends, cuts, "left")
-    gap = np.diff(cuts, prepend=-nearest)
-    cuts = cuts[(gap >= nearest) & (cuts - starts[owner] >= nearest) & (cuts < ends[owner] - 1)]
-    marks = np.union1d(cuts, ends)
+    marks = np.union1d(np.flatnonzero(is_end[ids]) + 1, ends)
     before = np.concatenate(([0], marks[:-1]))
     more = (marks - before - 1) // stride
     long = np.flatnonzero(more > 0)
@@ -72,8 +65,18 @@ def places(ids: np.ndarray, ends: np.ndarray, is_end: np.ndarray, stride: int =
 def cut(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
     """The chosen window ends, ascending; ``at`` and ``cost`` as from places()."""
     where, price = at.tolist(), (cost + PER_WINDOW).tolist()
-    powers = [1 << k for k in range((window - 1).bit_length())]
-    index = dict(zip(where, range(len(where)), strict=True)).get
+    # by place: the places that lie a power of two, less than a window, before it
+    number = np.full(int(at[-1]) + 1, -1, "i4")
+    number[at] = np.arange(len(at))
+    ends, starts = [], []
+    for p in (1 << k for k in range((window - 1).bit_length())):
+        low = np.searchsorted(at, p)
+        found = number[at[low:] - p]
+        ends.append(np.flatnonzero(found >= 0) + low)
+        starts.append(found[found >= 0])
+    ends, starts = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(ends, kind="stable")
+    unpadded, edges = starts[order].tolist(), np.searchsorted(ends[order], np.arange(len(at) + 1)).tolist()
     best, back = [0] * len(where), [0] * len(where)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best + place, number), ascending in both
     for j in range(1, len(where)):
@@ -83,9 +86,8 @@ def cut(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
         least, start = queue[0]
         least += window - here
         if least - best[start]:  # a full window has no padding to save
-            for p in powers:
-                i = index(here - p)
-                if i is not None and best[i] < least:
+            for i in unpadded[edges[j] : edges[j + 1]]:
+                if best[i] < least:
                     least, start = best[i], i
         best[j], back[j] = least + price[j], start
         key = best[j] + here
