@@ -192,6 +192,15 @@ def test_recurrent_model(spark):
             assert r.score < 0
 
 
+def test_training_reaches_every_share(spark):
+    assert {k % gru.SHARES for k in range(gru.ROUNDS)} == set(range(gru.SHARES))
+    ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 16 > 2 and zlib.crc32(str(k).encode()) % 10]
+    rows = spark.createDataFrame([(k, prose(k, 40)) for k in ids], "doc_id long, text string")
+    lex, _ = gru.lexicon(gru.count_words(rows), head=16)
+    for part in (rows.where(f"doc_id = {k}") for k in ids[:3]):
+        assert not np.array_equal(gru.train(part, lex).flat(), gru.train(part, lex, rounds=0).flat())
+
+
 def test_gradients():
     draw = np.random.default_rng(0)
     net = gru.Network.fresh(draw.integers(1, 50, 70).astype(float), np.ones(gru.REST))

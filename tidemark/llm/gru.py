@@ -6,7 +6,7 @@ classes by its last two characters; the state predicts the class, and within it
 with one share for all unseen words. So every token, seen or not, has a probability.
 
 The network is trained by truncated backpropagation in numpy: in each round every task starts from the
-common weights, follows a fixed share of its training documents, and its weights are averaged with those of
+common weights, follows a fixed share of its training documents (another one each round, until all have been followed), and its weights are averaged with those of
 all other tasks by Spark, in proportion to their tokens. Scoring carries the state through a whole document.
 
 Null text is empty text: it has its end token only. held_out rows are never counted or trained on. A null doc_id
@@ -35,8 +35,8 @@ STATE, HEAD, CLASS_SIZE, REST = 16, 1024, 32, 48
 #: Words whose counts every task holds; the others' counts come by a join.
 KNOWN = 200_000
 COUNTED_AT_ONCE = 500_000
-#: Rounds of training; each takes one of SHARES parts of the training documents, by their ids.
-ROUNDS, SHARES = 3, 16
+#: Rounds of training; each takes one of as many parts of the training documents, by their ids, so together they take all.
+ROUNDS = SHARES = 3
 LANES, STEPS, RATE = 256, 16, 0.02
 SCORE_LANES, SCORE_STEPS, SCORE_TOKENS = 512, 32, 6_000_000
 #: Tokens after which training starts from the zero state again, so that lanes are of equal length.
