@@ -102,6 +102,19 @@ def test_patterns_discover_identifiers(spark):
     assert cleaned[9].text == texts[9] and cleaned[10].text is None and cleaned[0].extra == "e"
 
 
+def test_patterns_discover_grouped_digits_and_chains(spark):
+    texts = [f"please call me on +1 838 555 {7100 + k} now" for k in range(12)]
+    wanted = ["838 555 7235", "(838) 555-7236", "4111 1111 1111 1112", "user@" + "x" * 80]
+    texts += [f"please call me on {w} now" for w in wanted]
+    sizes = [64, 32, 16, 8, 4]  # each context holds the values of two links of the chain; the first ones are seeds
+    link = [[f"u{c}x{k}@site.example.org" if c == 0 else f"u{c}x{k}@intranet" for k in range(n)] for c, n in enumerate(sizes)]
+    for c, word in enumerate("abcd"):
+        texts += [f"xx{word} yy{word} {v} zz{word}" for v in link[c] + link[c + 1]]
+    rows = spark.createDataFrame([(k, t, "en", "s", 0, "e") for k, t in enumerate(texts)], SCHEMA)
+    found = {texts[r.doc_id][s.start : s.end] for r in pii.find_personal_data(rows).collect() for s in r.found}
+    assert set(wanted) <= found and set(link[3]) <= found and set(link[4]) <= found
+
+
 def test_media(spark, docs):
     for r in media.store_texts(docs).collect():
         if r.doc_id is None:

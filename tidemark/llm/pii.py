@@ -2,14 +2,14 @@
 
 Base spans are the matches of four forms (email, ip, card, phone), leftmost and non-overlapping for each kind. They
 seed the rest: every base span and every other identifier-like run (an @ or at least ``LEAST_DIGITS``
-digits, without white space) stands between words, which give its lexical patterns: the word
+digits, without white space or in groups joined by single spaces, dots, hyphens or brackets) stands between words, which give its lexical patterns: the word
 before, the two words before, the words on both sides. Patterns and the distinct values that they hold form a graph. In each round a
 pattern is scored for each kind by the share of its values that are labelled with it; patterns with enough
 labelled values and a high share pass labels to their other values, whose score is that of several
-patterns together; values of a high score are labelled and seed the next round. Occurrences of labelled
+patterns together; values of a high score are labelled, keep their kind and seed the next round, until nothing changes. Occurrences of labelled
 values become spans; base spans are never dropped.
 
-Null text has no spans. Offsets are code points, ends exclusive. Spans of different kinds may overlap; found
+Null text has no spans. Offsets are code points, ends exclusive. Spans of different kinds may overlap, and found ones may lie within one another; found
 ones never overlap a base span. Repeated rows have the same spans each. Ties between kinds go to the kind
 listed first. Without seeds nothing is found. Extra columns are ignored. An empty table gives no rows.
 """
@@ -27,9 +27,8 @@ from .common import checkpoint, documents, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_DIGITS = 5
-#: Longer runs aren't candidates.
+#: Longer values are told apart by a hash.
 MOST_CHARS = 64
-ROUNDS = 3
 #: A pattern needs so many labelled values, and such a share of its values, to pass a label on.
 LEAST_SEEDS, LEAST_SHARE = 3.0, 0.6
 LEAST_SCORE = 0.75
@@ -42,6 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]+")
+_GROUPS = re.compile(r"[0-9]++(?:(?:[ .-]|\)[ .-]?\(?|[ .-]\()[0-9]++)++")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>|*#%$&="
 
 
@@ -91,30 +91,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def other_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like runs without white space that touch no base span."""
-    marks = [m.start() for m in _DIGIT.finditer(text)]
+    """Identifier-like runs that touch no base span: without white space, and those that joined groups of digits span."""
+    marks = [m.span() for m in _DIGIT.finditer(text)]
     at = text.find("@")
     while at >= 0:
-        marks.append(at)
+        marks.append((at, at))
         at = text.find("@", at + 1)
     out, low = [], 0
     taken = sorted((s, e) for _, s, e in base)
-    for mark in sorted(marks):
-        if mark < low:
-            continue
-        start = end = mark
-        while start > low and not text[start - 1].isspace():
+
+    def add(start: int, end: int) -> int:
+        while start > 0 and not text[start - 1].isspace():
             start -= 1
         while end < len(text) and not text[end].isspace():
             end += 1
-        low = end
-        run = text[start:end]
+        low, run = end, text[start:end]
         start += len(run) - len(run.lstrip(_TRIM))
         run = run.strip(_TRIM)
         end = start + len(run)
-        if 0 < len(run) <= MOST_CHARS and ("@" in run[1:] or sum(c in "0123456789" for c in run) >= LEAST_DIGITS) and not any(s < end and start < e for s, e in taken):
+        if run and start > 0 and text[start - 1] == "(" and run.count(")") > run.count("("):
+            start -= 1
+        if run and ("@" in run[1:] or sum(c in "0123456789" for c in run) >= LEAST_DIGITS) and not any(s < end and start < e for s, e in taken):
             out.append((start, end))
-    return out
+        return low
+
+    for mark, _ in sorted(marks):
+        if mark >= low:
+            low = add(mark, mark)
+    for m in _GROUPS.finditer(text):
+        if " " in m[0]:
+            add(*m.span())
+    return sorted(set(out))
+
+
+def value_of(run: str) -> str:
+    run = run.lower()
+    return run if len(run) <= MOST_CHARS else hashlib.blake2b(run.encode("utf-8", "surrogatepass"), digest_size=32).hexdigest()
 
 
 def patterns(text: str, start: int, end: int) -> list[str]:
@@ -147,13 +159,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = base_spans(text) if text else []
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
                 others = other_runs(text, found) if text and ("@" in text or _DIGIT.search(text)) else []
-                runs.append([{"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "patterns": patterns(text, s, e)} for k, s, e in [*found, *((None, s, e) for s, e in others)]])
+                runs.append([{"kind": k, "start": s, "end": e, "value": value_of(text[s:e]), "patterns": patterns(text, s, e)} for k, s, e in [*found, *((None, s, e) for s, e in others)]])
             yield pa.record_batch([pa.array(c, t) for c, t in zip((part.column(0), part.column(1), base, runs), kinds, strict=True)], ["doc_id", "body", "base", "runs"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text").mapInArrow(run, SCAN)
 
 
-def label_values(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def label_values(scanned: DataFrame) -> DataFrame:
     """(value, kind, score): the values that are no seeds and were labelled, with the kind of the best score."""
     runs = scanned.select(F.explode("runs").alias("r")).select("r.kind", "r.value", "r.patterns")
     seeds = runs.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
@@ -162,14 +174,21 @@ def label_values(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     wide = edges.groupBy("pattern").agg(F.count("*").alias("held")).where(F.col("held") > LEAST_SEEDS)
     edges = checkpoint(edges.join(wide, "pattern"))
     seeds = checkpoint(seeds)
-    labels = seeds
-    for _ in range(rounds):
+    labels, before = seeds, None
+    while True:
         scored = edges.join(labels, "value").groupBy("pattern", "held", "kind").agg(F.sum("score").alias("seeds"))
         trusted = scored.withColumn("share", F.col("seeds") / F.col("held")).where((F.col("seeds") >= LEAST_SEEDS) & (F.col("share") >= LEAST_SHARE)).select("pattern", "kind", "share")
         reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("score"))
+        had = labels.select("value", F.col("kind").alias("had"))
+        reached = reached.join(had, "value", "left").where("had is null or kind = had")
         best = reached.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("value", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
         found = best.where(F.col("score") >= LEAST_SCORE).join(seeds, "value", "left_anti")
         labels = checkpoint(seeds.union(found))
+        # scores only rise, so this ends
+        now = labels.agg(F.count("*"), F.sum("score")).first()
+        if before and now[0] <= before[0] and now[1] - before[1] <= 1e-6:
+            break
+        before = now
     return labels.join(seeds, "value", "left_anti")
 
 
