@@ -307,7 +307,7 @@ def test_near_duplicates(spark, docs):
 
 def test_blocks_miss_no_pair(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
-    monkeypatch.setattr(minhash, "JOINED", 4)
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
     monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
     base, texts = prose(60, 80).split(), {}
     for k in range(30):  # each differs from the common base, and from all others, in a few words
@@ -320,19 +320,44 @@ def test_blocks_miss_no_pair(spark, monkeypatch):
     assert got == brute_components(texts, 85)
 
 
-def test_bands_that_agree_in_low_bytes_only(spark):
-    """A pair isn't left to an earlier band whose low bytes agree by chance: its bucket there is another."""
-    signer = minhash.Signer(40, 6)
-    one = np.arange(240, dtype="<u4") * 977
-    other = one.copy()
-    other[:6] += 256
-    made = [(k, s.astype(np.uint8).tobytes(), signer.buckets(s).tolist()) for k, s in enumerate((one, other))]
-    assert made[0][1] == made[1][1] and made[0][2][0] != made[1][2][0] and made[0][2][1:] == made[1][2][1:]
-    reps = spark.createDataFrame(made, "rep long, signature binary, buckets array<long>")
-    members = spark.createDataFrame([(b[band], band, k, 50, k) for k, _, b in made for band in range(40)], "bucket long, band int, rep long, n_shingles long, component long")
-    # of the 39 buckets that they share, in the first one only
-    assert [tuple(r) for r in minhash._across(members, reps, 80).collect()] == [(1, 0)]
-    assert minhash._across(members.where("band = 2"), reps, 80).count() == 0
+def test_a_large_group_near_the_threshold(spark):
+    """Hundreds of edited copies, most pairs of which are candidates of a likeness between 0.7 and 0.9."""
+    draw, base, texts = random.Random(9), prose(61, 110).split(), {}
+    for k in range(700):
+        own = list(base)
+        for i in draw.sample(range(110), draw.choice([1, 2, 2, 3])):
+            own[i] = f"w{draw.randint(0, 10**9)}"
+        texts[k] = " ".join(own)
+    rows = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(rows, 85).collect()}
+    assert got == brute_components(texts, 85)
+
+
+def test_common_counts_and_forest():
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 400, draw.integers(1, 300), dtype=np.uint64)) for _ in range(40)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[15:]] for x in sets[:15]]
+    np.testing.assert_array_equal(minhash.common_counts(sets[:15], sets[15:]), want)
+    side = [(k, k, x) for k, x in enumerate(sets)]
+    links = minhash.forest(side, side, 30)
+    linked = {(b, a) for a, b in combinations(range(40), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 30 * len(np.union1d(sets[a], sets[b]))}
+    assert set(links) <= linked and len(links) < 40
+    root = {k: k for k in range(40)}
+    for _ in range(40):
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert len(links) == 40 - len(set(root.values()))
+
+
+def test_runs_of_sorted_batches():
+    import pyarrow as pa
+
+    from tidemark.llm.common import runs_of
+
+    keys = [1, 1, 1, 2, 3, 3, 3, 3, 4]
+    for size in (1, 2, 3, 9):
+        batches = [pa.record_batch([pa.array(keys[k : k + size]), pa.array(range(k, min(k + size, 9)))], ["k", "v"]) for k in range(0, 9, size)]
+        assert [(t.column("k")[0].as_py(), t.column("v").to_pylist()) for t in runs_of(batches, ["k"])] == [(1, [0, 1, 2]), (2, [3]), (3, [4, 5, 6, 7]), (4, [8])]
 
 
 def test_components(spark):

@@ -6,6 +6,7 @@ import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,27 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
+def runs_of(batches: Iterable[pa.RecordBatch], keys: Iterable[str]) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in ``keys``, of batches that are sorted by them; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *edges.tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if low:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def id_crc32(doc_id: int | None) -> int:
     """crc32 of the id as decimal text; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())

@@ -19,13 +19,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, documents, pieces
+from .common import ascii_lower, checkpoint, documents, pieces, runs_of, shuffle_partitions
 from .components import components
 
 SHINGLE = 5
@@ -37,12 +36,10 @@ DEVIATIONS = 6.0
 FILTER_BITS = 1 << 27
 #: Rounds in which each bucket's other members are tried with so many drawn members of its commonest component.
 PIVOT_ROUNDS, PIVOTS = 1, 3
-#: Members of a bucket that are held against as many others at once.
-BLOCK = 512
-#: Buckets of so many members at most are joined; larger ones are compared in blocks.
-JOINED = 48
-#: Deviations below the threshold at which a pair's share of equal least values rules it out.
-SHARE_DEVIATIONS = 5.0
+#: Members of a bucket, and values of their sets, that are held against as many others at once.
+BLOCK, BLOCK_VALUES = 512, 1 << 20
+#: Distinct values that are compared at once.
+COLUMNS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0xD6E8FEB86659FD93)
 
@@ -103,9 +100,9 @@ class Signer:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key, s0 ... s3, signature (a byte of each least value), buckets: one row a document, no exchange."""
-    names = ["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "signature", "buckets"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64())]
+    """doc_id, n_shingles, set_key, s0 ... s3, buckets: one row a document, no exchange."""
+    names = ["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "buckets"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
 
     def run(batches):
         signer = Signer(bands, rows)
@@ -115,13 +112,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 own = shingles(text)
                 if len(own):
                     signature = signer.sign(own)
-                    out.append((len(own), set_key(own), *signer.bits(signature).tolist(), signature.astype(np.uint8).tobytes(), signer.buckets(signature)))
+                    out.append((len(own), set_key(own), *signer.bits(signature).tolist(), signer.buckets(signature)))
                 else:
-                    out.append((0, None, None, None, None, None, None, None))
+                    out.append((0, *[None] * 6))
             columns = [part.column(0), *zip(*out, strict=True)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, signature binary, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, buckets array<long>")
 
 
 def set_key(own: np.ndarray) -> bytes:
@@ -151,17 +148,17 @@ def _id_hash(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(bits))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of representatives with 100 |A and B| >= percent |A or B|, on full sets.
+def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, members): the full sets of the representatives in ``ids``.
 
-    Sets are made again from the texts of the documents that occur in pairs; the others are passed over
-    in the scan by a filter of their ids, so that no text is shuffled.
+    Sets are made again from the texts; the documents that are not asked for are passed over in the scan
+    by a filter of ids, so that no text is shuffled.
     """
-    ids = checkpoint(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct())
+    ids = checkpoint(ids)
     words, bits = _id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def sets(batches):
+    def run(batches):
         known = shared.value
         for part in pieces(batches):
             h = part.column(2).to_numpy()
@@ -169,6 +166,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
             own = [shingles(t) for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array(map(set_key, own), pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["rep", "set_key", "members"])
 
+    wanted = reps.join(ids, "rep", "left_semi").select("rep", "set_key")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("h", _id_hash("rep", bits))
+    return texts.mapInArrow(run, "rep long, set_key binary, members binary").join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of representatives with 100 |A and B| >= percent |A or B|, on full sets."""
+
     def run(batches):
         for part in pieces(batches, 64):
             keep = []
@@ -179,9 +184,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = reps.join(ids, "rep", "left_semi").select("rep", "set_key")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("h", _id_hash("rep", bits))
-    found = texts.mapInArrow(sets, "rep long, set_key binary, members binary").join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
+    found = _sets(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct(), docs, reps)
     a = found.select(F.col("rep").alias("u"), F.col("members").alias("a"))
     b = found.select(F.col("rep").alias("v"), F.col("members").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -196,43 +199,87 @@ def _strangers(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFram
     return now, now.where("component != top").select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
 
 
-def _across(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the pairs of different components in a bucket that their sizes and signatures allow, each from one bucket only.
-
-    A bucket is dealt into blocks of about BLOCK members and every pair of blocks is a group of its own, of
-    bounded size. A pair that also shares an earlier band's bucket, by its whole key, is left to that bucket.
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)): how many values each two sets have in common; a product of 0/1 matrices, some columns at a time."""
+    flat, row = [], []
+    for sets in (a, b):
+        flat.append(np.concatenate(sets))
+        row.append(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    shared = np.intersect1d(flat[0] if len(a) == 1 else np.unique(flat[0]), flat[1] if len(b) == 1 else np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(shared):
+        return out
+    at = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in flat]
+    hit = [shared[k] == x for k, x in zip(at, flat, strict=True)]
+    at, row = ([x[h] for x, h in zip(both, hit, strict=True)] for both in (at, row))
+    for low in range(0, len(shared), COLUMNS):
+        width, sides = min(COLUMNS, len(shared) - low), []
+        for k, sets in enumerate((a, b)):
+            mine = (at[k] >= low) & (at[k] < low + width)
+            dense = np.zeros((len(sets), width), np.float32)
+            dense[row[k][mine], at[k][mine] - low] = 1
+            sides.append(dense)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def forest(a: list, b: list, percent: int) -> list[tuple[int, int]]:
+    """Links (u > v) between members (rep, component, set) of ``a`` and of ``b`` that join components; no more than a forest."""
+    sizes = [np.array([len(x[2]) for x in side]) for side in (a, b)]
+    both = common_counts([x[2] for x in a], [x[2] for x in b])
+    linked = 100 * both >= percent * (sizes[0][:, None] + sizes[1][None] - both)
+    names, local = np.unique([x[1] for x in a] + [x[1] for x in b], return_inverse=True)
+    mine, other = local[: len(a)], local[len(a) :]
+    linked &= mine[:, None] != other[None]
+    i, j = np.nonzero(linked)
+    _, first = np.unique(mine[i] * len(names) + other[j], return_index=True)
+    root, out = list(range(len(names))), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k in first.tolist():
+        x, y = find(mine[i[k]]), find(other[j[k]])
+        if x != y:
+            root[x] = y
+            u, v = a[i[k]][0], b[j[k]][0]
+            out.append((max(u, v), min(u, v)))
+    return out
+
+
+def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that join what is left of the components of each bucket, decided on the full sets of every pair in it.
+
+    ``members``: (bucket, rep, n_shingles, component). A bucket is dealt into blocks of BLOCK members and BLOCK_VALUES
+    values at most, on average, and every pair of blocks is compared by itself, so no task holds more than two blocks. The rows
+    that come out are linear in the members: a forest a pair of blocks.
     """
-    p = percent / 100
-
-    def run(part):
-        a, b = (part[part["mine"] == k] for k in (0, 1)) if part["lo"].iloc[0] != part["hi"].iloc[0] else (part, part)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        band, out = int(part["band"].iloc[0]), []
-        sig = [np.frombuffer(b"".join(x["signature"]), np.uint8).reshape(len(x), -1) for x in (a, b)]
-        least = p - SHARE_DEVIATIONS * (p * (1 - p) / sig[0].shape[1]) ** 0.5
-        keys = [np.concatenate(list(x["earlier"])).reshape(len(x), band) for x in (a, b)] if band else None
-        size, component, rep = ([x[c].to_numpy() for x in (a, b)] for c in ("n_shingles", "component", "rep"))
-        for at in range(0, len(a), 32):
-            cut = slice(at, at + 32)
-            n, m = size[0][cut, None], size[1][None]
-            fits = ((sig[0][cut, None] == sig[1][None]).mean(2) >= least) & (component[0][cut, None] != component[1][None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if part["lo"].iloc[0] == part["hi"].iloc[0]:
-                fits &= rep[0][cut, None] < rep[1][None]
-            if band and fits.any():
-                i, j = np.nonzero(fits)
-                before = (keys[0][cut][i] == keys[1][j]).any(1)
-                fits[i[before], j[before]] = False
-            i, j = np.nonzero(fits)
-            out.append(np.stack((rep[0][cut][i], rep[1][j])))
-        found = np.concatenate(out, axis=1)
-        return pd.DataFrame({"u": found.max(0), "v": found.min(0)})
-
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+
+    def run(batches):
+        found = []
+        for group in runs_of(batches, ("bucket", "lo", "hi")):
+            mine, rep, component, members = (group.column(c).to_pylist() for c in ("mine", "rep", "component", "members"))
+            sides = [], []
+            for m, r, c, x in zip(mine, rep, component, members, strict=True):
+                sides[m].append((r, c, np.frombuffer(x, np.uint64)))
+            a, b = sides if group.column("lo")[0] != group.column("hi")[0] else (sides[0], sides[0])
+            if a and b:
+                found += forest(a, b, percent)
+            if len(found) > 10_000:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+                found = []
+        if found:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_VALUES)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).join(reps.select("rep", "signature", "buckets"), "rep")
-    dealt = dealt.withColumn("earlier", F.slice("buckets", F.lit(1), F.col("band"))).select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "n_shingles", "component", "signature", "earlier")
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(run, "u long, v long").distinct()
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "component")
+    key = ["bucket", "lo", "hi"]
+    rows = dealt.join(_sets(members.select("rep").distinct(), docs, reps), "rep").repartition(shuffle_partitions(docs.sparkSession), *key)
+    return rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -241,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     first_rows = full.join(classes.withColumnRenamed("set_key", "__key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__key")))
-    reps = checkpoint(first_rows.select("rep", "set_key", "n_shingles", "s0", "s1", "s2", "s3", "signature", "buckets").dropDuplicates(["rep", "set_key"]))
+    reps = checkpoint(first_rows.select("rep", "set_key", "n_shingles", "s0", "s1", "s2", "s3", "buckets").dropDuplicates(["rep", "set_key"]))
     member = F.struct("rep", "n_shingles", "s0", "s1", "s2", "s3")
     in_buckets = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
     shared = in_buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
@@ -263,16 +310,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
         tried = checkpoint(tried.join(tested, ["u", "v"], "left_anti"))
         tested = tested.union(tried)
         links = checkpoint(links.union(_confirmed(tried, docs, reps, percent)))
-    # what is left: all against all in a bucket, but within its commonest component
+    # what is left: all against all in a bucket that still holds several components
     now, _ = _strangers(placed, components(links))
-    now = now.join(now.groupBy("bucket").agg(F.count("*").alias("held")), "bucket")
-    few = now.where(F.col("held") <= JOINED)
-    other = few.select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
-    joined = few.join(other, "bucket").where((F.col("component") != F.col("s_component")) & (F.col("m.rep") < F.col("s.rep")) & near("m", "s"))
-    many = now.where(F.col("held") > JOINED).select("bucket", "band", "m.rep", "m.n_shingles", "component")
-    pairs = joined.select(F.col("s.rep").alias("u"), F.col("m.rep").alias("v")).union(_across(many, reps, percent)).distinct()
-    pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
-    whole = components(links.union(_confirmed(pairs, docs, reps, percent)))
+    whole = components(links.union(_across(now.select("bucket", "m.rep", "m.n_shingles", "component"), docs, reps, percent)))
     of_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
