@@ -235,6 +235,79 @@ def test_gradients():
     assert gru.score_block(trained, docs[:1])[0] > gru.score_block(net, docs[:1])[0] + 50
 
 
+def plain_log_probability(net, ids):
+    """One token after the other, every softmax written out in double precision."""
+    h, total, heads = np.zeros(gru.STATE), 0.0, net.to_word.shape[0]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for k in ids.tolist():
+        classes = soft(h @ net.to_class + net.class_bias)
+        if k < net.head:
+            c = k // gru.CLASS_SIZE
+            total += math.log(classes[c] * soft(h @ net.to_word[c] + net.word_bias[c])[k % gru.CLASS_SIZE])
+        else:
+            total += math.log(classes[heads + k - net.head])
+        x, a = net.inputs[k].astype(float), h @ net.recur
+        z, r = (1 / (1 + np.exp(-(x + a)[j * gru.STATE : (j + 1) * gru.STATE])) for j in (0, 1))
+        n = np.tanh(x[2 * gru.STATE :] + r * a[2 * gru.STATE :])
+        h = (1 - z) * n + z * h
+    return total
+
+
+def random_network(seed, head=70):
+    draw = np.random.default_rng(seed)
+    net = gru.Network.fresh(draw.integers(1, 50, head).astype(float), np.ones(gru.REST))
+    values = net.flat()
+    return net.filled(np.where(values > -1e8, values + draw.normal(0, 0.4, len(values)), values))
+
+
+def test_scores_are_a_plain_forward_pass(monkeypatch):
+    monkeypatch.setattr(gru, "SCORE_STEPS", 7)
+    monkeypatch.setattr(gru, "SCORE_LANES", 5)
+    draw, net = np.random.default_rng(2), random_network(1)
+    docs = [draw.integers(0, 70 + gru.REST, n).astype("i4") for n in (1, 40, 3, 9, 17, 2, 2, 1, 25, 8, 100)]
+    np.testing.assert_allclose(gru.score_block(net, docs), [plain_log_probability(net, d) for d in docs], rtol=1e-4)
+
+
+def test_gradients_through_time():
+    draw, net = np.random.default_rng(3), random_network(2)
+    docs = [draw.integers(0, 70 + gru.REST, n).astype("i4") for n in (6, 4, 9, 3)]
+    flow = gru.Streams(docs, 2)
+    [(at, edges, first)] = list(flow.windows(64))
+    enter = lambda: np.zeros((2, gru.STATE), "f4")
+    grads, _ = gru.window_gradients(net, enter(), flow.tokens[at], edges, first)
+    used = int(docs[2][0])
+    for n, where in (("recur", (3, 5)), ("recur", (7, 20)), ("recur", (1, 40)), ("inputs", (used, 4)), ("inputs", (used, 18)), ("inputs", (used, 40))):
+        own, size = getattr(net, n), 1e-2
+        own[where] += size
+        up = -sum(plain_log_probability(net, d) for d in docs)
+        own[where] -= 2 * size
+        down = -sum(plain_log_probability(net, d) for d in docs)
+        own[where] += size
+        assert grads[n][where] == pytest.approx((up - down) / (2 * size), abs=2e-2, rel=2e-2)
+
+
+def test_one_very_long_text_among_short_ones():
+    docs = [np.zeros(200_000, "i4"), *[np.ones(20, "i4")] * 600]
+    flow = gru.Streams(docs, gru.SCORE_LANES)
+    assert len(flow.tokens) == len(flow.owner) == len(flow.first) == 212_000
+    assert sum(len(at) for at, _, _ in flow.windows(gru.SCORE_STEPS)) == 212_000
+
+
+def test_the_model_beats_the_counts_on_held_out_texts(spark):
+    draw = random.Random(8)
+
+    def chain(n):  # each word all but settles the next one
+        at, out = draw.randrange(15), []
+        for _ in range(n):
+            at = (at * 4 + (1 if draw.random() < 0.9 else draw.randrange(15))) % 15
+            out.append(WORDS[at])
+        return " ".join(out)
+
+    rows = spark.createDataFrame([(k, chain(120)) for k in range(1500)], "doc_id long, text string").coalesce(2)
+    held = gru.score_documents(rows).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert held.s / held.n > held.b / held.n + 0.2
+
+
 def test_language(spark):
     other = "der die und haus wasser licht stein grün wolke niemals sieben metall".split()
     draw = random.Random(1)

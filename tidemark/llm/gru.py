@@ -5,12 +5,15 @@ predicted as class times word in class, both from the recurrent state. Every oth
 classes by its last two characters; the state predicts the class, and within it the smoothed counts decide,
 with one share for all unseen words. So every token, seen or not, has a probability.
 
+Texts are split once, into a table of their words' numbers that training and scoring read.
 The network is trained by truncated backpropagation in numpy: in each round every task starts from the
-common weights, follows a fixed share of its training documents (another one each round, until all have been followed), and its weights are averaged with those of
-all other tasks by Spark, in proportion to their tokens. Scoring carries the state through a whole document.
+common weights, follows a fixed share of its training documents (another one each round, until all have been followed),
+and its weights are averaged with those of all other tasks by Spark, in proportion to their tokens. So the weights depend a
+little on how the input is split. Scoring carries the state through a whole document, however long: memory is linear in the
+tokens of a block, time in the longest document's steps.
 
 Null text is empty text: it has its end token only. held_out rows are never counted or trained on. A null doc_id
-counts as the empty text in the fold. Repeated rows are counted and scored each. Extra columns are ignored.
+counts as the empty text in the fold. Repeated rows are counted and scored each. Extra columns, whatever their names, are ignored.
 Without training documents every base and model probability is 1 (the rule's limit). An empty table gives no rows.
 """
 
@@ -21,13 +24,14 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checkpoint, crc_fold, documents, id_crc32, pieces
+from .common import ascii_words, checkpoint, crc_fold, documents, id_crc32, pieces, written
 
 #: The end token's word; no word is empty.
 END = ""
@@ -37,8 +41,8 @@ KNOWN = 200_000
 COUNTED_AT_ONCE = 500_000
 #: Rounds of training; each takes one of as many parts of the training documents, by their ids, so together they take all.
 ROUNDS = SHARES = 3
-LANES, STEPS, RATE = 256, 16, 0.02
-SCORE_LANES, SCORE_STEPS, SCORE_TOKENS = 512, 32, 6_000_000
+LANES, STEPS, RATE = 512, 16, 0.02
+SCORE_LANES, SCORE_STEPS, SCORE_TOKENS, TRAIN_TOKENS = 512, 32, 6_000_000, 1_500_000
 #: Tokens after which training starts from the zero state again, so that lanes are of equal length.
 SEGMENT = 512
 SMOOTH = 0.1
@@ -49,7 +53,11 @@ def rest_class(word: str) -> int:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 @dataclass
@@ -95,47 +103,66 @@ class Network:
         """One step from states and input rows: the new states, and what the way back needs."""
         a = h @ self.recur
         gates = _sigmoid(x[:, : 2 * STATE] + a[:, : 2 * STATE])
-        z, r = gates[:, :STATE], gates[:, STATE:]
-        n = np.tanh(x[:, 2 * STATE :] + r * a[:, 2 * STATE :])
-        return n + z * (h - n), z, r, n, a[:, 2 * STATE :]
+        z, r, a = gates[:, :STATE], gates[:, STATE:], a[:, 2 * STATE :]
+        n = r * a
+        n += x[:, 2 * STATE :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, a
+
+    @staticmethod
+    def _softmax(states: np.ndarray, weights: np.ndarray, target: np.ndarray, grad: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probability of each row's target; adds to ``grad``, and gives the gradient by the states, if asked.
+
+        ``states`` has a last column of ones, ``weights`` the bias as its last row.
+        """
+        p = states @ weights
+        if np.abs(weights[:-1]).sum(0).max() + weights[-1].max() > 80:  # states lie between -1 and 1, so else nothing overflows
+            p -= p.max(1, keepdims=True)
+        at = np.arange(0, p.size, p.shape[1])
+        at += target
+        out = p.ravel()[at]
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        out -= np.log(total)
+        if grad is None:
+            return out, None
+        p *= np.reciprocal(total)[:, None]
+        p.ravel()[at] -= 1
+        grad += states.T @ p
+        return out, p @ weights[:-1].T
 
     def log_probability(self, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log of the class (and, for head words, word) probabilities; adds to ``grads``."""
         heads = self.to_word.shape[0]
-        is_head = target < self.head
-        cls = np.where(is_head, target // CLASS_SIZE, heads + target - self.head)
-        logits = states @ self.to_class + self.class_bias
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        rows = np.arange(len(target))
-        out = logits[rows, cls] - np.log(total[:, 0])
+        states = np.column_stack((states, np.ones(len(states), "f4")))
+        cls = np.where(target < self.head, target // CLASS_SIZE, heads + target - self.head).astype("i2")
+        more = [None] * (heads + 1)
         if grads is not None:
-            p /= total
-            p[rows, cls] -= 1
-            grads["to_class"] += states.T @ p
-            grads["class_bias"] += p.sum(0)
-            grads["states"] = p @ self.to_class.T
-        order = np.argsort(np.where(is_head, cls, heads), kind="stable")
-        edges = np.searchsorted(np.where(is_head, cls, heads)[order], np.arange(heads + 1))
-        for c in range(heads):
-            mine = order[edges[c] : edges[c + 1]]
-            if not len(mine):
-                continue
-            s = states[mine]
-            own = s @ self.to_word[c] + self.word_bias[c]
-            own -= own.max(1, keepdims=True)
-            q = np.exp(own)
-            total = q.sum(1, keepdims=True)
-            at = target[mine] % CLASS_SIZE
-            k = np.arange(len(mine))
-            out[mine] += own[k, at] - np.log(total[:, 0])
-            if grads is not None:
-                q /= total
-                q[k, at] -= 1
-                grads["to_word"][c] += s.T @ q
-                grads["word_bias"][c] += q.sum(0)
-                grads["states"][mine] += q @ self.to_word[c].T
+            more = [np.zeros((STATE + 1, self.to_class.shape[1]), "f4"), *np.zeros((heads, STATE + 1, CLASS_SIZE), "f4")]
+        out, back = self._softmax(states, np.vstack((self.to_class, self.class_bias)), cls, more[0])
+        order = np.argsort(cls, kind="stable")
+        edges = np.searchsorted(cls[order], np.arange(heads + 1, dtype="i2"))
+        order = order[: edges[-1]]
+        s, at = states.take(order, 0), target[order] % CLASS_SIZE
+        weights = np.concatenate((self.to_word, self.word_bias[:, None]), 1)
+        found = np.empty(len(order), out.dtype)
+        turned = np.empty((len(order), STATE), "f4")
+        for c in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            mine = slice(edges[c], edges[c + 1])
+            found[mine], turn = self._softmax(s[mine], weights[c], at[mine], more[c + 1])
+            if turn is not None:
+                turned[mine] = turn
+        out[order] += found
+        if grads is not None:
+            back[order] += turned
+            grads["states"] = back
+            grads["to_class"] += more[0][:-1]
+            grads["class_bias"] += more[0][-1]
+            grads["to_word"] += np.stack(more[1:])[:, :-1]
+            grads["word_bias"] += np.stack(more[1:])[:, -1]
         return out
 
 
@@ -149,35 +176,46 @@ def lanes(lengths: np.ndarray, count: int) -> list[list[int]]:
     return [own for _, _, own in sorted(heap, key=lambda x: (-x[0], x[1]))]
 
 
-def streams(docs: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(steps, lanes) of tokens and of their documents' numbers, -1 beyond a lane's end, and lanes in use by step."""
-    dealt = lanes(np.array([len(d) for d in docs]), count)
-    sizes = [sum(len(docs[k]) for k in own) for own in dealt]
-    tokens, owner = np.full((max(sizes), len(dealt)), -1, "i4"), np.full((max(sizes), len(dealt)), -1, "i4")
-    for lane, own in enumerate(dealt):
-        tokens[: sizes[lane], lane] = np.concatenate([docs[k] for k in own])
-        owner[: sizes[lane], lane] = np.repeat(own, [len(docs[k]) for k in own])
-    return tokens, owner, (owner >= 0).sum(1)
+class Streams:
+    """Documents laid end to end in lanes, the longest lane first, so that the lanes in use at a step are the first ones.
+
+    Holds three numbers a token, however unequal the documents are.
+    """
+
+    def __init__(self, docs: list[np.ndarray], count: int):
+        dealt = lanes(np.array([len(d) for d in docs]), count)
+        self.sizes = np.array([sum(len(docs[k]) for k in own) for own in dealt])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        order = [k for own in dealt for k in own]
+        lengths = [len(docs[k]) for k in order]
+        self.tokens = np.concatenate([docs[k] for k in order])
+        self.owner = np.repeat(np.array(order, "i4"), lengths)
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[np.cumsum(lengths) - lengths] = True
+        self.steps = int(self.sizes[0])
+
+    def windows(self, size: int):
+        """For each window: the tokens' places, step after step, where each step begins among them, and whether each starts a document."""
+        used = np.searchsorted(-self.sizes, -np.arange(1, self.steps + 1), "right")
+        for low in range(0, self.steps, size):
+            own = used[low : low + size]
+            at = np.concatenate([self.begin[:n] + low + k for k, n in enumerate(own.tolist())])
+            yield at, [0, *np.cumsum(own).tolist()], self.first[at]
 
 
 def score_block(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each whole document of numbered tokens; states go on across windows."""
-    tokens, owner, used = streams(docs, SCORE_LANES)
-    out, h = np.zeros(len(docs)), np.zeros((tokens.shape[1], STATE), "f4")
-    first = np.vstack((np.ones((1, tokens.shape[1]), bool), owner[1:] != owner[:-1]))
-    for at in range(0, len(tokens), SCORE_STEPS):
-        span = range(at, min(at + SCORE_STEPS, len(tokens)))
-        states, targets, owners = [], [], []
-        for t in span:
-            n = used[t]
-            h = h[:n]
-            h[first[t, :n]] = 0  # a document starts from the zero state
-            states.append(h)
-            targets.append(tokens[t, :n])
-            owners.append(owner[t, :n])
-            h = net.step(h, net.inputs[tokens[t, :n]])[0]
-        found = net.log_probability(np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate(owners), weights=found, minlength=len(docs))
+    flow = Streams(docs, SCORE_LANES)
+    out, h = np.zeros(len(docs)), np.zeros((len(flow.sizes), STATE), "f4")
+    for at, edges, first in flow.windows(SCORE_STEPS):
+        tokens = flow.tokens[at]
+        x, states = net.inputs.take(tokens, 0), np.empty((len(at), STATE), "f4")
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            h = h[: high - low]
+            h[first[low:high]] = 0  # a document starts from the zero state
+            states[low:high] = h
+            h = net.step(h, x[low:high])[0]
+        out += np.bincount(flow.owner[at], weights=net.log_probability(states, tokens), minlength=len(docs))
     return out
 
 
@@ -209,55 +247,54 @@ class Adam:
             weights -= g
 
 
-def train_block(net: Network, docs: list[np.ndarray], rate: float = RATE) -> Network:
-    """Truncated backpropagation over windows of STEPS tokens; states, not gradients, cross windows.
+def window_gradients(net: Network, h: np.ndarray, tokens: np.ndarray, edges: list[int], first: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients of the loss of one window that is entered with states ``h``, and the states after it."""
+    x, before, kept = net.inputs.take(tokens, 0), np.empty((len(tokens), STATE), "f4"), []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        h = h[: high - low]
+        h[first[low:high]] = 0
+        before[low:high] = h
+        h, *rest = net.step(h, x[low:high])
+        kept.append(rest)
+    grads = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
+    net.log_probability(before, tokens, grads)
+    out = grads.pop("states")
+    back, pre, turned = np.zeros((0, STATE), "f4"), np.empty((len(tokens), 3 * STATE), "f4"), net.recur.T.copy()
+    # of the input rows, and of what the states give: the last third of these is seen through the reset gate
+    through = np.empty_like(pre)
+    for k in range(len(kept) - 1, -1, -1):
+        own = slice(edges[k], edges[k + 1])
+        z, r, n, a = kept[k]
+        wide = np.zeros((len(z), STATE), "f4")
+        wide[: len(back)] = back
+        gain = wide * z
+        fresh = wide - gain
+        dn = fresh * (1 - n * n)
+        pre[own, :STATE] = fresh * (before[own] - n) * z
+        pre[own, STATE : 2 * STATE] = dn * a * r * (1 - r)
+        pre[own, 2 * STATE :] = dn
+        through[own, : 2 * STATE] = pre[own, : 2 * STATE]
+        through[own, 2 * STATE :] = dn * r
+        back = through[own] @ turned
+        back += gain
+        back += out[own]
+        back[first[own]] = 0
+    grads["recur"] += before.T @ through
+    order = np.argsort(tokens.astype("i2"), kind="stable")
+    rows, starts = np.unique(tokens[order], return_index=True)
+    grads["inputs"][rows] = np.add.reduceat(pre[order], starts, axis=0)
+    return grads, h
 
-    Lanes come longest first, so those in use in a window are the first ones.
-    """
-    docs = [d[k : k + SEGMENT] for d in docs for k in range(0, len(d), SEGMENT)]
-    all_tokens, all_owner, used = streams(docs, LANES)
-    all_first = np.vstack((np.ones((1, all_tokens.shape[1]), bool), all_owner[1:] != all_owner[:-1]))
+
+def train_block(net: Network, docs: list[np.ndarray], rate: float = RATE) -> Network:
+    """Truncated backpropagation over windows of STEPS tokens; states, not gradients, cross windows."""
+    flow = Streams([d[k : k + SEGMENT] for d in docs for k in range(0, len(d), SEGMENT)], LANES)
     net = net.filled(net.flat())
-    adam, h = Adam(net, rate), np.zeros((all_tokens.shape[1], STATE), "f4")
-    for at in range(0, len(all_tokens), STEPS):
-        span = range(min(STEPS, len(all_tokens) - at))
-        width = used[at]
-        tokens, owner, first = (x[at : at + STEPS, :width] for x in (all_tokens, all_owner, all_first))
-        h = h[:width]
-        kept, before = [], []
-        for t in span:
-            h = h * ~first[t][:, None]
-            before.append(h)
-            h, *rest = net.step(h, net.inputs[tokens[t]])
-            kept.append(rest)
-        valid = np.stack([owner[t] >= 0 for t in span])
-        grads = {n: np.zeros_like(getattr(net, n)) for n in net.NAMES}
-        flat = valid.ravel()
-        net.log_probability(np.concatenate(before)[flat], np.concatenate([tokens[t] for t in span])[flat], grads)
-        out = np.zeros((len(flat), STATE), "f4")
-        out[flat] = grads.pop("states")
-        out = out.reshape(len(kept), width, STATE)
-        back = np.zeros((width, STATE), "f4")
-        all_x = np.zeros((len(kept), width, 3 * STATE), "f4")
-        for i in range(len(kept) - 1, -1, -1):
-            z, r, n, a = kept[i]
-            live = valid[i][:, None]
-            back = back * live
-            dn = back * (1 - z) * (1 - n * n)
-            dz = back * (before[i] - n) * z * (1 - z)
-            dr = dn * a * r * (1 - r)
-            all_x[i] = np.concatenate((dz, dr, dn), 1)
-            da = np.concatenate((dz, dr, dn * r), 1)
-            grads["recur"] += before[i].T @ da
-            back = back * z + da @ net.recur.T + out[i]
-            back = back * ~first[i][:, None]
-        fed = tokens.ravel()[flat]
-        order = np.argsort(fed, kind="stable")
-        rows, starts = np.unique(fed[order], return_index=True)
-        grads["inputs"][rows] = np.add.reduceat(all_x.reshape(-1, 3 * STATE)[flat][order], starts, axis=0)
-        count = max(1, int(flat.sum()))
-        norm = sum(float((g.astype("f8") ** 2).sum()) for g in grads.values()) ** 0.5 / count
-        adam.update(net, grads, min(1.0, 1.0 / max(norm, 1e-9)) / count)
+    adam, h = Adam(net, rate), np.zeros((len(flow.sizes), STATE), "f4")
+    for at, edges, first in flow.windows(STEPS):
+        grads, h = window_gradients(net, h, flow.tokens[at], edges, first)
+        norm = sum(float(np.vdot(g, g)) for g in grads.values()) ** 0.5 / len(at)
+        adam.update(net, grads, min(1.0, 1.0 / max(norm, 1e-9)) / len(at))
     return net
 
 
@@ -296,8 +333,7 @@ class Lexicon:
         """Places of a document's words and its end; -1 for a word that isn't known."""
         if not hasattr(self, "place"):
             self.prepare()
-        get = self.place.get
-        return np.array([get(w, -1) for w in words] + [self.place[END]])
+        return np.fromiter(map(self.place.get, [*words, END], repeat(-1)), "i4", len(words) + 1)
 
     def numbers(self, words: list[str], places: np.ndarray | None = None) -> np.ndarray:
         """Input and output numbers of a document's words and its end."""
@@ -362,22 +398,51 @@ def lexicon(words: DataFrame, known: int = KNOWN, head: int = HEAD) -> tuple[Lex
     return lex, words.where((level < least) & (F.col("word") != END))
 
 
-def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, shares: int = SHARES) -> Network:
-    """Fit on the training documents: one share of them a round, averaged over all tasks by Spark."""
-    spark = docs.sparkSession
+NUMBERED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, numbers binary, tail array<struct<word: string, n: long>>"
+
+
+def number_documents(docs: DataFrame, lex: Lexicon, fold: int = 10) -> DataFrame:
+    """The numbers of each whole text's tokens, 16 bits each, and what the counts of known words give; ``tail``: the words that no task knows."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    names = [x.split()[0] for x in NUMBERED.split(", ")[:8]] + ["tail"]
+
+    def run(batches):
+        own = shared.value
+        for part in pieces(batches):
+            ids, rows, numbers, words_out, n_out, offsets = part.column(1).to_pylist(), [], [], [], [], [0]
+            for key, text in zip(ids, part.column(2).to_pylist(), strict=True):
+                words = ascii_words(text or "")
+                places = own.places(words)
+                numbers.append(own.numbers(words, places).astype("<u2").tobytes())
+                if (places < 0).any():
+                    tail = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
+                    words_out += tail
+                    n_out += tail.values()
+                    places = places[places >= 0]
+                offsets.append(len(words_out))
+                rows.append((id_crc32(key) % fold == 0, len(words) + 1, int(own.seen[places].sum()), float(own.log_base[places].sum()), float(own.log_rest[places].sum())))
+            kinds = pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
+            tails = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words_out, pa.string()), pa.array(n_out, pa.int64())], ["word", "n"]))
+            yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], pa.array(numbers, pa.binary()), tails], names)
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, NUMBERED)
+
+
+def fit(numbered: DataFrame, lex: Lexicon, rounds: int = ROUNDS, shares: int = SHARES) -> Network:
+    """Fit on numbered training documents: one share of them a round, averaged over all tasks by Spark."""
+    spark = numbered.sparkSession
     head_counts = np.array([lex.counts.get(w, 0) for w in sorted(lex.number, key=lex.number.get)], float)
     net = Network.fresh(head_counts, lex.rest_tokens)
     for k in range(rounds):
-        shared = spark.sparkContext.broadcast((lex, net))
+        shared = spark.sparkContext.broadcast(net)
 
         def run(batches, shared=shared):
-            own, model = shared.value
-            held, size, total = [], 0, 0
+            model, held, size, total = shared.value, [], 0, 0
             for part in pieces(batches):
-                for text in part.column(0).to_pylist():
-                    held.append(own.numbers(ascii_words(text or "")))
+                for x in part.column(0).to_pylist():
+                    held.append(np.frombuffer(x, "<u2").astype("i4"))
                     size += len(held[-1])
-                if size > SCORE_TOKENS // 4:
+                if size > TRAIN_TOKENS:
                     model, total = train_block(model, held), total + size
                     held, size = [], 0
             if held:
@@ -385,8 +450,8 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, shares: int = SHA
             if total:
                 yield pa.record_batch([pa.array([total], pa.int64()), pa.array([model.flat()], pa.list_(pa.float32()))], ["tokens", "weights"])
 
-        part = docs.where(crc_fold("doc_id", 10 * shares) % shares == k % shares)
-        rows = part.select("text").mapInArrow(run, "tokens long, weights array<float>")
+        part = numbered.where(crc_fold("doc_id", 10 * shares) % shares == k % shares)
+        rows = part.select("numbers").mapInArrow(run, "tokens long, weights array<float>")
         summed = rows.select("tokens", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).alias("w"))
         got = summed.toPandas()
         if len(got):
@@ -397,48 +462,49 @@ def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, shares: int = SHA
     return net
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word: string, n: int>>"
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS, shares: int = SHARES) -> Network:
+    """fit() on the texts of ``docs``."""
+    return fit(number_documents(docs, lex), lex, rounds, shares)
 
 
 def score_documents(docs: DataFrame, fold: int = 10, known: int = KNOWN, head: int = HEAD, rounds: int = ROUNDS, shares: int = SHARES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
-    training = docs.where(crc_fold("doc_id", fold) != 0)
-    words = checkpoint(count_words(training))
+    words = checkpoint(count_words(docs.where(crc_fold("doc_id", fold) != 0)))
     lex, tail_words = lexicon(words, known, head)
+    numbered = written(number_documents(docs, lex, fold))
     trained = lex.tokens > 0
-    lex.net = train(training, lex, rounds, shares) if trained else None
+    net = fit(numbered.where("not held_out"), lex, rounds, shares) if trained else None
     base_total, rest_total = lex.base_total(), lex.rest_total()
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        own = shared.value
-
-        def block(rows, numbers):
-            found = score_block(own.net, numbers) / math.log(10) if own.net else np.zeros(len(rows))
-            rows = [(*r[:-2], r[-2] + s, r[-1]) for r, s in zip(rows, found.tolist(), strict=True)]
-            kinds = pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")[:7]] + ["tail"])
+        own, held, numbers, size = shared.value, [], [], 0
+
+        def block():
+            found = score_block(own, numbers) / math.log(10) if own else np.zeros(len(numbers))
+            out, at = [], 0
+            for part in held:
+                part = part.drop_columns(["numbers"])
+                k = part.schema.get_field_index("within")
+                out.append(part.set_column(k, "score", pa.array(part.column(k).to_numpy() + found[at : at + part.num_rows])))
+                at += part.num_rows
+            return out
 
-        rows, numbers, held = [], [], 0
         for part in pieces(batches):
-            for row, key, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                words = ascii_words(text or "")
-                places = own.places(words)
-                numbers.append(own.numbers(words, places))
-                tail = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
-                places = places[places >= 0]
-                base, within, seen = float(own.log_base[places].sum()), float(own.log_rest[places].sum()), int(own.seen[places].sum())
-                rows.append((row, key, id_crc32(key) % fold == 0, len(words) + 1, seen, base, within, [{"word": w, "n": n} for w, n in tail.items()]))
-                held += len(words) + 1
-            if held >= SCORE_TOKENS:
-                yield block(rows, numbers)
-                rows, numbers, held = [], [], 0
-        if rows:
-            yield block(rows, numbers)
-
-    scored = checkpoint(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED))
+            held.append(part)
+            new = [np.frombuffer(x, "<u2").astype("i4") for x in part.column("numbers").to_pylist()]
+            numbers += new
+            size += sum(map(len, new))
+            if size >= SCORE_TOKENS:
+                yield from block()
+                held, numbers, size = [], [], 0
+        if held:
+            yield from block()
+
+    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    scored = numbered.select(*kept, "within", "numbers").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # the counts of the words that no task holds; a word without a count was never seen in training
-    rare = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("k"))
+    rare = numbered.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("k"))
     rare = rare.join(tail_words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     of_class = F.get(F.array(*[F.lit(float(x)) for x in rest_total]), rest_column("word"))
     sums = rare.groupBy("row").agg(
@@ -446,7 +512,7 @@ def score_documents(docs: DataFrame, fold: int = 10, known: int = KNOWN, head: i
         F.sum(F.col("k") * F.log10((F.col("c") + SMOOTH) / of_class)).alias("more_score"),
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
     )
-    out = scored.drop("tail").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     base = more("base_score", "more_base")
     score = more("score", "more_score") if trained else base
