@@ -381,7 +381,6 @@ def test_near_duplicates(spark, docs):
 def test_blocks_miss_no_pair(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     monkeypatch.setattr(minhash, "COLUMNS", 7)
-    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
     base, texts = prose(60, 80).split(), {}
     for k in range(30):  # each differs from the common base, and from all others, in a few words
         own = list(base)
@@ -439,6 +438,13 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(51), 0), 100: 100, 150: 100, 200: 100}
 
 
+def test_components_of_a_hot_node(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES_A_TASK", 10)
+    edges = [(1000 + k, 7) for k in range(60)] + [(7, 3), (500, 400), (1060, 2)]
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert got == {**{1000 + k: 3 for k in range(60)}, 7: 3, 3: 3, 500: 400, 400: 400, 1060: 2, 2: 2}
+
+
 def test_revisits(spark):
     at = lambda n: F.timestamp_seconds(F.lit(n))
     rows = [

@@ -4,10 +4,11 @@ A document's set holds its distinct runs of five words (ASCII white space, A-Z l
 with fewer words has the whole sequence, one without words or with null text the empty set, and it is
 linked with nothing. Documents of equal sets form a class, which its least doc_id stands for.
 Representatives whose signatures agree in a band are candidates. Each is first held against the
-least one of its bucket, then with a few drawn members of the bucket's commonest component; at last, in buckets
-that still hold several components, every pair across components is tried. So a bucket of many copies costs one link a copy, and no link that could join
-two components is left out. In the same join, candidates must be near in size and their signatures, one bit
-a hash function, must agree well enough; those that pass are confirmed on the full sets.
+least one of its bucket: such a pair must be near in size, its signatures, one bit a hash function, must agree
+to within DEVIATIONS of what the threshold gives (a link fails this once in 10^9), and it is confirmed on the full sets. In buckets that then
+still hold several components every pair across them is decided on the full sets, a pair of blocks at a time.
+So a bucket of many copies costs one link a copy, no link that could join two components is left out, and what comes out of a
+bucket is linear in its members.
 
 Rows of null doc_id are linked with nothing: their component is null and they are kept. Rows that
 share a doc_id are kept or dropped together with their own text's class. Extra columns are ignored.
@@ -34,8 +35,6 @@ SEED = 20_240_501
 DEVIATIONS = 6.0
 #: Most bits of the filter of document ids that tasks hold (16 MB).
 FILTER_BITS = 1 << 27
-#: Rounds in which each bucket's other members are tried with so many drawn members of its commonest component.
-PIVOT_ROUNDS, PIVOTS = 1, 3
 #: Members of a bucket, and values of their sets, that are held against as many others at once.
 BLOCK, BLOCK_VALUES = 512, 1 << 20
 #: Distinct values that are compared at once.
@@ -168,7 +167,8 @@ def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
     wanted = reps.join(ids, "rep", "left_semi").select("rep", "set_key")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text").withColumn("h", _id_hash("rep", bits))
-    return texts.mapInArrow(run, "rep long, set_key binary, members binary").join(wanted, ["rep", "set_key"], "left_semi").dropDuplicates(["rep"])
+    found = texts.mapInArrow(run, "rep long, set_key binary, members binary").dropDuplicates(["rep", "set_key"])
+    return checkpoint(found.join(wanted, ["rep", "set_key"], "left_semi").select("rep", "members"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -190,13 +190,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _strangers(placed: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The buckets that hold several components: their members, and those outside the commonest component."""
-    now = placed.join(found, placed["m.rep"] == found["node"], "left").select("bucket", "band", "m", F.coalesce("component", "m.rep").alias("component"))
-    counts = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "top")
-    now = checkpoint(now.join(mixed, "bucket"))
-    return now, now.where("component != top").select("bucket", F.col("m").alias("s"), F.col("component").alias("s_component"))
+def _mixed_buckets(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, rep, n_shingles, component): the members of the buckets that hold several components."""
+    now = placed.join(found, placed["m.rep"] == found["node"], "left").select("bucket", "m.rep", "m.n_shingles", F.coalesce("component", "m.rep").alias("component"))
+    mixed = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
+    return checkpoint(now.join(mixed, "bucket"))
 
 
 def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -279,7 +277,7 @@ def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "component")
     key = ["bucket", "lo", "hi"]
     rows = dealt.join(_sets(members.select("rep").distinct(), docs, reps), "rep").repartition(shuffle_partitions(docs.sparkSession), *key)
-    return rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long").distinct()
+    return rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -290,7 +288,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     first_rows = full.join(classes.withColumnRenamed("set_key", "__key"), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("__key")))
     reps = checkpoint(first_rows.select("rep", "set_key", "n_shingles", "s0", "s1", "s2", "s3", "buckets").dropDuplicates(["rep", "set_key"]))
     member = F.struct("rep", "n_shingles", "s0", "s1", "s2", "s3")
-    in_buckets = reps.select("rep", F.posexplode("buckets").alias("band", "bucket"))
+    in_buckets = reps.select("rep", F.explode("buckets").alias("bucket"))
     shared = in_buckets.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("bucket", "least")
     signed = reps.select("rep", member.alias("m"))
     placed = checkpoint(in_buckets.join(shared, "bucket").join(signed, "rep").drop("rep"))
@@ -299,20 +297,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     centres = placed.where("m.rep = least").select("bucket", F.col("m").alias("c")).dropDuplicates(["bucket"])
     to_least = placed.where("m.rep != least").join(centres, "bucket").where(near("m", "c"))
     to_least = checkpoint(to_least.select(F.col("m.rep").alias("u"), F.col("c.rep").alias("v")).distinct())
-    tested = to_least
     links = checkpoint(_confirmed(to_least, docs, reps, percent))
-    for k in range(PIVOT_ROUNDS):
-        now, rest = _strangers(placed, components(links))
-        drawn = [F.min_by("m", F.xxhash64("m.rep", F.lit(k * PIVOTS + i))) for i in range(PIVOTS)]
-        pivots = now.where("component = top").groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("pivots"))
-        tried = rest.join(pivots, "bucket").select("s", F.explode("pivots").alias("m")).where(near("m", "s"))
-        tried = tried.select(F.greatest("m.rep", "s.rep").alias("u"), F.least("m.rep", "s.rep").alias("v")).distinct()
-        tried = checkpoint(tried.join(tested, ["u", "v"], "left_anti"))
-        tested = tested.union(tried)
-        links = checkpoint(links.union(_confirmed(tried, docs, reps, percent)))
     # what is left: all against all in a bucket that still holds several components
-    now, _ = _strangers(placed, components(links))
-    whole = components(links.union(_across(now.select("bucket", "m.rep", "m.n_shingles", "component"), docs, reps, percent)))
+    more = _across(_mixed_buckets(placed, components(links)), docs, reps, percent)
+    whole = components(links.union(more))
     of_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
