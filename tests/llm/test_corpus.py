@@ -115,6 +115,65 @@ def test_patterns_discover_grouped_digits_and_chains(spark):
     assert set(wanted) <= found and set(link[3]) <= found and set(link[4]) <= found
 
 
+def plain_labels(scanned):
+    """The pattern-instance graph scored by plain loops: value -> (kind, score) of the values that are no seeds."""
+    seeds, edges = {}, {}
+    for row in scanned:
+        for r in row.runs:
+            edges.setdefault(r.value, set()).update(r.patterns)
+            if r.kind is not None:
+                seeds[r.value] = min(r.kind, seeds.get(r.value, 9))
+    held = Counter(p for own in edges.values() for p in own)
+    labels, before = {v: (k, 1.0) for v, k in seeds.items()}, None
+    while True:
+        own, n = Counter(), Counter()
+        for v, (k, score) in labels.items():
+            for p in edges.get(v, ()):
+                own[p, k] += score
+                n[p] += 1
+        total = Counter()
+        for (p, _), x in own.items():
+            total[p] += x
+        share = {(p, k): x / (total[p] + pii.UNKNOWN_SHARE * (held[p] - n[p]) + pii.PRIOR) for (p, k), x in own.items() if held[p] > pii.LEAST_SEEDS and x >= pii.LEAST_SEEDS}
+        best = {}
+        for v, own_patterns in edges.items():
+            for k in range(4):
+                left = [max(1 - share[p, k], 1e-9) for p in own_patterns if share.get((p, k), 0) >= pii.LEAST_SHARE]
+                score = 1 - math.prod(left)
+                if v not in seeds and left and score >= pii.LEAST_SCORE and labels.get(v, (k,))[0] == k and score > best.get(v, (0, 0))[1] + 1e-12:
+                    best[v] = (k, max(score, labels.get(v, (k, 0.0))[1]))
+        labels = {**{v: x for v, x in labels.items() if v not in best}, **best}
+        now = len(labels), sum(x for _, x in labels.values())
+        if before and now[0] == before[0] and now[1] - before[1] <= pii.LEAST_GAIN * now[0]:
+            return {v: x for v, x in labels.items() if v not in seeds}
+        before = now
+
+
+def test_pattern_scores_are_those_of_plain_loops(spark):
+    draw, texts = random.Random(12), []
+    makers = (lambda: f"a{draw.randrange(99)}@b{draw.randrange(9)}.org", lambda: ".".join(str(draw.randrange(256)) for _ in range(4)), lambda: "".join(draw.choice("0123456789") for _ in range(16)), lambda: f"+1 ({draw.randrange(1000):03}) 555-{draw.randrange(10000):04}", lambda: f"id{draw.randrange(10**7)}", lambda: f"x{draw.randrange(99)}@local")
+    for _ in range(400):
+        k = draw.randrange(6)
+        context = draw.choice(["write to", "from host", "card no", "call me", "so that"]) if draw.random() < 0.3 else ("write to", "from host", "card no", "call me", "card no", "write to")[k]
+        texts.append(f"we {context} {makers[k]()} {draw.choice(WORDS)}")
+    texts += ["", None, "no data", "4111111111111111 " * 3]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    scanned = pii.scan(rows).cache()
+    want = plain_labels(scanned.collect())
+    got = {r.value: (r.kind, r.score) for r in pii.label_values(scanned).collect()}
+    assert len(want) > 10 and len({k for k, _ in want.values()}) > 1
+    assert got.keys() == want.keys()
+    assert all(got[v][0] == want[v][0] and got[v][1] == pytest.approx(want[v][1], abs=1e-9) for v in want)
+    spans = {r.doc_id: r.found for r in pii.find_personal_data(rows).collect()}
+    assert {texts[k][s.start : s.end].lower() for k, found in spans.items() for s in found} == set(want)
+
+
+def test_nothing_to_label(spark):
+    rows = spark.createDataFrame([(1, "no data"), (2, None), (3, "order 1234567 of 7654321")], "doc_id long, text string")
+    assert [r.found for r in pii.find_personal_data(rows).collect()] == [[], [], []]
+    assert pii.redact(rows.withColumn("n_chars", F.lit(0).cast("long"))).select("text").collect()[2].text == "order 1234567 of 7654321"
+
+
 def test_media(spark, docs):
     for r in media.store_texts(docs).collect():
         if r.doc_id is None:
@@ -319,11 +378,87 @@ def test_language(spark):
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[100].rejected and got[102].rejected
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in range(80))
     # every context's probabilities over the alphabet add up to one with the unseen share
-    grams = dict(zip(model.grams[0].tolist(), model.share[0].tolist(), strict=True))
-    assert np.sum(list(grams.values()), axis=0) + model.backoff[0][0] == pytest.approx([1, 1])
+    ones = np.bincount(model.grams[0].lang, weights=model.grams[0].value) + model.contexts[0].value[np.argsort(model.contexts[0].lang)]
+    assert ones == pytest.approx([1, 1])
     assert set(langid.accept(table, model).select("doc_id").toPandas().doc_id) == set(range(80))
 
 
+def plain_kneser_ney(counts, order=4):
+    """log P of a word by interpolated Kneser-Ney with dictionaries; ``counts``: word -> n of one language."""
+    tables = {k: Counter() for k in range(1, order + 1)}
+    for w, n in counts.items():
+        padded = f" {w} "
+        for end in range(2, len(padded) + 1):
+            gram = padded[max(end - order, 0) : end]
+            tables[len(gram)][gram] += n
+    for k in range(order, 1, -1):
+        for gram in tables[k]:
+            tables[k - 1][gram[1:]] += 1
+    discount, total, kinds = {}, Counter(), Counter()
+    for k, own in tables.items():
+        n1, n2 = (sum(c == x for c in own.values()) for x in (1, 2))
+        discount[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        for gram, c in own.items():
+            total[k, gram[:-1]] += c
+            kinds[k, gram[:-1]] += 1
+
+    def p(gram):
+        if not gram:
+            return 1e-6
+        k, context = len(gram), gram[:-1]
+        if not total[k, context]:
+            return p(gram[1:])
+        share = max(tables[k][gram] - discount[k], 0) / total[k, context]
+        return share + discount[k] * kinds[k, context] / total[k, context] * p(gram[1:])
+
+    return lambda w: sum(math.log(p(f" {w} "[max(e - order, 0) : e])) for e in range(2, len(w) + 3))
+
+
+def test_language_scores_are_plain_kneser_ney(spark):
+    letters = "abcdeéßжя"
+    draw, rows = random.Random(4), []
+    for k in range(300):
+        lang = ("aa", "bb", "cc")[k % 3]
+        rows.append((k, " ".join("".join(draw.choice(letters[k % 3 * 2 : k % 3 * 2 + 5]) for _ in range(draw.randint(1, 6))) for _ in range(20)), lang))
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: Counter() for lang in model.languages}
+    for k, t, lang in rows:
+        if zlib.crc32(str(k).encode()) % 30 // 3 != 0:  # the others calibrate
+            counts[lang].update(t.split())
+    words = ["a", "abc", "ßжя", "zzz", "éaéaéaéaéa", "b" * 30, *list(counts["aa"])[:50], *list(counts["cc"])[:50]]
+    found = model.score_words(words)
+    for i, lang in enumerate(model.languages):
+        plain = plain_kneser_ney(counts[lang])
+        np.testing.assert_allclose(found[:, i], [plain(w) for w in words], rtol=2e-4)
+    assert found[:, -1].tolist() == [len(w) + 1 for w in words]
+    # with a quota some n-grams are left out, and each context's shares and back-off weight still add up to one
+    small, left = (t.toPandas() for t in langid.model_tables(langid.word_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string")), quota=40))
+    assert small.groupby(["lang", "size"]).size().max() <= 40 < len(langid.build(small, left).grams[3].keys) + 200
+    small["context"] = small["gram"].str[:-1]
+    sums = small.groupby(["lang", "size", "context"])["value"].sum()
+    whole = sums + left.set_index(["lang", "size", "gram"])["value"].rename_axis(["lang", "size", "context"])
+    assert whole.notna().all() and np.allclose(whole, 1) and (left["value"] > 0).all()
+
+
+def test_language_edges(spark):
+    assert langid.letter_words("½ ② Ⅻ 12 _ ٣") == [] and langid.letter_words("aⅫb_cé") == ["a", "b", "cé"]
+    rows = spark.createDataFrame([(1, "one two"), (2, None), (3, "")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    model = langid.train(rows)
+    assert model is None and langid.accept(rows, model).count() == 3
+    assert {(r.lang_pred, r.score, r.rejected) for r in langid.predict(rows, model).collect()} == {("und", 0.0, False)}
+
+
+def test_language_rejection_is_calibrated(spark):
+    draw = random.Random(6)
+    rows = [(k, prose(k, draw.choice([3, 20, 60])), "en") for k in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(table)
+    fresh = spark.createDataFrame([(k, prose(10_000 + k, draw.choice([3, 20, 60]))) for k in range(400)], "doc_id long, text string")
+    junk = spark.createDataFrame([(k, " ".join("".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(12))) for k in range(100)], "doc_id long, text string")
+    assert langid.predict(fresh, model).where("rejected").count() <= 4
+    assert langid.predict(junk, model).where("rejected").count() >= 98
+
+
 def test_line_dedup(spark, docs):
     first, out, gone = {}, {}, {}
     rows = sorted({(k is not None, k or 0, t) for k, t in ((r.doc_id, r.text) for r in docs.collect()) if t is not None})

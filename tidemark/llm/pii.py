@@ -2,16 +2,20 @@
 
 Base spans are the matches of four forms (email, ip, card, phone), leftmost and non-overlapping for each kind. They
 seed the rest: every base span and every other identifier-like run (an @ or at least ``LEAST_DIGITS``
-digits, without white space or in groups joined by single spaces, dots, hyphens or brackets) stands between words, which give its lexical patterns: the word
-before, the two words before, the words on both sides. Patterns and the distinct values that they hold form a graph. In each round a
-pattern is scored for each kind by the share of its values that are labelled with it; patterns with enough
-labelled values and a high share pass labels to their other values, whose score is that of several
-patterns together; values of a high score are labelled, keep their kind and seed the next round, until nothing changes. Occurrences of labelled
-values become spans; base spans are never dropped.
+digits, without white space or in groups joined by single spaces, dots, hyphens or brackets) has lexical patterns: its form (digits
+and letters by class), the word before, the two words before, the words on both sides, and its form after the word before. Patterns and
+the distinct values that they hold form a graph. In each round a pattern is scored for each kind: the scores of its values that are labelled
+with it, over these plus those labelled otherwise plus ``UNKNOWN_SHARE`` for each value without a label plus ``PRIOR`` (a value
+that nobody has labelled speaks against a pattern, but less than one of another kind). Patterns with ``LEAST_SEEDS`` labelled values
+and a score of ``LEAST_SHARE`` pass labels to their other values, whose score is that of several patterns together; values of
+``LEAST_SCORE`` are labelled, keep their kind and their best score, and seed the next round, until nothing changes. Occurrences of
+labelled values become spans; base spans are never dropped.
 
 Null text has no spans. Offsets are code points, ends exclusive. Spans of different kinds may overlap, and found ones may lie within one another; found
 ones never overlap a base span. Repeated rows have the same spans each. Ties between kinds go to the kind
-listed first. Without seeds nothing is found. Extra columns are ignored. An empty table gives no rows.
+listed first. Without seeds nothing is found. Extra columns, whatever their names, are ignored by find_personal_data() and
+kept by redact(). An empty table gives no rows. Values and texts may be of any length; context words are those that
+begin within ``REACH`` characters of the span.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import checkpoint, documents, pieces
 
@@ -29,9 +35,13 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_DIGITS = 5
 #: Longer values are told apart by a hash.
 MOST_CHARS = 64
-#: A pattern needs so many labelled values, and such a share of its values, to pass a label on.
+#: A pattern needs labelled values of such scores together, and such a score, to pass a label on.
 LEAST_SEEDS, LEAST_SHARE = 3.0, 0.6
 LEAST_SCORE = 0.75
+#: What a value without a label counts against a pattern, and what every pattern has against it.
+UNKNOWN_SHARE, PRIOR = 0.25, 1.0
+#: Rounds end when no value is new and scores rise by less than this on average.
+LEAST_GAIN = 1e-4
 #: Context words are looked for in so many characters on each side.
 REACH = 60
 
@@ -42,6 +52,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]+")
 _GROUPS = re.compile(r"[0-9]++(?:(?:[ .-]|\)[ .-]?\(?|[ .-]\()[0-9]++)++")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>|*#%$&="
 
 
@@ -129,14 +140,21 @@ def value_of(run: str) -> str:
     return run if len(run) <= MOST_CHARS else hashlib.blake2b(run.encode("utf-8", "surrogatepass"), digest_size=32).hexdigest()
 
 
+def form_of(run: str) -> str:
+    """Digits as 0, each run of letters as a; of a long run its first part and its length in digits."""
+    form = _LETTERS.sub("a", re.sub("[0-9]", "0", run))
+    return form if len(form) <= MOST_CHARS else f"{form[:MOST_CHARS]}~{form.count('0')}"
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a span: its neighbouring words, lower-cased, digits as 0."""
+    """The lexical patterns of a span: its form, its neighbouring words, lower-cased, digits as 0, and both together."""
     plain = lambda words: [_DIGIT.sub("0", w.lower()) for w in words]
     left = plain(text[max(0, start - REACH) : start].split()[-2:])
     right = plain(text[end : end + REACH].split()[:1])
-    out = []
+    form = form_of(text[start:end])
+    out = [f"f {form}"]
     if left:
-        out.append(f"1 {left[-1]}")
+        out += [f"1 {left[-1]}", f"lf {left[-1]} {form}"]
         if len(left) > 1:
             out.append(f"2 {left[0]} {left[1]}")
         if right:
@@ -166,30 +184,36 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def label_values(scanned: DataFrame) -> DataFrame:
-    """(value, kind, score): the values that are no seeds and were labelled, with the kind of the best score."""
+    """(value, kind, score): the values that are no seeds and were labelled, with the kind of the best score.
+
+    A seed of several kinds has the first of them. A pattern's edges are never held together: they are counted by value, then summed.
+    """
     runs = scanned.select(F.explode("runs").alias("r")).select("r.kind", "r.value", "r.patterns")
-    seeds = runs.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    seeds = checkpoint(runs.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
     edges = runs.select("value", F.explode("patterns").alias("pattern")).distinct()
-    # a pattern with one value has nothing to pass on
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("held")).where(F.col("held") > LEAST_SEEDS)
+    # a pattern with fewer values has nothing to pass on; as a table, so that the join can split a pattern of very many values
+    wide = checkpoint(edges.groupBy("pattern").agg(F.count("*").alias("held")).where(F.col("held") > LEAST_SEEDS))
     edges = checkpoint(edges.join(wide, "pattern"))
-    seeds = checkpoint(seeds)
     labels, before = seeds, None
     while True:
-        scored = edges.join(labels, "value").groupBy("pattern", "held", "kind").agg(F.sum("score").alias("seeds"))
-        trusted = scored.withColumn("share", F.col("seeds") / F.col("held")).where((F.col("seeds") >= LEAST_SEEDS) & (F.col("share") >= LEAST_SHARE)).select("pattern", "kind", "share")
+        own = edges.join(labels, "value").groupBy("pattern", "held", "kind").agg(F.sum("score").alias("own"), F.count("*").alias("n"))
+        all_kinds = Window.partitionBy("pattern")  # as many rows as kinds
+        against = F.sum("own").over(all_kinds) - F.col("own") + UNKNOWN_SHARE * (F.col("held") - F.sum("n").over(all_kinds)) + PRIOR
+        scored = own.withColumn("share", F.col("own") / (F.col("own") + against))
+        trusted = checkpoint(scored.where((F.col("own") >= LEAST_SEEDS) & (F.col("share") >= LEAST_SHARE)).select("pattern", "kind", "share"))
         reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("score"))
-        had = labels.select("value", F.col("kind").alias("had"))
-        reached = reached.join(had, "value", "left").where("had is null or kind = had")
-        best = reached.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m")).select("value", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))
-        found = best.where(F.col("score") >= LEAST_SCORE).join(seeds, "value", "left_anti")
-        labels = checkpoint(seeds.union(found))
-        # scores only rise, so this ends
-        now = labels.agg(F.count("*"), F.sum("score")).first()
-        if before and now[0] <= before[0] and now[1] - before[1] <= 1e-6:
+        had = labels.select("value", F.col("kind").alias("had"), F.col("score").alias("had_score"))
+        reached = reached.where(F.col("score") >= LEAST_SCORE).join(had, "value", "left").where("had is null or kind = had")
+        reached = reached.select("value", "kind", F.greatest("score", F.coalesce("had_score", F.lit(0.0))).alias("score"))
+        # labels stay, and take the better score
+        found = labels.select("value", "kind", "score").union(reached).join(seeds.select("value"), "value", "left_anti")
+        best = found.groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("m"))
+        labels = checkpoint(seeds.union(best.select("value", (-F.col("m.k")).alias("kind"), F.col("m.score").alias("score"))))
+        now = labels.agg(F.count("*"), F.coalesce(F.sum("score"), F.lit(0.0))).first()
+        if before and now[0] == before[0] and now[1] - before[1] <= LEAST_GAIN * now[0]:
             break
         before = now
-    return labels.join(seeds, "value", "left_anti")
+    return labels.join(seeds.select("value"), "value", "left_anti")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -197,8 +221,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     scanned = checkpoint(scan(docs))
     more = label_values(scanned)
     runs = scanned.select("doc_id", "body", F.explode("runs").alias("r")).where("r.kind is null").select("doc_id", "body", "r.start", "r.end", "r.value").distinct()
-    spans = runs.join(more, "value").groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).agg(F.sort_array(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end"))).alias("found"))
-    out = scanned.select("doc_id", "body", "base").join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("body") == F.col("__body")), "left")
+    spans = runs.join(more, "value").groupBy(F.col("doc_id").alias("id"), F.col("body").alias("own")).agg(F.sort_array(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end"))).alias("found"))
+    out = scanned.select("doc_id", "body", "base").join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("body").eqNullSafe(F.col("own")), "left")
     return out.select("doc_id", "body", "base", F.coalesce("found", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)")).alias("found"))
 
 
@@ -211,14 +235,14 @@ def spans_text(spans: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in angle brackets, and n_chars renewed.
 
-    Overlapping spans are replaced together, under the kind of the first of them.
+    Overlapping spans are replaced together, under the kind of the first of them. Columns keep their order, values and names.
     """
-    spans = find_personal_data(docs).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.concat("base", "found").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__id", "__body"])
+    spans = find_personal_data(docs).select("doc_id", "body", F.concat("base", "found").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "body"])
 
     def run(batches):
         for part in pieces(batches):
-            out = []
-            for text, found in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist(), strict=True):
+            texts = []
+            for text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if found:
                     parts, low = [], 0
                     for s in sorted(found, key=lambda s: (s["start"], s["kind"])):
@@ -226,19 +250,23 @@ def redact(docs: DataFrame) -> DataFrame:
                             parts += [text[low : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
                         low = max(low, s["end"])
                     text = "".join([*parts, text[low:]])
-                out.append(text)
-            at = part.schema.get_field_index("text")
-            part = part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))
-            yield part.select([n for n in part.schema.names if n != "__spans"])
+                texts.append(text)
+            yield pa.record_batch([pa.array(texts, pa.string()), part.column(2)], ["text", "row"])
 
-    own = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
-    df = docs.withColumn("__own", own).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left")
-    df = df.select(*[F.col(f"`{c}`") for c in docs.columns], "__spans").mapInArrow(run, docs.schema)
-    return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    text = F.col("row.text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumns({"id": F.col("row.doc_id").cast("long"), "own": F.when(text.isNotNull(), F.xxhash64(text))})
+    rows = rows.join(spans, F.col("id").eqNullSafe(spans["doc_id"]) & (F.col("own") == spans["body"]), "left")
+    rest = F.struct(*[F.col(f"row.`{c}`") for c in docs.columns if c != "text"])
+    rows = rows.select(text.alias("text"), "spans", rest.alias("row"))
+    done = rows.mapInArrow(run, StructType([StructField("text", StringType()), StructField("row", rows.schema["row"].dataType)]))
+    n_chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    own = {"text": F.col("text"), "n_chars": n_chars}
+    return done.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = find_personal_data(documents(spark, sf_dir))
     of_kind = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(of_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return df.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return df.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.concat("base", "found")).alias("spans"), F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans"))
