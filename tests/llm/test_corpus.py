@@ -62,6 +62,36 @@ def test_winnowing_minimum(spark):
     assert [(x.hash % 2**64, x.position) for x in rows[3].fp] == [(grams[k], k) for k in chosen]
 
 
+def test_winnowing_without_separators(spark):
+    """Texts in one run keep most of their fingerprint when they start a few letters later."""
+    draw = random.Random(11)
+    runs = ["".join(draw.choice(letters) for _ in range(3000)) for letters in ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "0123456789abcdef", "".join(map(chr, range(0x4E00, 0x4E80))), "".join(map(chr, range(0x430, 0x450))))]
+    rows = [(2 * k + j, t[j * 7 :]) for k, t in enumerate(runs) for j in range(2)]
+    df = winnowing.with_fingerprint(spark.createDataFrame(rows, "k int, text string"), "text", "fp")
+    got = {r.k: {x.hash for x in r.fp} for r in df.collect()}
+    for k in range(len(runs)):
+        assert len(got[2 * k] & got[2 * k + 1]) > 0.9 * len(got[2 * k]) > 10
+
+
+def test_winnowing_likeness_by_brute_force(spark):
+    texts = {k: prose(70 + k // 2, 40 + k) for k in range(12)} | {20: "", 21: "!!", 22: "a b"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    plain = {r.text: {x.hash for x in r.fp} for r in winnowing.with_fingerprint(spark.createDataFrame([(t,) for t in {*texts.values(), *(edited(texts, k) for k in texts)}], "text string"), "text", "fp").collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    ids = sorted(texts, reverse=True)
+    for r in winnowing.compare_neighbours(rows, 3).collect():
+        own, after = plain[texts[r.doc_id]], plain[texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]]]
+        assert r.near_next == pytest.approx(like(own, after)) and r.near_edited == pytest.approx(like(own, plain[edited(texts, r.doc_id)]))
+        chosen = {int(x.split(":")[0], 16) for x in r.edited_fingerprint.split(",") if x}
+        assert chosen == {h % 2**64 for h in plain[edited(texts, r.doc_id)]}
+
+
+def edited(texts, key):
+    ids = sorted(texts, reverse=True)
+    own, after = texts[key], texts[ids[(ids.index(key) + 1) % len(ids)]]
+    return own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_winnowing_neighbours(spark, docs, parts):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])

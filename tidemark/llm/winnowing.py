@@ -1,16 +1,19 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Tokens are runs of at most ``TOKEN`` letters or digits of the lower-cased text, so a text without
-separators still has many. A cyclic polynomial over the tokens' hashes gives each run of ``GRAM``
+Tokens are runs of at most ``TOKEN`` letters or digits of the lower-cased text. A longer run is cut where its own
+letters say so, after a vowel, a digit below 5 or any letter beyond ASCII, or after each letter where none of these is near, so a
+text without separators has the same tokens at whatever letter it starts. A cyclic polynomial over the tokens' hashes gives each run of ``GRAM``
 tokens its rolling hash; it and the minima of windows of ``WINDOW`` such hashes are built by
-doubling, in passes whose number doesn't depend on the text. Of equal minima the rightmost
-is taken, and each chosen hash keeps its token position: any passage of GRAM + WINDOW - 1 tokens
+doubling, in passes whose number doesn't depend on the text. Hashes are ordered by their lower 38 bits, in which two of a window agree
+by chance once in 10^9 windows. Of equal minima the rightmost
+is taken, and each chosen hash, all of its 64 bits, keeps its token position: any passage of GRAM + WINDOW - 1 tokens
 that two texts share gives both at least one common hash.
 
 Null text is empty text, whose fingerprint is empty. A text with fewer than GRAM tokens has one hash
 of all of them, and a non-empty text without any token has the hash of the whole text. The likeness
 of two fingerprints is the Jaccard index of their hash sets, 1 if both are empty. Repeated rows are
-kept; rows of equal doc_id are ordered by their text, null ids come last. An empty table gives no rows.
+kept; rows of equal doc_id are ordered by their text, null ids come last. Extra columns, whatever their names, are
+ignored by compare_neighbours(). An empty table gives no rows. A text of up to 2^26 tokens, more than a row of Spark holds, is one row.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ WINDOW = 16
 TOKEN = 12
 #: Low bits of a packed minimum that hold the reversed position: 2^26 tokens need an array beyond Spark's row size.
 POSITION_BITS = 26
+_LETTER = r"[\p{L}\p{N}]"
+#: A whole run of a few letters, else up to a letter at which runs are cut, else one letter.
+_TOKENS = rf"{_LETTER}{{1,{TOKEN}}}+(?!{_LETTER})|{_LETTER}{{0,{TOKEN - 1}}}?[aeiouy0-4[\p{{L}}\p{{N}}&&[^\x00-\x7F]]]|{_LETTER}"
 _MASK = (1 << POSITION_BITS) - 1
 
 
@@ -51,7 +57,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     step = lambda name: F.col(f"__{name}")
     kept = df.columns
-    df = df.withColumn("__tokens", F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[\p{{L}}\p{{N}}]{{1,{TOKEN}}}"), F.lit(0)), lambda w: F.xxhash64(w)))
+    df = df.withColumn("__tokens", F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKENS), F.lit(0)), lambda w: F.xxhash64(w)))
     df = df.withColumn("__two", _joined(step("tokens"), _from(step("tokens"), 1), 1))
     df = df.withColumn("__four", _joined(step("two"), _from(step("two"), 2), 2))
     df = df.withColumn("__grams", F.when(F.size("__tokens") >= GRAM, _joined(step("four"), _from(step("tokens"), 4), 1)).when(F.size("__tokens") > 0, F.array(F.xxhash64("__tokens"))).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.expr("cast(array() as array<bigint>)")))
