@@ -10,14 +10,14 @@ drops them; an empty table passes through every stage as an empty table; extra c
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import scratch
 from tidemark.llm.bpe import default_vocabulary
-from tidemark.llm.common import documents, shared_folder
+from tidemark.llm.common import documents
 from tidemark.llm.langid import accept, train
 from tidemark.llm.linededup import dedup_lines
 from tidemark.llm.minhash import keep_first
@@ -65,7 +65,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, by way of tables in the shared folder."""
     docs = documents(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

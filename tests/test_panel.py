@@ -166,8 +166,3 @@ def test_solver_closed_forms():
     w, _ = M.optimal_weights(alpha, b, f, d, np.zeros(8), vol_limit=0.01, max_gross=2, bounds=[(b[:, 0], -0.05, 0.05)])
     assert abs(w @ b[:, 0]) <= 0.05 + 1e-4
     assert np.abs(w).sum() <= 2 + 1e-9
-
-
-def test_binding_labels():
-    assert [M.binding(v, g, 0.1, 1.0) for v, g in ((0.1, 1), (0.1, 0.5), (0.05, 1), (0.05, 0.5))] == ["both", "vol", "leverage", "turnover"]
-    assert M.binding(0.05, 0.5, 0.1, 1.0, True) == "interior"

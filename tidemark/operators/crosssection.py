@@ -77,9 +77,9 @@ def pair_correlation(rows: DataFrame, value: str, key: str = "ticker", on: str =
     return a.join(b, on).where("i < j and x is not null and y is not null").groupBy("i", "j").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
 
 
-def value_shares(rows: DataFrame, column: str) -> DataFrame:
-    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+def value_shares(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    counts = rows.groupBy(*(by or []), column).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(by or []))))
 
 
 def turnover(weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -31,25 +31,25 @@ def decayed_sums(df: DataFrame, keys: list[str], place: str, sums: dict[str, tup
     """Add a column for each of ``sums``, name -> (value, decay): the sum of value * decay^(distance in ``place``).
 
     ``place``: a long from 1, ascending within the keys, with or without gaps. Values may not be null.
+    Two windows and no join, so the input is read once; rows that are already dealt by ``keys`` aren't moved again.
     """
     df = df.withColumn("__c", F.floor((F.col(place) - 1) / chunk)).withColumn("__l", (F.col(place) - 1) % chunk)
-    for name, (value, _) in sums.items():
-        df = df.withColumn(f"__x_{name}", value.cast("double"))
+    df = df.withColumns({f"__x_{name}": value.cast("double") for name, (value, _) in sums.items()})
     inside = Window.partitionBy(*keys, "__c").orderBy(place)
-    local = {name: F.sum(F.col(f"__x_{name}") * F.pow(F.lit(d), -F.col("__l"))).over(inside) * F.pow(F.lit(d), F.col("__l")) for name, (_, d) in sums.items()}
-    totals = df.groupBy(*keys, "__c").agg(*[F.sum(F.col(f"__x_{name}") * F.pow(F.lit(d), F.lit(chunk - 1) - F.col("__l"))).alias(f"__t_{name}") for name, (_, d) in sums.items()])
-    carried = totals.select(*keys, "__c", *[_carried(keys, name, d, chunk).alias(f"__k_{name}") for name, (_, d) in sums.items()])
-    df = df.withColumns({f"__s_{name}": c for name, c in local.items()}).join(carried, [*keys, "__c"])
-    df = df.withColumns({name: F.col(f"__s_{name}") + F.pow(F.lit(d), F.col("__l") + 1) * F.col(f"__k_{name}") for name, (_, d) in sums.items()})
-    return df.drop("__c", "__l", *[f"__{p}_{name}" for p in "xsk" for name in sums])
-
-
-def _carried(keys: list[str], name: str, decay: float, chunk: int) -> Column:
-    reach = max(1, math.ceil(-42 / (chunk * math.log(decay))))
-    before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(-reach, -1)
-    past = F.collect_list(F.struct("__c", F.col(f"__t_{name}").alias("t"))).over(before)
+    local = {f"__s_{name}": F.sum(F.col(f"__x_{name}") * F.pow(F.lit(d), -F.col("__l"))).over(inside) * F.pow(F.lit(d), F.col("__l")) for name, (_, d) in sums.items()}
+    df = df.withColumns({**local, "__more": F.lead(place).over(inside)})
+    # the last row of a chunk has its totals, carried to the chunk's end
+    totals = F.struct("__c", *[(F.col(f"__s_{name}") * F.pow(F.lit(d), F.lit(chunk - 1) - F.col("__l"))).alias(name) for name, (_, d) in sums.items()])
+    reach = max(max(1, math.ceil(-42 / (chunk * math.log(d)))) for _, d in sums.values())
+    before = Window.partitionBy(*keys).orderBy("__c").rangeBetween(-reach, -1)
+    df = df.withColumn("__t", F.when(F.col("__more").isNull(), totals)).withColumn("__past", F.collect_list("__t").over(before))
+    df = df.withColumns({name: F.col(f"__s_{name}") + F.pow(F.lit(d), F.col("__l") + 1) * _carried(name, d, chunk) for name, (_, d) in sums.items()})
+    return df.drop("__c", "__l", "__more", "__t", "__past", *[f"__{p}_{name}" for p in "xs" for name in sums])
+
+
+def _carried(name: str, decay: float, chunk: int) -> Column:
     here = F.col("__c")
-    return F.aggregate(past, F.lit(0.0), lambda total, p: total + p["t"] * F.pow(F.lit(decay**chunk), here - p["__c"] - 1))
+    return F.aggregate("__past", F.lit(0.0), lambda total, p: total + p[name] * F.pow(F.lit(decay**chunk), here - p["__c"] - 1))
 
 
 def observation_numbers(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -17,7 +17,7 @@ def factor_weights(factors: DataFrame, universe: DataFrame) -> DataFrame:
     legs = factors.select("name", F.explode("weights").alias("ticker", "w")).where("w != 0").withColumn("side", F.signum("w"))
     whole = legs.groupBy("name", "side").agg(F.sum("w").alias("leg"))
     wanted = whole.groupBy("name").agg(F.count("*").alias("legs"))
-    live = universe.join(F.broadcast(legs), "ticker")
+    live = universe.join(legs, "ticker")
     held = live.groupBy("date", "name", "side").agg(F.sum("w").alias("live_leg"))
     complete = held.groupBy("date", "name").agg(F.count("*").alias("live_legs")).join(wanted, "name").where("legs = live_legs").select("date", "name")
     rows = live.join(held, ["date", "name", "side"]).join(whole, ["name", "side"]).join(complete, ["date", "name"], "left_semi")
@@ -45,7 +45,7 @@ def one_factor(returns: DataFrame, weights: DataFrame, *, span: float, periods:
     are capped; the specific variance is what remains, ``floor`` of the own variance at least.
     ``returns``: (bar, ticker, value); ``weights``: (ticker, weight).
     """
-    joined = returns.join(F.broadcast(weights), "ticker", "left").where("value is not null")
+    joined = returns.join(weights, "ticker", "left").where("value is not null")
     market = joined.groupBy("bar").agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).alias("value"))
     both = returns.select("bar", "ticker", "value").union(market.select("bar", F.lit(" market").alias("ticker"), "value"))
     cov = ewm_covariance(both, span=span, periods=periods).where("cov is not null")
@@ -62,7 +62,7 @@ def one_factor(returns: DataFrame, weights: DataFrame, *, span: float, periods:
 
 def decompose(model: DataFrame, weights: DataFrame) -> DataFrame:
     """(bar, exposure, variance, factor_share, specific_share) of fixed holdings (ticker, weight) under one_factor()."""
-    rows = model.join(F.broadcast(weights), "ticker")
+    rows = model.join(weights, "ticker")
     sums = rows.groupBy("bar").agg(F.sum(F.col("beta") * F.col("weight")).alias("exposure"), F.sum(F.col("specific") * F.col("weight") * F.col("weight")).alias("own"), F.max("factor_var").alias("factor_var"))
     sums = sums.withColumn("factor", F.col("exposure") * F.col("exposure") * F.col("factor_var"))
     total = F.col("factor") + F.col("own")

@@ -1,30 +1,35 @@
-"""Backtest legs, attribution and diagnostics.
+"""Backtest legs and diagnostics.
 
 Everything that doesn't depend on a leg's own equity is a window plan. Only integer shares against own equity make a fold
-over bars; legs are folded side by side, one group a leg, so a sweep over settings scales by its legs. A leg's rows are bounded by its
-bars and tickers.
+over bars; legs are folded side by side, so a sweep over settings scales by its legs. A task reads one bar at a time, as one row
+with the bar's tickers in an array, and holds a leg's cash, shares and last prices.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import matrices as M
 from ..functions.lineage import settled
-from ..operators.crosssection import TRADING_DAYS, summary
+from ..operators.crosssection import TRADING_DAYS, pair_correlation, summary, value_shares
 from ..operators.ewm import alpha, ewm_moments
 from ..operators.features import VOL_SPAN, macd_score
 from ..sources.panel import dense_panel
 
 KINDS = ("target_vol", "rescaled", "buy_hold", "optimized")
+OBJECTIVES = ("linear", "mean_variance")
 MOMENTUM = "Momentum"
+#: A limit binds within this share of it.
+BINDING = 1e-4
 
 
 @dataclass(frozen=True)
@@ -37,17 +42,26 @@ class Leg:
     max_gross: float = 1.0
     information: float = 0.05
     turnover_bps: float = 5.0
-    aversion: float = 0.0
+    objective: str = "linear"
+    aversion: float | None = None
+    #: Least and most exposure by factor name.
+    bounds: dict[str, tuple[float, float]] = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {', '.join(KINDS)}")
+        if self.objective not in OBJECTIVES:
+            raise ValueError(f"objective must be one of {', '.join(OBJECTIVES)}, got {self.objective!r}")
+        if self.objective == "mean_variance" and not (self.aversion is not None and self.aversion > 0):
+            raise ValueError(f"objective mean_variance needs a positive aversion, got {self.aversion}")
+        if crossed := sorted(n for n, (low, high) in self.bounds.items() if not low <= high):
+            raise ValueError(f"bounds of {', '.join(crossed)} are no range")
 
 
 def traded_vol(panel: DataFrame, scores: DataFrame) -> DataFrame:
     """(date, ticker, vol): deviation of log returns counted from the first bar on which the ticker is scored."""
     first = scores.groupBy("ticker").agg(F.min("date").alias("first"))
-    rows = dense_panel(panel).join(F.broadcast(first), "ticker").where("date >= first and sticky is not null")
+    rows = dense_panel(panel).join(first, "ticker").where("date >= first and sticky is not null")
     last = F.lag("sticky").over(Window.partitionBy("ticker").orderBy("date"))
     rows = rows.withColumn("r", F.log(F.col("sticky") / last)).where("r is not null")
     return ewm_moments(rows, ["ticker"], "date", "r", "__m", "vol", span=VOL_SPAN, periods=VOL_SPAN).select("date", "ticker", "vol")
@@ -59,67 +73,132 @@ def leg_inputs(panel: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.join(scores, ["date", "ticker"], "left").join(traded_vol(panel, scores), ["date", "ticker"], "left")
 
 
-RUN = "leg string, date date, ticker string, price double, quantity long, weight double, equity double, cash double, ordered long"
+SOLVE = "struct<status: string, vol: double, gross: double, turnover: double>"
+FOLDED = f"leg string, date date, equity double, cash double, held array<struct<ticker: string, price: double, quantity: bigint, weight: double, ordered: bigint, target: double>>, solve {SOLVE}"
 
 
-def run_legs(inputs: DataFrame, legs: list[Leg], snaps: DataFrame | None = None) -> DataFrame:
-    """One row a leg, bar and ticker: the holdings after the bar's orders, filled at the bar's price, and the weight that earned the bar.
+def unknown_bounds(names: list[str], snaps: DataFrame) -> list[str]:
+    """The names of bounds that some snapshot has no factor for, sorted."""
+    if not names:
+        return []
+    missing = snaps.select(F.explode(F.array_except(F.array(*map(F.lit, names)), "factors")).alias("name"))
+    return sorted(r["name"] for r in missing.distinct().collect())
+
 
-    ``snaps``: (date, tickers, factors, b, f, d, sigma) for optimised legs, which stay flat until there is one.
+def fold_legs(inputs: DataFrame, legs: list[Leg], snaps: DataFrame | None = None) -> DataFrame:
+    """One row a leg and bar: equity before the bar's orders, and the holdings after them, filled at the bar's price.
+
+    ``held`` has of each ticker the price, the quantity, the weight that earned the bar, the shares ordered and the target weight (null
+    where there was none). ``snaps``: (date, tickers, factors, b, f, d, sigma) for optimised legs, which stay flat until there is one; ``solve`` is
+    what their solver said. ValueError if a bound names a factor that a snapshot doesn't have.
     """
     table = {leg.name: leg for leg in legs}
+    bars = inputs.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", "price", "score", "vol"))).alias("rows"))
     if snaps is None:
-        model = inputs.select("date").distinct().select("date", F.lit(None).cast("string").alias("snap"))
+        bars = bars.withColumn("snap", F.lit(None).cast("struct<tickers: array<string>>"))
     else:
-        model = snaps.select("date", F.to_json(F.struct("tickers", "factors", "b", "f", "d", "sigma")).alias("snap"))
-    rows = inputs.withColumn("score", F.col("score")).join(model, "date", "left")
-    first = F.row_number().over(Window.partitionBy("date").orderBy("ticker")) == 1
-    rows = rows.withColumn("snap", F.when(first, F.col("snap")))  # one copy a date
-    crossed = rows.crossJoin(F.broadcast(inputs.sparkSession.createDataFrame([(leg.name,) for leg in legs], "leg string")))
+        if unknown := unknown_bounds(sorted({n for leg in legs for n in leg.bounds}), snaps):
+            raise ValueError(f"bounds of unknown factors: {', '.join(unknown)}")
+        bars = bars.join(snaps.select("date", F.struct("tickers", "factors", "b", "f", "d", "sigma").alias("snap")), "date", "left")
+    bars = bars.withColumn("date", F.to_date("date")).withColumn("leg", F.explode(F.array(*[F.lit(n) for n in table])))
+    dealt = bars.repartition(max(2, len(legs)), "leg").sortWithinPartitions("leg", "date").select("leg", "date", "rows", "snap")
+    item = pa.struct([("ticker", pa.string()), ("price", pa.float64()), ("quantity", pa.int64()), ("weight", pa.float64()), ("ordered", pa.int64()), ("target", pa.float64())])
+    solve = pa.struct([("status", pa.string()), ("vol", pa.float64()), ("gross", pa.float64()), ("turnover", pa.float64())])
+    schema = pa.schema([("leg", pa.string()), ("date", pa.date32()), ("equity", pa.float64()), ("cash", pa.float64()), ("held", pa.list_(item)), ("solve", solve)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = None
+        for batch in batches:
+            out = []
+            for bar in batch.to_pylist():
+                if book is None or book.leg.name != bar["leg"]:
+                    book = Book(table[bar["leg"]])
+                out.append({"leg": bar["leg"], "date": bar["date"], **book.step(bar["rows"], bar["snap"])})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return dealt.mapInArrow(run, FOLDED)
+
+
+def holdings(folded: DataFrame) -> DataFrame:
+    """One row a leg, bar and ticker."""
+    return folded.select("leg", "date", "equity", "cash", F.explode("held").alias("h")).select("leg", "date", "h.ticker", "h.price", "h.quantity", "h.weight", "equity", "cash", "h.ordered")
+
+
+def run_legs(inputs: DataFrame, legs: list[Leg], snaps: DataFrame | None = None) -> DataFrame:
+    """The holdings of fold_legs()."""
+    return holdings(fold_legs(inputs, legs, snaps))
+
+
+def trade_log(folded: DataFrame) -> DataFrame:
+    """(leg, date, ticker, side, quantity, price, note): one row an order."""
+    rows = folded.select("leg", "date", F.explode("held").alias("h")).where("h.ordered != 0")
+    side = F.when(F.col("h.ordered") > 0, "BUY").otherwise("SELL")
+    return rows.select("leg", "date", "h.ticker", side.alias("side"), F.abs("h.ordered").alias("quantity"), "h.price", F.format_string("weight=%.5f", "h.target").alias("note"))
+
+
+def binding(vol: Column, gross: Column, target_vol: Column, max_gross: Column, objective: Column) -> Column:
+    """The limit that stopped the optimiser: both, vol, leverage, or neither, which the objective names."""
+    at_vol, at_gross = vol >= target_vol * (1 - BINDING), gross >= max_gross * (1 - BINDING)
+    rest = F.when(objective == "mean_variance", "interior").otherwise("turnover")
+    return F.when(at_vol & at_gross, "both").when(at_vol, "vol").when(at_gross, "leverage").otherwise(rest)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        return _fold(part.sort_values(["date", "ticker"]), table[part["leg"].iloc[0]])
 
-    return crossed.groupBy("leg").applyInPandas(fold, RUN)
+def solve_log(folded: DataFrame, legs: list[Leg]) -> DataFrame:
+    """(leg, date, status, binding, ex_ante_vol, gross, turnover): one row a bar on which a leg was optimised."""
+    limits = folded.sparkSession.createDataFrame([(leg.name, leg.target_vol, leg.max_gross, leg.objective) for leg in legs], "leg string, target_vol double, max_gross double, objective string")
+    rows = folded.where("solve is not null").select("leg", "date", "solve.*").join(limits, "leg")
+    named = F.when(F.col("status") == "optimal", binding(F.col("vol"), F.col("gross"), F.col("target_vol"), F.col("max_gross"), F.col("objective"))).otherwise("none")
+    return rows.select("leg", "date", "status", named.alias("binding"), F.col("vol").alias("ex_ante_vol"), "gross", "turnover")
 
 
-def _fold(rows: pd.DataFrame, leg: Leg) -> pd.DataFrame:
-    import json
+def solver_summary(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The share of each binding limit; and failures, mean volatility, largest gross and annual turnover of each leg."""
+    shares = value_shares(log, "binding", ["leg"])
+    numbers = log.groupBy("leg").agg(F.count_if(F.col("status") != "optimal").alias("failures"), F.avg("ex_ante_vol").alias("mean_vol"), F.max("gross").alias("max_gross"), (F.avg("turnover") * TRADING_DAYS).alias("annual_turnover"))
+    return shares, numbers
 
-    held: dict[str, int] = {}
-    cash, own, last_equity, out = leg.cash, _Running(VOL_SPAN), None, []
-    started, before = False, {}
-    for date, bar in rows.groupby("date", sort=True):
-        price = dict(zip(bar["ticker"], bar["price"], strict=True))
+
+class Book:
+    """One leg's cash and shares; step() takes the next bar."""
+
+    def __init__(self, leg: Leg):
+        self.leg, self.cash = leg, leg.cash
+        self.held: dict[str, int] = {}
+        self.own, self.counted = _Running(VOL_SPAN), None
+        self.last_equity, self.before, self.started = None, {}, False
+
+    def step(self, rows: list[dict], snap: dict | None) -> dict:
+        leg, held = self.leg, self.held
+        price = {r["ticker"]: r["price"] for r in rows}
         value = {t: q * price[t] for t, q in held.items()}
-        equity = cash + sum(value.values())
-        earned = {t: held.get(t, 0) * before[t] / last_equity if last_equity and t in before else 0.0 for t in price}
-        if leg.kind == "rescaled" and last_equity and any(held.values()) and equity > 0:
-            own.update(math.log(equity / last_equity))
-        weights: dict[str, float] = {}
-        scores = {t: s for t, s in zip(bar["ticker"], bar["score"], strict=True) if not pd.isna(s)}
-        if equity <= 0:
-            pass
-        elif leg.kind == "buy_hold":
-            if not started:
-                weights, started = dict.fromkeys(price, 1 / len(price)), True
-        elif leg.kind == "optimized":
-            snap = next((s for s in bar["snap"] if isinstance(s, str)), None)
-            if snap is not None and scores:
-                weights = _optimised(json.loads(snap), scores, value, equity, leg) or {}
-        else:
-            vols = {t: v for t, v in zip(bar["ticker"], bar["vol"], strict=True) if t in scores and not pd.isna(v) and v > 0}
-            weights = {t: scores[t] / len(vols) * leg.target_vol / (v * math.sqrt(TRADING_DAYS)) for t, v in vols.items()}
-            vol = own.std()
-            if leg.kind == "rescaled" and vol:
-                weights = {t: w * leg.target_vol / (vol * math.sqrt(TRADING_DAYS)) for t, w in weights.items()}
-        ordered = {t: round(w * equity / price[t]) - held.get(t, 0) for t, w in weights.items()}
+        equity = self.cash + sum(value.values())
+        earned = {t: held.get(t, 0) * self.before[t] / self.last_equity if self.last_equity and t in self.before else 0.0 for t in price}
+        weights, solve = {}, None
+        if equity > 0:  # an insolvent book orders nothing and counts no return
+            if any(held.values()) and self.counted is not None:
+                self.own.update(math.log(equity / self.counted))
+            self.counted = equity
+            weights, solve = self.targets(rows, price, value, equity, snap)
+        ordered = {t: round(w * equity / price[t]) - held.get(t, 0) for t, w in weights.items() if t in price}
         for t, n in ordered.items():
             held[t] = held.get(t, 0) + n
-            cash -= n * price[t] + abs(n) * price[t] * leg.cost_bps / 1e4
-        out += [(leg.name, date, t, price[t], held.get(t, 0), earned[t], equity, cash, ordered.get(t, 0)) for t in price]
-        before, last_equity = price, equity
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RUN.split(", ")])
+            self.cash -= n * price[t] + abs(n) * price[t] * leg.cost_bps / 1e4
+        self.before, self.last_equity = price, equity
+        return {"equity": equity, "cash": self.cash, "solve": solve, "held": [{"ticker": t, "price": p, "quantity": held.get(t, 0), "weight": earned[t], "ordered": ordered.get(t, 0), "target": weights.get(t)} for t, p in price.items()]}
+
+    def targets(self, rows: list[dict], price: dict, value: dict, equity: float, snap: dict | None) -> tuple[dict, dict | None]:
+        leg = self.leg
+        scores = {r["ticker"]: r["score"] for r in rows if r["score"] is not None}
+        if leg.kind == "buy_hold":
+            fresh, self.started = not self.started, True
+            return (dict.fromkeys(price, 1 / len(price)) if fresh else {}), None
+        if leg.kind == "optimized":
+            return _optimised(snap, scores, value, equity, leg) if snap is not None else ({}, None)
+        vols = {r["ticker"]: r["vol"] * math.sqrt(TRADING_DAYS) for r in rows if r["score"] is not None and r["vol"]}
+        weights = {t: scores[t] / len(vols) * leg.target_vol / v for t, v in vols.items()}
+        vol = self.own.std() if leg.kind == "rescaled" else None
+        scale = leg.target_vol / (vol * math.sqrt(TRADING_DAYS)) if vol else 1.0
+        return {t: w * scale for t, w in weights.items()}, None
 
 
 class _Running:
@@ -138,13 +217,21 @@ class _Running:
         return None if self.n < self.least or below <= 0 else math.sqrt(max(0.0, (self.w * self.xx - self.x**2) / below))
 
 
-def _optimised(snap: dict, scores: dict, value: dict, equity: float, leg: Leg) -> dict | None:
-    names, n = snap["tickers"], len(snap["tickers"])
-    sigma, before = np.array(snap["sigma"]), np.array([value.get(t, 0.0) / equity for t in names])
+def _optimised(snap: dict, scores: dict, value: dict, equity: float, leg: Leg) -> tuple[dict, dict]:
+    """Target weights, none if the solver failed, and what it said; volatility a year."""
+    names = snap["tickers"]
+    n, k = len(names), len(snap["factors"])
+    b, f, d, sigma = np.array(snap["b"]).reshape(n, k), np.array(snap["f"]).reshape(k, k), np.array(snap["d"]), np.array(snap["sigma"])
+    before = np.array([value.get(t, 0.0) / equity for t in names])
     gain = leg.information * sigma * np.array([scores.get(t, 0.0) for t in names])
-    k = len(snap["factors"])
-    w, status = M.optimal_weights(gain, np.array(snap["b"]).reshape(n, k), np.array(snap["f"]).reshape(k, k), np.array(snap["d"]), before, vol_limit=leg.target_vol / math.sqrt(TRADING_DAYS), max_gross=leg.max_gross, penalty=leg.turnover_bps / 1e4, aversion=leg.aversion, tolerance=1e-7, rounds=4000)
-    return dict(zip(names, w.tolist(), strict=True)) if status == "optimal" else None
+    rows = [(b[:, snap["factors"].index(name)], low, high) for name, (low, high) in leg.bounds.items()]
+    aversion = leg.aversion if leg.objective == "mean_variance" else 0.0
+    w, status = M.optimal_weights(gain, b, f, d, before, vol_limit=leg.target_vol / math.sqrt(TRADING_DAYS), max_gross=leg.max_gross, penalty=leg.turnover_bps / 1e4, aversion=aversion, bounds=rows, tolerance=1e-7)
+    if status != "optimal":
+        return {}, {"status": status, "vol": 0.0, "gross": float(np.abs(before).sum()), "turnover": 0.0}
+    load = b.T @ w
+    vol = math.sqrt(float(load @ f @ load + d @ w**2) * TRADING_DAYS)
+    return dict(zip(names, w.tolist(), strict=True)), {"status": status, "vol": vol, "gross": float(np.abs(w).sum()), "turnover": float(np.abs(w - before).sum())}
 
 
 def macd_legs(panel: DataFrame, legs: list[Leg]) -> DataFrame:
@@ -154,7 +241,7 @@ def macd_legs(panel: DataFrame, legs: list[Leg]) -> DataFrame:
 
 def equity_curve(run: DataFrame) -> DataFrame:
     """(leg, date, equity, log_return): one row a bar; the return is to the row before where both are positive."""
-    rows = run.groupBy("leg", "date").agg(F.max("equity").alias("equity"))
+    rows = run.select("leg", "date", "equity").dropDuplicates(["leg", "date"])
     last = F.lag("equity").over(Window.partitionBy("leg").orderBy("date"))
     return rows.withColumn("log_return", F.when((F.col("equity") > 0) & (last > 0), F.log(F.col("equity") / last)))
 
@@ -172,6 +259,13 @@ def metrics(curve: DataFrame) -> DataFrame:
     )
 
 
+def leg_correlation(curve: DataFrame) -> DataFrame:
+    """(i, j, corr, n) of the legs' daily simple returns."""
+    last = F.lag("equity").over(Window.partitionBy("leg").orderBy("date"))
+    rows = curve.withColumn("value", F.when(last > 0, F.col("equity") / last - 1))
+    return pair_correlation(rows, "value", "leg")
+
+
 def contributions(exposures: DataFrame, returns: DataFrame, portfolio: DataFrame) -> DataFrame:
     """(date, factor, value): exposure times factor return, and RESIDUAL, what remains of the portfolio's return.
 
@@ -182,100 +276,135 @@ def contributions(exposures: DataFrame, returns: DataFrame, portfolio: DataFrame
     return parts.unionByName(rest)
 
 
-def edge_buckets(exposures: DataFrame, returns: DataFrame, portfolio: DataFrame, specific: DataFrame) -> DataFrame:
+def edge_buckets(exposures: DataFrame, returns: DataFrame, portfolio: DataFrame, specific: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(date, structural, timing, momentum, selection, other), which add up to the portfolio's return.
 
     Structural: the mean exposure of all dates at the factor's return; timing: the deviation from it. A factor that is
-    absent on a date counts 0 in its mean. Momentum is one bucket. ``specific``: (date, specific).
+    absent on a date counts 0 in its mean. Momentum is one bucket. ``specific``: (date, specific). ``by``: keys of several portfolios, which
+    all tables have beside the date; a portfolio's dates are one group, a row each.
     """
-    rows = exposures.join(returns, ["date", "factor"])
-    days = portfolio.select("date").distinct().count()
-    mean = F.sum("exposure").over(Window.partitionBy("factor")) / F.lit(max(days, 1))
-    rows = rows.withColumn("mean", mean)
+    keys = [*by, "date"]
+    portfolio = portfolio.withColumn("days", F.count("*").over(Window.partitionBy(*by)))
+    rows = exposures.join(returns, [*keys, "factor"]).join(portfolio.select(*keys, "days"), keys)
+    rows = rows.withColumn("mean", F.sum("exposure").over(Window.partitionBy(*by, "factor")) / F.col("days"))
     macro = F.col("factor") != MOMENTUM
-    sums = rows.groupBy("date").agg(
+    sums = rows.groupBy(*keys).agg(
         F.sum(F.when(macro, F.col("mean") * F.col("value")).otherwise(0.0)).alias("structural"),
         F.sum(F.when(macro, (F.col("exposure") - F.col("mean")) * F.col("value")).otherwise(0.0)).alias("timing"),
         F.sum(F.when(~macro, F.col("exposure") * F.col("value")).otherwise(0.0)).alias("momentum"),
     )
-    sums = sums.join(portfolio, "date").join(specific, "date")
+    sums = sums.join(portfolio, keys).join(specific, keys)
     other = F.col("ret") - F.col("structural") - F.col("timing") - F.col("momentum") - F.col("specific")
-    return sums.select("date", "structural", "timing", "momentum", F.col("specific").alias("selection"), other.alias("other"))
+    return sums.select(*keys, "structural", "timing", "momentum", F.col("specific").alias("selection"), other.alias("other"))
 
 
 BUCKETS = ("structural", "timing", "momentum", "selection", "other")
 
 
-def edge_summary(buckets: DataFrame) -> DataFrame:
-    rows = buckets.unpivot("date", list(BUCKETS), "bucket", "value")
-    return summary(rows, ["bucket"], "value")
+def edge_summary(buckets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    rows = buckets.unpivot([*by, "date"], list(BUCKETS), "bucket", "value")
+    return summary(rows, [*by, "bucket"], "value")
 
 
-def regression(rows: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """(term, beta, t, r2) by least squares with an intercept, from one aggregate of sums of products.
+def regression(rows: DataFrame, y: str, xs: list[str], by: str | None = None) -> DataFrame:
+    """(term, beta, t, r2, contribution) by least squares with an intercept, from one aggregate of sums of products.
 
-    No rows if there are no more observations than terms. The driver solves a system of as many unknowns as terms.
+    A term's contribution is its beta times the mean of its variable, times the trading days of a year; that of the intercept is alpha a year.
+    No rows for a group of no more observations than terms. ``by``: a key of several regressions; the driver solves one system of as many
+    unknowns as terms for each.
     """
-    terms = [F.lit(1.0), *[F.col(x) for x in xs]]
+    terms = [F.lit(1.0), *[F.col(f"`{x}`") for x in xs]]
     pairs = [F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j]
-    got = rows.agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *pairs, *[F.sum(a * F.col(y)).alias(f"y{i}") for i, a in enumerate(terms)]).first()
-    k, spark = len(terms), rows.sparkSession
-    schema = "term string, beta double, t double, r2 double"
-    if got.n <= k:
-        return spark.createDataFrame([], schema)
-    xx = np.array([[got[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    xy = np.array([got[f"y{i}"] for i in range(k)])
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-    left = max(got.yy - beta @ xy, 0.0)
-    error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)) * left / (got.n - k), 0))
-    total = got.yy - xy[0] ** 2 / got.n
-    t = np.divide(beta, error, out=np.zeros(k), where=error > 0)
-    r2 = float(1 - left / total) if total > 0 else None
-    return spark.createDataFrame([(n, float(b), float(x), r2) for n, b, x in zip(["alpha", *xs], beta, t, strict=True)], schema)
+    key = [F.col(by)] if by else []
+    found = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *pairs, *[F.sum(a * F.col(y)).alias(f"y{i}") for i, a in enumerate(terms)]).collect()
+    k, out = len(terms), []
+    for got in found:
+        if got.n <= k:
+            continue
+        xx = np.array([[got[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        xy = np.array([got[f"y{i}"] for i in range(k)])
+        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+        left = max(got.yy - beta @ xy, 0.0)
+        error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)) * left / (got.n - k), 0))
+        total = got.yy - xy[0] ** 2 / got.n
+        t = np.divide(beta, error, out=np.zeros(k), where=error > 0)
+        r2 = float(1 - left / total) if total > 0 else None
+        parts = beta * xx[0] / got.n * TRADING_DAYS
+        out += [(*([got[by]] if by else []), n, float(b), float(x), r2, float(c)) for n, b, x, c in zip(["alpha", *xs], beta, t, parts, strict=True)]
+    return rows.sparkSession.createDataFrame(out, (f"{by} string, " if by else "") + "term string, beta double, t double, r2 double, contribution double")
 
 
 def loading_drift(loads: DataFrame, every: int = 5) -> DataFrame:
-    """(factor, change, size, ratio): median absolute change between sampled bars over the median absolute loading."""
+    """(factor, change, size, ratio): median absolute change between sampled bars over the median absolute loading, the largest first."""
     rows = loads.where((F.col("bar") - 1) % every == 0)
     before = F.lag("value").over(Window.partitionBy("ticker", "factor").orderBy("bar"))
     rows = rows.withColumn("change", F.abs(F.col("value") - before))
     out = rows.groupBy("factor").agg(F.median("change").alias("change"), F.median(F.abs("value")).alias("size"))
-    return out.withColumn("ratio", F.try_divide("change", "size"))
+    return out.withColumn("ratio", F.try_divide("change", "size")).orderBy(F.col("ratio").desc_nulls_last(), "factor")
+
+
+def _scaled_residual(row: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A snapshot's tickers, the covariance rescaled to its volatilities less the factors' part, and its share of each own variance."""
+    names = list(row["tickers"])
+    place, n = {t: k for k, t in enumerate(names)}, len(names)
+    s = np.full((n, n), np.nan)
+    for p in row["pairs"]:
+        if p["i"] in place and p["j"] in place:
+            i, j = place[p["i"]], place[p["j"]]
+            s[i, j] = s[j, i] = p["s"]
+    own = np.diag(s)
+    scale = np.array(row["sigma"]) / np.sqrt(np.where(own > 0, own, np.nan))
+    s = s * np.outer(scale, scale)
+    b = np.array(row["b"]).reshape(n, -1)
+    rest = s - b @ np.array(row["f"]).reshape(b.shape[1], -1) @ b.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return names, rest, np.diag(rest) / np.diag(s)
+
+
+def residual_shares(snaps: DataFrame, cov: DataFrame, least: float = 0.10) -> DataFrame:
+    """(bar, ticker, share, masked): what part of each own variance the factors leave; ``least`` or less is masked."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for row in part.to_dict("records"):
+                names, _, share = _scaled_residual(row)
+                out += [(row["bar"], t, float(x), not x > least) for t, x in zip(names, share, strict=True)]
+            yield pd.DataFrame(out, columns=["bar", "ticker", "share", "masked"])
+
+    return snaps.join(cov, "bar").mapInPandas(run, "bar long, ticker string, share double, masked boolean")
 
 
 def residual_correlations(snaps: DataFrame, cov: DataFrame, least: float = 0.10) -> DataFrame:
-    """(bar, i, j, corr) for i < j of what a covariance keeps beside the factors.
+    """(bar, i, j, corr) for i < j, by place in the snapshot, of what a covariance keeps beside the factors.
 
-    ``cov``: (bar, pairs array<struct<i, j, s>>), rescaled to the snapshot's volatilities; tickers keep their place in the result if their
-    residual share of variance is above ``least``.
+    ``cov``: (bar, pairs array<struct<i, j, s>>), rescaled to the snapshot's volatilities; tickers stay if their
+    residual share of variance is above ``least``. A correlation beyond 1 says that specific variances are too small for it.
     """
 
     def run(batches):
         for part in batches:
             out = []
             for row in part.to_dict("records"):
-                names = list(row["tickers"])
-                place, n = {t: k for k, t in enumerate(names)}, len(names)
-                s = np.full((n, n), np.nan)
-                for p in row["pairs"]:
-                    if p["i"] in place and p["j"] in place:
-                        i, j = place[p["i"]], place[p["j"]]
-                        s[i, j] = s[j, i] = p["s"]
-                own = np.diag(s)
-                scale = np.array(row["sigma"]) / np.sqrt(np.where(own > 0, own, np.nan))
-                s = s * np.outer(scale, scale)
-                b = np.array(row["b"]).reshape(n, -1)
-                rest = s - b @ np.array(row["f"]).reshape(b.shape[1], -1) @ b.T
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    keep = np.flatnonzero(np.diag(rest) / np.diag(s) > least)
-                    std = np.sqrt(np.diag(rest)[keep])
-                    corr = np.clip(rest[np.ix_(keep, keep)] / np.outer(std, std), -1, 1)
+                names, rest, share = _scaled_residual(row)
+                keep = np.flatnonzero(np.nan_to_num(share) > least)
+                std = np.sqrt(np.maximum(np.diag(rest)[keep], M.VARIANCE_LEAST))
+                corr = rest[np.ix_(keep, keep)] / np.outer(std, std)
                 out += [(row["bar"], names[keep[a]], names[keep[c]], float(corr[a, c])) for a in range(len(keep)) for c in range(a + 1, len(keep)) if np.isfinite(corr[a, c])]
             yield pd.DataFrame(out, columns=["bar", "i", "j", "corr"])
 
     return snaps.join(cov, "bar").mapInPandas(run, "bar long, i string, j string, corr double")
 
 
+def collinearity(snaps: DataFrame) -> DataFrame:
+    """(bar, factor, corr): momentum's exposure against each factor's betas over the tickers, the largest first; no rows without momentum."""
+    rows = snaps.where(F.col("m").isNotNull() & F.array_contains("factors", MOMENTUM)).select("bar", "m", "beta", F.array_remove("factors", MOMENTUM).alias("factors"))
+    rows = rows.select("bar", "beta", "factors", F.posexplode("m").alias("row", "m"))
+    rows = rows.select("bar", "m", "beta", "row", F.size("factors").alias("k"), F.posexplode("factors").alias("col", "factor"))
+    rows = rows.select("bar", "factor", "m", F.get("beta", F.col("row") * F.col("k") + F.col("col")).alias("load"))
+    return rows.groupBy("bar", "factor").agg(F.corr("m", "load").alias("corr")).orderBy("bar", F.abs("corr").desc(), "factor")
+
+
 def worst_pairs(corr: DataFrame, n: int = 12) -> DataFrame:
     """The pairs of the largest absolute correlation; ties by name."""
     return corr.orderBy(F.abs("corr").desc(), "i", "j").limit(n)

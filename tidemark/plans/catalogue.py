@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.lineage import settled
+from ..functions.lineage import scratch, settled
 from ..operators import crosssection as X
 from ..operators import ewm as E
 from ..operators import factors as FA
 from ..operators import features as FE
 from ..sources import panel as P
+from . import attribution as A
 from . import backtest as B
 from . import riskmodel as R
+from .runner import optimised_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,8 +136,10 @@ def price_bars(spark, sf_dir):
 
 @query(f"with {BARS} select date::varchar as date, ticker, {o6('ln(close)', 'log_close')} from bars where ticker in ('ASIA', 'EUROPE')")
 def ticker_filter(spark, sf_dir):
-    rows = regions(spark, sf_dir).where(F.col("ticker").isin("ASIA", "EUROPE"))
-    return rows.select("date", "ticker", r6(F.log("close")).alias("log_close"))
+    path = scratch(spark, "panel")
+    P.write_panel(regions(spark, sf_dir).withColumn("date", F.col("date").cast("timestamp")), path)
+    rows = P.read_panel(spark, path, ["ASIA", "EUROPE"])
+    return rows.select(F.to_date("date").alias("date"), "ticker", r6(F.log("close")).alias("log_close"))
 
 
 @query(f"with {BARS} select date::varchar as date, " + ", ".join(f"round(ln(max(close) filter (ticker = '{t}')), 6) + 0.0 as \"{t}\"" for t in REGIONS) + " from bars group by date")
@@ -167,7 +171,7 @@ select bar, ticker, round(coalesce(r, 0), 6) + 0.0 as r from grid left join rets
 def sampled_zero_filled(spark, sf_dir):
     panel = regions(spark, sf_dir)
     bars = P.bar_numbers(panel)
-    grid = bars.crossJoin(F.broadcast(panel.select("ticker").distinct())).where((F.col("bar") - 1) % 5 == 0)
+    grid = bars.crossJoin(panel.select("ticker").distinct()).where((F.col("bar") - 1) % 5 == 0)
     rows = grid.join(P.with_returns(panel), ["date", "ticker"], "left")
     return rows.select("bar", "ticker", r6(F.coalesce("log_return", F.lit(0.0))).alias("r"))
 
@@ -314,11 +318,14 @@ scored as (select date, ticker, {SCORE} as score from macd where {SCORE} is not
 weights as (select date, ticker, score / count(*) over (partition by date) * (0.15 / (std * sqrt(252))) as weight from scored join v using (date, ticker) where std > 0)"""
 
 
-def _weights(spark, sf_dir):
-    panel = regions(spark, sf_dir)
+def _panel_weights(panel):
     return X.target_vol_weights(FE.macd_score(panel), FE.return_vol(panel))
 
 
+def _weights(spark, sf_dir):
+    return _panel_weights(settled(regions(spark, sf_dir)))
+
+
 @query(f"with {BARS}, {WEIGHTS} select date::varchar as date, ticker, {o6('weight', 'weight')} from weights")
 def target_vol_weights(spark, sf_dir):
     return rounded(_weights(spark, sf_dir), "weight")
@@ -336,7 +343,7 @@ moves as (select *, abs(weight - coalesce(lag(weight) over (partition by ticker
 select date::varchar as date, round(sum(abs(weight)), 6) + 0.0 as gross, round(sum(moved), 6) + 0.0 as turnover from moves group by date""")
 def gross_and_turnover(spark, sf_dir):
     w = _weights(spark, sf_dir)
-    grid = w.select("date").distinct().crossJoin(F.broadcast(w.select("ticker").distinct())).join(w, ["date", "ticker"], "left").fillna(0.0, ["weight"]).withColumn("one", F.lit(0))
+    grid = w.select("date").distinct().crossJoin(w.select("ticker").distinct()).join(w, ["date", "ticker"], "left").fillna(0.0, ["weight"]).withColumn("one", F.lit(0))
     return rounded(X.turnover(grid, ["one"]), "gross", "turnover").drop("one")
 
 
@@ -407,17 +414,14 @@ def correlation_spread(spark, sf_dir):
     return corr.agg(r6(F.percentile(size, 0.95)).alias("p95"), r6(F.avg(size)).alias("mean"), r6(F.avg((size > 0.05).cast("double"))).alias("high"))
 
 
-@query("select o_orderstatus as binding, count(*) as n, round(count(*) / sum(count(*)) over (), 6) + 0.0 as share from orders group by o_orderstatus")
-def binding_shares(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderstatus").alias("binding"))
-    return rounded(X.value_shares(rows, "binding"), "share")
-
-
 # --- covariances, one factor ---------------------------------------------------------------
 
 
 def _observed(spark, sf_dir):
-    panel = regions(spark, sf_dir)
+    return _observed_in(settled(regions(spark, sf_dir)))
+
+
+def _observed_in(panel):
     return P.with_returns(panel).join(P.bar_numbers(panel), "date").select("bar", "ticker", F.col("log_return").alias("value")).where("value is not null")
 
 
@@ -466,9 +470,13 @@ capped as (select *, case when raw_beta * raw_beta * factor_var > var then raw_b
 model as (select *, beta * beta * factor_var as common, greatest(0.1 * var, var - beta * beta * factor_var) as specific from capped)"""
 
 
+def _one_of(panel):
+    w = panel.sparkSession.createDataFrame([(t, 0.2) for t in REGIONS], "ticker string, weight double")
+    return FA.one_factor(_observed_in(panel), w, span=60, periods=60)
+
+
 def _one(spark, sf_dir):
-    w = spark.createDataFrame([(t, 0.2) for t in REGIONS], "ticker string, weight double")
-    return FA.one_factor(_observed(spark, sf_dir), w, span=60, periods=60)
+    return _one_of(settled(regions(spark, sf_dir)))
 
 
 @query(f"with {BARS}, {ONE} select bar, ticker, {o6('beta', 'beta')}, {o6('common', 'common')}, {o6('specific', 'specific')} from model")
@@ -502,10 +510,12 @@ edge as (select date, x, f, ret, avg(x) over () as m from book join f using (dat
 
 
 def _edge(spark, sf_dir):
-    rows = P.with_returns(regions(spark, sf_dir)).where("log_return is not null")
+    panel = settled(regions(spark, sf_dir))
+    rows = P.with_returns(panel).where("log_return is not null")
     market = rows.groupBy("date").agg((F.sum("log_return") / 5).alias("value")).withColumn("factor", F.lit("Market"))
-    held = _weights(spark, sf_dir).withColumn("w", F.lag("weight").over(P.by_ticker())).where("w is not null")
-    book = held.join(rows, ["date", "ticker"]).groupBy("date").agg(F.sum("w").alias("exposure"), F.sum(F.col("w") * F.col("log_return")).alias("ret"))
+    held = _panel_weights(panel).withColumn("w", F.lag("weight").over(P.by_ticker())).where("w is not null")
+    book = settled(held.join(rows, ["date", "ticker"]).groupBy("date").agg(F.sum("w").alias("exposure"), F.sum(F.col("w") * F.col("log_return")).alias("ret")))
+    market = settled(market)
     exposures = book.select("date", F.lit("Market").alias("factor"), "exposure")
     specific = book.join(market, "date").select("date", (F.col("ret") - F.col("exposure") * F.col("value")).alias("specific"))
     return exposures, market, book.select("date", "ret"), specific
@@ -536,9 +546,261 @@ def loading_drift(spark, sf_dir):
     return rounded(B.loading_drift(loads), "change", "size", "ratio")
 
 
+BIND = """limits as (select date, sum(abs(weight)) as gross, sqrt(pow(sum(beta * weight), 2) * max(factor_var) + sum(specific * weight * weight)) * sqrt(252) as vol
+  from weights join numbered using (date) join model using (bar, ticker) group by date),
+named as (select case when vol >= 0.05 * (1 - 1e-4) and gross >= 0.5 * (1 - 1e-4) then 'both' when vol >= 0.05 * (1 - 1e-4) then 'vol' when gross >= 0.5 * (1 - 1e-4) then 'leverage' else 'turnover' end as binding from limits)"""
+
+
+def _sql_ones_and_weights() -> str:
+    """The CTEs of the one-factor model and of the sized book, whose common ones are named once."""
+    return f"{ONE}, {sql_ewm('v', 'rets', 'r', span(60), 60)}, {WEIGHTS.split(sql_ewm('v', 'rets', 'r', span(60), 60) + ', ')[1]}"
+
+
+@query(f"with {BARS}, {_sql_ones_and_weights()}, {BIND} select binding, count(*) as n, round(count(*) / sum(count(*)) over (), 6) + 0.0 as share from named group by binding")
+def binding_shares(spark, sf_dir):
+    panel = settled(regions(spark, sf_dir))
+    rows = _panel_weights(panel).join(P.bar_numbers(panel), "date").join(_one_of(panel), ["bar", "ticker"])
+    load, own = F.sum(F.col("beta") * F.col("weight")), F.sum(F.col("specific") * F.col("weight") * F.col("weight"))
+    rows = rows.groupBy("date").agg(F.sum(F.abs("weight")).alias("gross"), (F.sqrt(load * load * F.max("factor_var") + own) * 252**0.5).alias("vol"))
+    named = rows.select(B.binding(F.col("vol"), F.col("gross"), F.lit(0.05), F.lit(0.5), F.lit("linear")).alias("binding"))
+    return rounded(X.value_shares(named, "binding"), "share")
+
+
+@query(f"with {BARS}, {ONE} select a.bar, a.ticker as i, b.ticker as j, round(a.beta * b.beta * a.factor_var + case when a.ticker = b.ticker then a.specific else 0 end, 6) + 0.0 as cov from model a join model b on a.bar = b.bar and a.ticker <= b.ticker")
+def model_covariance(spark, sf_dir):
+    return rounded(R.covariances(_one_snapshots(_one(spark, sf_dir))), "cov")
+
+
+@query(f"with {BARS}, {EXPOSURE.replace(RETURNS + ', ', '', 1).join([ONE + ', ', ''])} select bar, 'Market' as factor, round(corr(z, beta), 6) + 0.0 as corr from exposure join numbered using (date) join model using (bar, ticker) where z is not null group by bar having count(*) = 5")
+def exposure_collinearity(spark, sf_dir):
+    panel = settled(regions(spark, sf_dir))
+    raw = panel.select("date", "ticker", FE.momentum_12_1().alias("raw")).where("raw is not null")
+    exposure = X.momentum_exposure(raw, FE.return_vol(panel, out="sigma").select("date", "ticker", "sigma")).join(P.bar_numbers(panel), "date")
+    rows = exposure.join(_one_of(panel), ["bar", "ticker"]).groupBy("bar").agg(F.collect_list(F.struct("exposure", "beta")).alias("rows")).where(F.size("rows") == 5)
+    snaps = rows.select("bar", F.col("rows.exposure").alias("m"), F.col("rows.beta").alias("beta"), F.array(F.lit("Market"), F.lit(B.MOMENTUM)).alias("factors"))
+    return rounded(B.collinearity(snaps), "corr")
+
+
+# --- clip rates, correlations, bounds ------------------------------------------------------
+
+HALFLIVES = (21, 31, 63)
+
+
+def _sql_clip_grid() -> str:
+    ctes, rows = [], []
+    for h in HALFLIVES:
+        for n in MOM_NAMES[:2]:
+            name = f"g{h}_{n}"
+            ctes.append(f"{name}_in as (select date, ticker, {n} from mom where {n} is not null), {sql_ewm(name, f'{name}_in', n, half(h), h, 1200)}")
+            rows.append(f"select {h} as halflife, '{n}' as feature, count(*) as n, round(avg(case when std is not null and abs({n} - mean) > 2 * std then 1.0 else 0.0 end), 6) + 0.0 as rate from {name}")
+    return f"with {BARS}, {sql_momentum()}, {', '.join(ctes)} {' union all '.join(rows)}"
+
+
+@query(_sql_clip_grid())
+def winsor_clip_grid(spark, sf_dir):
+    """The share of each feature's values that a clip at two running deviations would change, by half-life."""
+    rows = FE.vol_scaled_momentum(settled(regions(spark, sf_dir))).unpivot(["date", "ticker"], MOM_NAMES[:2], "feature", "value").where("value is not null")
+    rows, out = settled(rows), None
+    for h in HALFLIVES:
+        clipped = FE.winsorised(rows, "value", "clipped", halflife=h, width=2.0, keys=("ticker", "feature"))
+        found = clipped.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg((F.col("clipped") != F.col("value")).cast("double"))).alias("rate")).select(F.lit(h).alias("halflife"), "feature", "n", "rate")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"with {NATIONS}, {CORR.replace('bars', 'nations')} select round(avg(abs(corr)), 6) + 0.0 as mean, round(avg(case when abs(corr) > 0.5 then 1.0 else 0.0 end), 6) + 0.0 as high from corrs")
+def correlations_above_half(spark, sf_dir):
+    corr = X.pair_correlation(P.with_returns(P.lineitem_bars(spark, sf_dir, "n_name")), "log_return")
+    return corr.agg(r6(F.avg(F.abs("corr"))).alias("mean"), r6(F.avg((F.abs("corr") > 0.5).cast("double"))).alias("high"))
+
+
+BOUNDED = ("East", "Gold", "South")
+
+
+@query(f"""with {BARS}, legs(name, ticker, side) as (values {', '.join(f"('{n}', '{t}', {1 if w > 0 else -1})" for n, ws in FACTORS for t, w in ws.items())}),
+wanted as (select name, count(distinct side) as k from legs group by name),
+live as (select date, name, count(distinct side) as k from bars join legs using (ticker) group by all),
+good as (select date, name from live join wanted using (name, k))
+select date::varchar as date, name from (select distinct date from bars), (select unnest({list(BOUNDED)}) as name) where (date, name) not in (select (date, name) from good)""")
+def unknown_factor_bounds(spark, sf_dir):
+    """The bounded names that are no factor of a date: a leg with such bounds is refused."""
+    panel = settled(regions(spark, sf_dir))
+    factors = spark.createDataFrame([(n, w) for n, w in FACTORS], "name string, weights map<string,double>")
+    live = FA.factor_weights(factors, panel.select("date", "ticker")).select("date", "name").distinct()
+    bounded = panel.select("date").distinct().withColumn("name", F.explode(F.array(*map(F.lit, BOUNDED))))
+    return bounded.join(live, ["date", "name"], "left_anti")
+
+
+@query("select distinct ticker, min(ord) as ord from (select unnest(['ASIA', 'AFRICA']) as ticker, unnest([1, 2]) as ord union all select r_name, 3 + r_regionkey from region) group by ticker")
+def universe_union(spark, sf_dir):
+    """Traded tickers, then those that only factors name: each once, at its first place."""
+    named = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("ticker"), (3 + F.col("r_regionkey")).cast("int").alias("ord"))
+    traded = spark.createDataFrame([("ASIA", 1), ("AFRICA", 2)], "ticker string, ord int")
+    return traded.unionByName(named).groupBy("ticker").agg(F.min("ord").alias("ord"))
+
+
+# --- a leg and its attribution -------------------------------------------------------------
+
+HOLD = B.Leg("buy and hold", "buy_hold", cost_bps=1.0)
+
+HELD = """days as (select *, lag(date) over (order by date) as before from (select distinct date from bars)),
+sticky as (select date, ticker, last_value(close ignore nulls) over (partition by ticker order by date) as price from (select distinct date from bars) cross join (select distinct ticker from bars) left join bars using (date, ticker)),
+start as (select *, count(*) over () as k from sticky where date = (select min(date) from bars) and price is not null),
+bought as (select ticker, price, cast(round_even(100000.0 / k / price, 0) as bigint) as q from start),
+purse as (select 100000.0 - sum(q * price) - sum(abs(q) * price) * 1e-4 as cash from bought),
+worth as (select date, case when date = (select min(date) from bars) then 100000.0 else (select cash from purse) + sum(q * s.price) end as equity from sticky s left join bought b using (ticker) group by date),
+curve as (select date, equity, ln(equity / lag(equity) over (order by date)) as ret from worth),
+held as (select d.date, b.ticker, b.q * s.price / w.equity as w from days d join sticky s on s.date = d.before join bought b on b.ticker = s.ticker join worth w on w.date = d.before)"""
+
+ATTR = f"""{ONE}, {HELD},
+parts as (select n.date, m.ticker, m.beta, m.specific, m.factor_var, coalesce(h.w, 0) as w, coalesce(r.r, 0) as r
+  from model m join numbered n on n.bar = m.bar + 1 left join held h on h.date = n.date and h.ticker = m.ticker left join rets r on r.date = n.date and r.ticker = m.ticker),
+attr as (select date, ret, sum(beta * w) as x, sum(0.2 * r) as f, sum(0.2 * (exp(r) - 1)) as fs, sum(w * r) as wr, sum(specific * w * w) as own, max(factor_var) as fv from parts join curve using (date) where ret is not null group by date, ret),
+tied as (select *, avg(x) over () as m, ret - x * f - (wr - x * f) as other, sqrt(x * x * fv + own) as risk from attr)"""
+
+
+def _held(panel):
+    return B.fold_legs(B.leg_inputs(panel, FE.macd_score(panel)), [HOLD])
+
+
+def _one_snapshots(model):
+    """one_factor() in the form of the risk model's snapshots, with one factor of fixed equal weights."""
+    rows = model.groupBy("bar").agg(F.sort_array(F.collect_list(F.struct("ticker", "beta", "specific"))).alias("r"), F.max("factor_var").alias("v"))
+    return rows.select("bar", F.col("r.ticker").alias("tickers"), F.array(F.lit("Market")).alias("factors"), F.col("r.beta").alias("b"), F.array("v").alias("f"), F.col("r.specific").alias("d"), F.transform("r", lambda _: F.lit(0.2)).alias("w"), F.col("r.beta").alias("beta"), F.lit(None).cast("array<double>").alias("m"))
+
+
+def _attributed(spark, sf_dir):
+    panel = settled(regions(spark, sf_dir))
+    return A.attribute(settled(_held(panel)), settled(_one_snapshots(_one_of(panel))), panel)
+
+
+@query(f"with {BARS}, {HELD} select date::varchar as date, round(equity, 4) + 0.0 as equity, {o6('ret', 'log_return')} from curve")
+def buy_and_hold(spark, sf_dir):
+    curve = B.equity_curve(_held(settled(regions(spark, sf_dir))))
+    return curve.select("date", (F.round("equity", 4) + F.lit(0.0)).alias("equity"), r6("log_return").alias("log_return"))
+
+
+@query(f"with {BARS}, {HELD} select 'BUY' as side, ticker, q as quantity, round(price, 6) + 0.0 as price, (select min(date) from bars)::varchar as date from bought where q > 0")
+def trade_log(spark, sf_dir):
+    log = B.trade_log(_held(settled(regions(spark, sf_dir))))
+    return rounded(log.select("side", "ticker", "quantity", "price", "date"), "price")
+
+
+@query(f"with {BARS}, {ATTR} select date::varchar as date, 'Market' as factor, {o6('x * f', 'value')} from tied union all select date::varchar, 'RESIDUAL', {o6('ret - x * f', 'value')} from tied")
+def leg_contributions(spark, sf_dir):
+    return rounded(A.contributions(_attributed(spark, sf_dir)).select("date", "factor", "value"), "value")
+
+
+@query(f"with {BARS}, {ATTR} select date::varchar as date, {o6('m * f', 'structural')}, {o6('(x - m) * f', 'timing')}, 0.0::double as momentum, {o6('wr - x * f', 'selection')}, {o6('other', 'other')} from tied")
+def leg_edge_buckets(spark, sf_dir):
+    return rounded(A.buckets(_attributed(spark, sf_dir)).drop("leg"), *B.BUCKETS)
+
+
+@query(f"""with {BARS}, {ATTR}, long_b as (select unnest(['structural', 'timing', 'momentum', 'selection', 'other']) as bucket, unnest([m * f, (x - m) * f, 0.0, wr - x * f, other]) as v from tied)
+select bucket, round(avg(v) * 252, 6) + 0.0 as annual_mean, round(stddev_samp(v), 6) + 0.0 as std, round(case when stddev_samp(v) > 0 then avg(v) / stddev_samp(v) * sqrt(count(*)) else 0 end, 6) + 0.0 as t from long_b group by bucket""")
+def leg_edge_summary(spark, sf_dir):
+    return rounded(A.bucket_summary(_attributed(spark, sf_dir)).drop("leg"), "annual_mean", "std", "t")
+
+
+@query(f"""with {BARS}, {ATTR} select 'Market' as factor, round(avg(m * f) * 252, 6) + 0.0 as structural, round(avg((x - m) * f) * 252, 6) + 0.0 as timing,
+  round(avg((x - m) * f) / stddev_samp((x - m) * f) * sqrt(count(*)), 6) + 0.0 as t_timing from tied""")
+def leg_factor_summary(spark, sf_dir):
+    return rounded(A.factor_summary(_attributed(spark, sf_dir)).drop("leg"), "structural", "timing", "t_timing")
+
+
+@query(f"with {BARS}, {ATTR} select 'Market' as factor, round(avg(x), 6) + 0.0 as mean, round(min(x), 6) + 0.0 as least, round(max(x), 6) + 0.0 as most from tied")
+def leg_exposure_ranges(spark, sf_dir):
+    return rounded(A.exposure_ranges(_attributed(spark, sf_dir)).drop("leg"), "mean", "least", "most")
+
+
+@query(f"with {BARS}, {ATTR} select 'Market' as factor, round(avg(x * x * fv / (x * x * fv + own)), 6) + 0.0 as share from tied union all select 'RESIDUAL', round(avg(own / (x * x * fv + own)), 6) + 0.0 from tied")
+def leg_mean_shares(spark, sf_dir):
+    return rounded(A.mean_shares(_attributed(spark, sf_dir)).drop("leg"), "share")
+
+
+@query(f"""with {BARS}, {ATTR} select round(stddev_samp(ret / risk), 6) + 0.0 as bias, count(*) as bars, round(avg(risk) * sqrt(252), 6) + 0.0 as predicted_vol,
+  round(stddev_samp(ret) * sqrt(count(*) / (date_diff('day', min(date), max(date)) / 365.25)), 6) + 0.0 as realized_vol from tied""")
+def leg_health(spark, sf_dir):
+    return rounded(A.health(_attributed(spark, sf_dir)).drop("leg"), "bias", "predicted_vol", "realized_vol")
+
+
+@query(f"with {BARS}, {ATTR} select date::varchar as date, case when count(ret / risk) over w >= 125 then round(stddev_samp(ret / risk) over w, 6) + 0.0 end as bias from tied where risk > 0 window w as (order by date rows 249 preceding)")
+def leg_rolling_bias(spark, sf_dir):
+    return rounded(A.rolling_bias(_attributed(spark, sf_dir)).drop("leg"), "bias")
+
+
+def sql_regression(source: str, y: str, xs: list[str]) -> str:
+    """SQL of regression() over the rows of ``source``: each variable is made orthogonal to all others, one after the other."""
+    names = ["alpha", *xs]
+    ctes = [f"x_obs as (select row_number() over () as id, {y}::double as y, 1.0::double as x0, {', '.join(f'"{x}"::double as x{k}' for k, x in enumerate(xs, 1))} from {source})"]
+    out = []
+    for k in range(len(names)):
+        order, last = [j for j in range(len(names)) if j != k] + [k], "x_obs"
+        for step, j in enumerate(order):
+            made = " ".join(f"- z{i} * sum(x{j} * z{i}) over () / sum(z{i} * z{i}) over ()" for i in order[:step])
+            # the projections are on orthogonal columns, so they may be taken off together
+            ctes.append(f"r{k}_{step} as (select *, x{j} {made} as z{j} from {last})")
+            last = f"r{k}_{step}"
+        rest = "y " + " ".join(f"- z{i} * sum(y * z{i}) over () / sum(z{i} * z{i}) over ()" for i in order)
+        ctes.append(f"s{k} as (select *, {rest} as e from {last})")
+        beta, n = f"(sum(y * z{k}) / sum(z{k} * z{k}))", len(names)
+        out.append(f"select '{names[k]}' as term, {o6(beta, 'beta')}, {o6(f'{beta} / sqrt(sum(e * e) / (count(*) - {n}) / sum(z{k} * z{k}))', 't')}, {o6('1 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*))', 'r2')}, {o6(f'{beta} * avg(x{k}) * 252', 'contribution')} from s{k}")
+    return f"{', '.join(ctes)} {' union all '.join(out)}"
+
+
+@query(f"with {BARS}, {ATTR}, simple as (select exp(ret) - 1 as ret, fs as \"Market\" from tied), {sql_regression('simple', 'ret', ['Market'])}")
+def leg_regression(spark, sf_dir):
+    return rounded(A.factor_regression(_attributed(spark, sf_dir)).drop("leg"), "beta", "t", "r2", "contribution")
+
+
+# --- the risk model with one factor, which SQL can express ---------------------------------
+
+ONE_LEVEL = R.Config(REGIONS, (("World", 1, {t: 0.2 for t in REGIONS}),), vol_span=60, corr_span=60, corr_periods=60, lookback=1_000_000, eigen=False, measured=False)
+
+LEVEL = f"""{COV},
+known as (select n.bar, p.i, p.j, last_value(cov ignore nulls) over (partition by p.i, p.j order by n.bar) as s from numbered n cross join (select distinct i, j from covs) p left join covs c on c.bar = n.bar and c.i = p.i and c.j = p.j),
+full_s as (select bar, i, j, s from known where s is not null union all select bar, j, i, s from known where s is not null and i != j),
+warm as (select bar, i as ticker from known where i = j and s > 0),
+needed as (select bar, count(*) as k from warm group by bar),
+partners as (select w.bar, w.ticker, count(*) as k from warm w join full_s f on f.bar = w.bar and f.i = w.ticker join warm o on o.bar = f.bar and o.ticker = f.j group by all),
+whole as (select bar, ticker from partners join needed using (bar, k)),
+sized as (select *, 1.0 / count(*) over (partition by bar) as w from whole),
+fvar as (select s.bar, sum(s.s * a.w * b.w) as f from full_s s join sized a on a.bar = s.bar and a.ticker = s.i join sized b on b.bar = s.bar and b.ticker = s.j group by s.bar having count(*) >= 4),
+loads as (select s.bar, s.i as ticker, max(f.f) as f, sum(s.s * b.w) / max(f.f) as raw, max(case when s.i = s.j then s.s end) as own, max(a.w) as w
+  from full_s s join fvar f on f.bar = s.bar join sized a on a.bar = s.bar and a.ticker = s.i join sized b on b.bar = s.bar and b.ticker = s.j group by all),
+level as (select *, raw * case when raw * raw * f > own then sqrt(own / (raw * raw * f)) else 1 end as b, greatest(0.1 * own, own - least(raw * raw * f, own)) as d from loads)"""
+
+
+def _level(spark, sf_dir):
+    panel = settled(regions(spark, sf_dir))
+    return panel, settled(R.snapshots(panel, ONE_LEVEL))
+
+
+@query(f"with {BARS}, {LEVEL} select bar, ticker, {o6('w', 'w')}, {o6('b', 'b')}, {o6('f * 1e4', 'f')}, {o6('d * 1e4', 'd')}, {o6('sqrt(own) * 1e2', 'sigma')} from level")
+def model_one_level(spark, sf_dir):
+    snaps = _level(spark, sf_dir)[1]
+    rows = snaps.select("bar", F.element_at("f", 1).alias("f"), F.explode(F.arrays_zip("tickers", "w", "b", "d", "sigma")).alias("r"))
+    return rows.select("bar", F.col("r.tickers").alias("ticker"), r6("r.w").alias("w"), r6("r.b").alias("b"), r6(F.col("f") * 1e4).alias("f"), r6(F.col("r.d") * 1e4).alias("d"), r6(F.col("r.sigma") * 1e2).alias("sigma"))
+
+
+@query(f"with {BARS}, {LEVEL} select l.bar + 1 as bar, 'World' as factor, round(sum(l.w * coalesce(o.r, 0)), 6) + 0.0 as value from level l left join obs o on o.bar = l.bar + 1 and o.ticker = l.ticker where l.bar + 1 in (select bar from obs) group by l.bar")
+def model_one_level_returns(spark, sf_dir):
+    panel, snaps = _level(spark, sf_dir)
+    return rounded(R.factor_returns(snaps, R.bar_inputs(panel, ONE_LEVEL)[0]), "value")
+
+
+@query(f"""with {BARS}, {LEVEL}, sums as (select bar, sum(b) * 0.2 as x, max(f) as f, sum(d) * 0.04 as own from level group by bar)
+select bar, 'World' as factor, {o6('x', 'exposure')}, {o6('x * x * f / (x * x * f + own)', 'share')}, {o6('(x * x * f + own) * 1e4', 'variance')} from sums
+union all select bar, 'RESIDUAL', 0.0::double, {o6('own / (x * x * f + own)', 'share')}, {o6('(x * x * f + own) * 1e4', 'variance')} from sums""")
+def model_one_level_shares(spark, sf_dir):
+    snaps = _level(spark, sf_dir)[1]
+    held = snaps.select("bar", F.explode("tickers").alias("ticker")).withColumn("weight", F.lit(0.2))
+    return R.risk(snaps, held).select("bar", "factor", r6("exposure").alias("exposure"), r6("share").alias("share"), r6(F.col("variance") * 1e4).alias("variance"))
+
+
 # --- models and legs beyond SQL ------------------------------------------------------------
 
-CONFIG = R.Config(REGIONS, (("World", 1, {t: 0.2 for t in REGIONS}), ("East", 2, {"ASIA": 1.0, "EUROPE": -0.5, "AMERICA": -0.5})), corr_span=120, corr_periods=120, simulations=50)
+CONFIG = R.Config(REGIONS, (("World", 1, {t: 0.2 for t in REGIONS}), ("East", 2, {"ASIA": 1.0, "EUROPE": -0.5, "AMERICA": -0.5})))
 
 
 @query()
@@ -564,14 +826,26 @@ def model_factor_returns(spark, sf_dir):
 def model_residual_correlations(spark, sf_dir):
     panel = settled(regions(spark, sf_dir))
     snaps = settled(R.snapshots(panel, CONFIG))
-    last = snaps.agg(F.max("bar").alias("last"))
-    return B.worst_pairs(B.residual_correlations(snaps.join(F.broadcast(last), F.col("bar") == F.col("last")), R.bar_inputs(panel, CONFIG)[1].select("bar", "pairs")))
+    return B.residual_correlations(snaps, R.bar_inputs(panel, CONFIG)[1].select("bar", "pairs"))
+
+
+@query()
+def model_residual_shares(spark, sf_dir):
+    panel = settled(regions(spark, sf_dir))
+    return B.residual_shares(settled(R.snapshots(panel, CONFIG)), R.bar_inputs(panel, CONFIG)[1].select("bar", "pairs"))
+
+
+LEGS = [B.Leg("trend"), B.Leg("trend rescaled", "rescaled"), HOLD]
 
 
 @query()
 def backtest_legs(spark, sf_dir):
-    legs = [B.Leg("trend"), B.Leg("trend rescaled", "rescaled"), B.Leg("buy and hold", "buy_hold", cost_bps=1.0)]
-    return B.equity_curve(B.macd_legs(regions(spark, sf_dir), legs))
+    return B.equity_curve(B.macd_legs(settled(regions(spark, sf_dir)), LEGS))
+
+
+@query()
+def leg_correlations(spark, sf_dir):
+    return B.leg_correlation(B.equity_curve(settled(B.macd_legs(settled(regions(spark, sf_dir)), LEGS))))
 
 
 @query()
@@ -579,15 +853,34 @@ def backtest_metrics(spark, sf_dir):
     return B.metrics(backtest_legs(spark, sf_dir))
 
 
+OPTIMISED = B.Leg("optimised", "optimized", max_gross=2.0, bounds={"World": (-0.5, 0.5)})
+
+
+def _optimised(spark, sf_dir):
+    panel = settled(regions(spark, sf_dir))
+    return settled(B.fold_legs(B.leg_inputs(panel, settled(FE.macd_score(panel))), [OPTIMISED], optimised_snapshots(panel, CONFIG)))
+
+
 @query()
 def backtest_optimized(spark, sf_dir):
-    panel = settled(regions(spark, sf_dir))
-    snaps = settled(R.snapshots(panel, CONFIG)).join(P.bar_numbers(panel), "bar")
-    inputs = B.leg_inputs(panel, FE.macd_score(panel))
-    return B.equity_curve(B.run_legs(inputs, [B.Leg("optimised", "optimized", max_gross=2.0)], snaps))
+    return B.equity_curve(_optimised(spark, sf_dir))
 
 
 @query()
+def solve_log(spark, sf_dir):
+    return B.solve_log(_optimised(spark, sf_dir), [OPTIMISED])
+
+
+@query()
+def solver_summary(spark, sf_dir):
+    shares, numbers = B.solver_summary(B.solve_log(_optimised(spark, sf_dir), [OPTIMISED]))
+    return shares.join(numbers, "leg")
+
+
+TREND = ("AFRICA", "AMERICA", "EUROPE")
+
+
+@query(f"with {BARS}, {RETURNS}, moves as (select date, ticker, close / lag(close) over (partition by ticker order by date) - 1 as r from bars), wide as (select * from (pivot moves on ticker in ({', '.join(repr(t) for t in REGIONS)}) using first(r) group by date) where " + " and ".join(f'"{t}" is not null' for t in REGIONS) + f"), {sql_regression('wide', '"ASIA"', list(TREND))}")
 def trend_regression(spark, sf_dir):
     rows = P.wide_panel(P.with_returns(regions(spark, sf_dir)).select("date", "ticker", F.col("simple_return").alias("close")), list(REGIONS)).dropna()
-    return B.regression(rows, "ASIA", ["AFRICA", "AMERICA", "EUROPE"])
+    return rounded(B.regression(rows, "ASIA", list(TREND)), "beta", "t", "r2", "contribution")

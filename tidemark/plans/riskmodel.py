@@ -66,6 +66,12 @@ def _matrix(values, rows: int) -> np.ndarray:
     return np.array(values, dtype=float).reshape(rows, -1)
 
 
+def _carried_on(rows: DataFrame, keys: list[str], last: int) -> DataFrame:
+    """Each row on its own bar and on all later ones before the next row of its keys."""
+    until = F.coalesce(F.lead("bar").over(Window.partitionBy(*keys).orderBy("bar")) - 1, F.lit(last))
+    return rows.withColumn("__until", until).withColumn("bar", F.explode(F.sequence("bar", "__until"))).drop("__until")
+
+
 def bar_inputs(panel: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """Returns (bar, ticker, value), and a row a bar: bar, pairs of covariances, raw momentum."""
     panel = good_ticks(panel.where(F.col("ticker").isin(list(config.tickers))))
@@ -79,13 +85,9 @@ def bar_inputs(panel: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     long = ewm_covariance(returns, span=config.corr_span, periods=config.corr_periods).withColumnRenamed("cov", "s").drop("n")
     both = short.join(long, ["bar", "i", "j"])
     both = settled(both)
-    grid = bars.select("bar").crossJoin(F.broadcast(both.select("i", "j").distinct()))
-    held = Window.partitionBy("i", "j").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    full = grid.join(both, ["bar", "i", "j"], "left").select("bar", "i", "j", *[F.last(c, True).over(held).alias(c) for c in ("s", "v")])
-    pairs = full.where("s is not null and v is not null").groupBy("bar").agg(F.collect_list(F.struct("i", "j", "s", "v")).alias("pairs"))
-    marks = bars.select("bar").crossJoin(F.broadcast(rows.select("ticker").distinct())).join(rows.select("bar", "ticker", "raw"), ["bar", "ticker"], "left")
-    kept = Window.partitionBy("ticker").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
-    raw = marks.select("bar", "ticker", F.last("raw", True).over(kept).alias("raw")).where("raw is not null")
+    last = bars.count()
+    pairs = _carried_on(both.where("s is not null and v is not null"), ["i", "j"], last).groupBy("bar").agg(F.collect_list(F.struct("i", "j", "s", "v")).alias("pairs"))
+    raw = _carried_on(rows.where("raw is not null").select("bar", "ticker", "raw"), ["ticker"], last)
     raw = raw.groupBy("bar").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "raw"))).alias("raw"))
     return returns, pairs.join(raw, "bar", "left")
 
@@ -153,7 +155,7 @@ def momentum_states(blocks: DataFrame, returns: DataFrame, bars: DataFrame, conf
     rows = _next_returns(blocks.where("m is not null"), returns)
     last = bars.agg(F.max("bar").alias("last"))
     series = _maps(rows, lambda row: {"bar": row["bar"] + 1, "value": _momentum_return(row, _vector(row))}, "bar long, value double")
-    series = series.join(F.broadcast(last), F.col("bar") <= F.col("last")).select("bar", "value", F.lit(0).alias("one"))
+    series = series.join(last, F.col("bar") <= F.col("last")).select("bar", "value", F.lit(0).alias("one"))
     long = ewm_moments(series, ["one"], "bar", "value", "__a", "long", span=config.corr_span, periods=config.vol_span).select("bar", "long")
     short = ewm_moments(series, ["one"], "bar", "value", "__b", "short", span=config.vol_span, periods=config.vol_span).select("bar", "short")
     held = Window.orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
@@ -287,3 +289,19 @@ def risk(snaps: DataFrame, holdings: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["bar", "factor", "exposure", "share", "variance"])
 
     return snaps.join(maps, "bar").mapInPandas(run, "bar long, factor string, exposure double, share double, variance double")
+
+
+def covariances(snaps: DataFrame) -> DataFrame:
+    """(bar, i, j, cov) for i <= j: each snapshot's full covariance B F B' + diag(D)."""
+
+    def run(batches):
+        for part in batches:
+            out = []
+            for row in part.to_dict("records"):
+                names = list(row["tickers"])
+                b = _matrix(row["b"], len(names))
+                cov = b @ _matrix(row["f"], b.shape[1]) @ b.T + np.diag(row["d"])
+                out += [(row["bar"], *sorted((names[i], names[j])), float(cov[i, j])) for i in range(len(names)) for j in range(i, len(names))]
+            yield pd.DataFrame(out, columns=["bar", "i", "j", "cov"])
+
+    return snaps.mapInPandas(run, "bar long, i string, j string, cov double")

@@ -65,8 +65,8 @@ def bar_numbers(panel: DataFrame) -> DataFrame:
 
 
 def dense_panel(panel: DataFrame) -> DataFrame:
-    """Every (date, ticker) from the first date on, with the last close seen as ``sticky``."""
-    grid = panel.select("date").distinct().crossJoin(F.broadcast(panel.select("ticker").distinct()))
+    """Every (date, ticker) from the first date on, with the last close seen as ``sticky``; the grid is the result, so it is a product."""
+    grid = panel.select("date").distinct().crossJoin(panel.select("ticker").distinct())
     frame = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(panel, ["date", "ticker"], "left").withColumn("sticky", F.last("close", ignorenulls=True).over(frame))
 
@@ -94,6 +94,12 @@ def factor_tickers(factors: DataFrame) -> DataFrame:
     return factors.select(F.explode(F.map_keys("weights")).alias("ticker")).distinct()
 
 
+def universe(tickers: list[str], factors: DataFrame) -> list[str]:
+    """The traded tickers, then those that only factors name, in the factors' order; each once. The driver holds the names of a config."""
+    named = factors.select("ord", F.posexplode(F.map_keys("weights")).alias("pos", "ticker")).groupBy("ticker").agg(F.min(F.struct("ord", "pos")).alias("at"))
+    return list(dict.fromkeys([*tickers, *(r.ticker for r in named.orderBy("at").collect())]))
+
+
 def read_config(path: str, allowed: dict) -> dict:
     """A JSON object with known keys over their defaults; ValueError names the path and what is wrong."""
     try:
