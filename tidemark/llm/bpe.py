@@ -8,7 +8,8 @@ that the last token of the remaining prefix can stand before without a merge acr
 their border. Back-pointers from the whole word give the exact ids; no merge is replayed.
 
 Null text counts as empty text: no ids, empty decoded text. Repeated rows are encoded
-each. Extra columns are ignored by the query and kept by nothing.
+each. Extra columns, whatever their names, are ignored by the query and kept by nothing. An empty table gives no rows. Very long texts are
+encoded whole, chunk by chunk; a long run without white space takes time and memory in proportion.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -25,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, pieces
+from .common import begin, documents, pieces
 
-#: Entries of each of the two generations of the memory of chunks of a Python worker.
-MEMORY_WORDS = 500_000
-#: Longer chunks are encoded anew each time.
+#: Entries of each of the two generations of a Python worker's memories of chunks and of the words in them.
+MEMORY_CHUNKS, MEMORY_WORDS = 200_000, 250_000
+#: Longer chunks and words are encoded anew each time.
 MEMORY_CHARS = 48
 #: Moves a unit to its end-of-word variant, beyond all byte characters.
 _END = 0x1000
@@ -49,6 +50,27 @@ def byte_characters() -> list[str]:
     return [chr(b if b in set(own) else next(rest)) for b in range(256)]
 
 
+class Memory:
+    """The last results of a function of a string, in two generations of bounded size."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int):
+        self.compute, self.most = compute, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, key: str) -> bytes:
+        got = self.young.get(key)
+        if got is None:
+            got = self.old.get(key)
+            if got is None:
+                got = self.compute(key)
+            if len(key) <= MEMORY_CHARS:
+                if len(self.young) >= self.most:
+                    self.old, self.young = self.young, {}
+                self.young[key] = got
+        return got
+
+
 class WordCoder:
     """Encodes words of one vocabulary file. Holds no more than the file and two bounded memories."""
 
@@ -79,13 +101,13 @@ class WordCoder:
             self.automaton.add_word(units, (number, len(units)))
         self.automaton.make_automaton()
         self.byte_text = byte_characters()
-        self.fits = lru_cache(1 << 19)(self._fits)
+        self.fits = lru_cache(1 << 18)(self._fits)
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.token_bytes = {i: int(i).to_bytes(4, "little") for i in self.token_text}
         self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self.word = Memory(self._word, MEMORY_WORDS)
+        self.chunk = Memory(self._chunk, MEMORY_CHUNKS)
 
     @staticmethod
     def units(characters: str) -> str:
@@ -123,34 +145,27 @@ class WordCoder:
     def encode_units(self, units: str) -> list[int]:
         """Ids of one word given as units."""
         fits, last, size = self.fits, [-1] * (len(units) + 1), [0] * (len(units) + 1)
+        done = 0
         for end, (token, length) in self.automaton.iter(units):
             end += 1
-            if last[end] >= 0:
+            if end == done:  # this prefix has its last token, there is no other
                 continue
             before = end - length
             if not before or last[before] >= 0 and fits(last[before], token):
-                last[end], size[end] = token, length
+                last[end], size[end], done = token, length, end
         out, at = [], len(units)
         while at:
             out.append(last[at])
             at -= size[at]
         return out[::-1]
 
-    def chunk(self, chunk: str) -> bytes:
+    def _word(self, word: str) -> bytes:
+        units = word if word.isascii() and word.isprintable() else "".join([self.byte_text[b] for b in word.encode()])
+        return b"".join([self.token_bytes[i] for i in self.encode_units(self.units(units))])
+
+    def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space as little-endian 32-bit integers."""
-        got = self._young.get(chunk)
-        if got is None:
-            got = self._old.get(chunk)
-            if got is None:
-                ids = []
-                for word in self._words.findall(chunk):
-                    ids += self.encode_units(self.units(word if word.isascii() and word.isprintable() else "".join([self.byte_text[b] for b in word.encode()])))
-                got = b"".join([self.token_bytes[i] for i in ids])
-            if len(chunk) <= MEMORY_CHARS:
-                if len(self._young) >= MEMORY_WORDS:
-                    self._old, self._young = self._young, {}
-                self._young[chunk] = got
-        return got
+        return b"".join(map(self.word, self._words.findall(chunk)))
 
     def segments(self, text: str) -> Iterator[bytes | list[str]]:
         """A text's special tokens, encoded, and the lists of chunks between them.
@@ -173,7 +188,8 @@ class WordCoder:
             if isinstance(part, bytes):
                 found.append(part)
             else:
-                chunk, known = self.chunk, self._young.get
+                chunk = self.chunk
+                known = chunk.young.get  # a generation that ends meanwhile is still true
                 found += [known(w) or chunk(w) for w in part]
         return b"".join(found)
 
@@ -195,6 +211,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str =
     """``key``, ids array<int> and decoded string of every whole text."""
 
     def run(batches):
+        begin("bpe", coder.cache_clear)
         own = coder(path)
         for part in pieces(batches):
             found = [own.encode_ids(t).astype("int32") for t in part.column(1).to_pylist()]
@@ -208,6 +225,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and the decoded text of every whole text: one row a document, no exchange."""
 
     def run(batches):
+        begin("bpe", coder.cache_clear)
         own, sha = coder(path), hashlib.sha256
         for part in pieces(batches):
             n, a, b = [], [], []

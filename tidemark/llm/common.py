@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def begin(owner: str, drop: Callable[[], None] | None = None) -> None:
+    """To be called when a task's Python code begins: a worker serves many stages, and drops what other owners keep between their tasks."""
+    for other in [o for o in _kept if o != owner]:
+        _kept.pop(other)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if drop is not None:
+        _kept[owner] = drop
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of a few rows, so that few Python strings live at once."""
     for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_words, checkpoint, crc_fold, documents, id_crc32, pieces, written
+from .common import ascii_words, begin, checkpoint, crc_fold, documents, id_crc32, pieces, written
 
 #: The end token's word; no word is empty.
 END = ""
@@ -348,6 +348,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows; the empty word counts the rows."""
 
     def run(batches):
+        begin("gru")
         held: Counter = Counter()
 
         def flush():
@@ -407,6 +408,7 @@ def number_documents(docs: DataFrame, lex: Lexicon, fold: int = 10) -> DataFrame
     names = [x.split()[0] for x in NUMBERED.split(", ")[:8]] + ["tail"]
 
     def run(batches):
+        begin("gru")
         own = shared.value
         for part in pieces(batches):
             ids, rows, numbers, words_out, n_out, offsets = part.column(1).to_pylist(), [], [], [], [], [0]
@@ -437,6 +439,7 @@ def fit(numbered: DataFrame, lex: Lexicon, rounds: int = ROUNDS, shares: int = S
         shared = spark.sparkContext.broadcast(net)
 
         def run(batches, shared=shared):
+            begin("gru")
             model, held, size, total = shared.value, [], 0, 0
             for part in pieces(batches):
                 for x in part.column(0).to_pylist():
@@ -478,6 +481,7 @@ def score_documents(docs: DataFrame, fold: int = 10, known: int = KNOWN, head: i
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
+        begin("gru")
         own, held, numbers, size = shared.value, [], [], 0
 
         def block():

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, documents, id_crc32, pieces, written
+from .common import begin, crc_fold, documents, id_crc32, pieces, written
 
 ORDER = 4
 #: N-grams of a language and order that each task holds at most.
@@ -65,6 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) over all rows of ``docs``: counted in each task, then summed by Spark."""
 
     def run(batches):
+        begin("langid")
         held: dict[str, Counter] = {}
 
         def flush():
@@ -254,6 +255,7 @@ def word_statistics(words: DataFrame, model: Model) -> tuple[np.ndarray, np.ndar
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin("langid")
         own = shared.value
         number = {lang: i for i, lang in enumerate(own.languages)}
         sums = np.zeros((len(own.languages), 4))
@@ -280,6 +282,7 @@ def calibrated_limit(held_out: DataFrame, model: Model) -> float:
     shared = held_out.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin("langid")
         judge = Judge(shared.value)
         for part in pieces(batches):
             found = judge(part.column(0).to_pylist())[3]
@@ -342,6 +345,7 @@ def predict(docs: DataFrame, model: Model | None, fold: int = 3, held: int = 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin("langid")
         judge = Judge(shared.value)
         for part in pieces(batches):
             langs, score, entropy, _, rejected = judge(part.column(1).to_pylist())
@@ -356,6 +360,7 @@ def accept(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        begin("langid")
         judge = Judge(shared.value)
         for part in pieces(batches):
             yield part.filter(pa.array(~judge(part.column("text").to_pylist())[4]))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, pieces
+from .common import begin, documents, pieces
 
 #: Samples in a row of the stored image of a text; its payload is padded to whole rows.
 ROW = 64
@@ -156,6 +156,7 @@ def image_features(images: DataFrame, key: str, data: str, size: int = 32, edge:
     """``key``, height, width, dhash, the NPY tiles, and error for every image payload."""
 
     def run(batches):
+        begin("media")
         for part in pieces(batches, 64):
             out = []
             for k, payload in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -194,6 +195,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        begin("media")
         for part in pieces(batches):
             out = []
             for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, documents, pieces, runs_of, shuffle_partitions
+from .common import ascii_lower, begin, checkpoint, documents, pieces, runs_of, shuffle_partitions
 from .components import components
 
 SHINGLE = 5
@@ -104,6 +104,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
 
     def run(batches):
+        begin("minhash")
         signer = Signer(bands, rows)
         for part in pieces(batches):
             out = []
@@ -158,6 +159,7 @@ def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
+        begin("minhash")
         known = shared.value
         for part in pieces(batches):
             h = part.column(2).to_numpy()
@@ -175,6 +177,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     """The pairs (u, v) of representatives with 100 |A and B| >= percent |A or B|, on full sets."""
 
     def run(batches):
+        begin("minhash")
         for part in pieces(batches, 64):
             keep = []
             for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
@@ -256,6 +259,7 @@ def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     """
 
     def run(batches):
+        begin("minhash")
         found = []
         for group in runs_of(batches, ("bucket", "lo", "hi")):
             mine, rep, component, members = (group.column(c).to_pylist() for c in ("mine", "rep", "component", "members"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import WordCoder, coder, default_vocabulary
-from .common import documents, pieces
+from .common import begin, documents, pieces
 
 WINDOW = 2048
 #: The id that closes each document.
@@ -122,6 +122,7 @@ def pack_documents(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS)
     closing = CLOSE.to_bytes(4, "little")
 
     def run(batches):
+        begin("bpe", coder.cache_clear)
         own = coder(path)
         is_end = sentence_ends(own)
         first = TaskContext.get().partitionId() << 40

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import checkpoint, documents, pieces
+from .common import begin, checkpoint, documents, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_DIGITS = 5
@@ -171,6 +171,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kinds = pa.int64(), pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
 
     def run(batches):
+        begin("pii")
         for part in pieces(batches):
             base, runs = [], []
             for text in part.column(2).to_pylist():
@@ -240,6 +241,7 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = find_personal_data(docs).select("doc_id", "body", F.concat("base", "found").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "body"])
 
     def run(batches):
+        begin("pii")
         for part in pieces(batches):
             texts = []
             for text, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
