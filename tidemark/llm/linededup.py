@@ -7,7 +7,8 @@ of the window comes strictly earlier, so some copy of every removed line stays.
 
 Null text has no line and stays null; a text of one or two lines is never changed. A null doc_id comes
 before all others. Rows of equal doc_id and text are one occurrence: they keep or lose the same lines.
-Extra columns are kept; the added ones are n_lines, n_removed. Columns of the input with those names are replaced.
+Extra columns are kept, whatever their names; the added ones are ``counted`` and ``removed``, and a column of the input with one of those
+names is an error. An empty table gives no rows. A text of very many lines is one row: its windows are rows of their own.
 """
 
 from __future__ import annotations
@@ -40,19 +41,21 @@ def later_windows(found: DataFrame) -> DataFrame:
     return found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "body", "at")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, with the repeated lines gone from ``text``, and n_lines and n_removed."""
+def dedup_lines(docs: DataFrame, counted: str = "n_lines", removed: str = "n_removed") -> DataFrame:
+    """All columns of ``docs``, with the repeated lines gone from ``text``, and the numbers of lines there were and of those removed."""
+    if taken := {counted, removed} & set(docs.columns):
+        raise ValueError(f"{', '.join(sorted(taken))} would be given twice; choose other names")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (SPAN - 1)))))
-    gone = later_windows(windows(docs)).groupBy(F.col("doc_id").alias("__id"), F.col("body").alias("__body")).agg(covered.alias("__gone"))
-    df = docs.withColumn("__own", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left")
+    gone = later_windows(windows(docs)).groupBy("doc_id", "body").agg(covered.alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("own"))
+    rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (F.col("own") == gone["body"]), "left").select("row", "text", "gone")
     lines = F.split("text", "\n")
-    df = df.withColumn("n_lines", F.coalesce(F.greatest(F.size(lines), F.lit(0)), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    stays = F.array_except(F.expr("sequence(0, cast(n_lines as int) - 1)"), F.col("__gone"))
-    left = F.array_join(F.transform(stays, lambda i: F.get(F.col("__lines"), i)), "\n")
-    df = df.withColumn("__lines", F.when(F.col("n_removed") > 0, lines))
-    df = df.withColumn("text", F.when(F.col("n_removed") > 0, left).otherwise(F.col("text")))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return df.select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
+    rows = rows.withColumn("n", F.coalesce(F.greatest(F.size(lines), F.lit(0)), F.lit(0)).cast("long")).withColumn("k", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("lines", F.when(F.col("k") > 0, lines))
+    stays = F.array_except(F.expr("sequence(0, cast(n as int) - 1)"), F.col("gone"))
+    left = F.array_join(F.transform(stays, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("k") > 0, left).otherwise(F.col("text"))
+    return rows.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], F.col("n").alias(counted), F.col("k").alias(removed))
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ decode() reads PBM, PGM and PPM (plain and raw, 8 and 16 bits) and uncompressed
 compares horizontal neighbours of a 9 x 8 reduction. npy_bytes() gives a tile's NPY form.
 
 Null payloads give null columns from image_features(); texts (store_texts) take null as empty.
-Broken or unknown images give a null in every feature and the reason in ``error``.
+Broken or unknown images give a null in every feature and the reason in ``error``. Ties: equal neighbours in a difference hash are a 0 bit.
+Repeated rows give equal rows each; extra columns, whatever their names, are ignored. An empty table gives no rows. Very long
+payloads are reduced by strips, so that the integral image of a strip is all that is held beside the samples.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import begin, documents, pieces
 
 #: Samples in a row of the stored image of a text; its payload is padded to whole rows.
 ROW = 64
+#: Rows of an integral image that are held at once.
+STRIP = 4096
 SPACE = b" \t\n\r\v\f"
 
 
@@ -116,21 +121,30 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def resize(plane: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over the exact area that each target cell covers, by an integral image.
+    """Mean over the exact area that each target cell covers, by an integral image, of which STRIP rows are held at a time.
 
     Cells that divide a sample take their share of it: between integral points it is bilinear.
     """
     rows, cols = plane.shape
-    integral = np.zeros((rows + 1, cols + 1))
-    np.cumsum(np.cumsum(plane, 0, dtype="f8"), 1, out=integral[1:, 1:])
-
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype("i8"), len(table) - 2)
+    y, x = np.linspace(0, rows, height + 1), np.linspace(0, cols, width + 1)
+    top = np.minimum(y.astype("i8"), rows - 1)
+    wanted = np.unique(np.concatenate((top, top + 1)))
+    lines, above = np.zeros((len(wanted), cols + 1)), np.zeros(cols + 1)  # integral rows; that of the strips before
+    for start in range(0, rows, STRIP):
+        integral = np.zeros((min(STRIP, rows - start), cols + 1))
+        np.cumsum(np.cumsum(plane[start : start + STRIP], 0, dtype="f8"), 1, out=integral[:, 1:])
+        integral += above
+        mine = (wanted > start) & (wanted <= start + len(integral))
+        lines[mine] = integral[wanted[mine] - start - 1]
+        above = integral[-1]
+
+    def between(table: np.ndarray, low: np.ndarray, edges: np.ndarray, at: np.ndarray) -> np.ndarray:
         part = (edges - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
+        return table[at] * (1 - part) + table[at + 1] * part
 
-    y, x = np.linspace(0, rows, height + 1), np.linspace(0, cols, width + 1)
-    corners = at(x, at(y, integral).T).T
+    across = between(lines, top, y, np.searchsorted(wanted, top))
+    left = np.minimum(x.astype("i8"), cols - 1)
+    corners = between(across.T, left, x, left).T
     return np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (rows * cols))
 
 
@@ -185,13 +199,14 @@ def text_image(text: str | None) -> tuple[int, bytes]:
     return len(raw), encode_pgm(np.frombuffer(padded, "u1").reshape(-1, ROW))
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tiles_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TILES = "tiles array<struct<row: int, col: int, npy: binary>>"
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """Every whole text as a stored image that is read back: one row a document, no exchange.
 
-    ``feature``: the difference hash; ``tiles_sha256``: of the NPY tiles of its reduction.
+    ``feature``: the difference hash; ``tiles``: the NPY tiles of its reduction.
     """
 
     def run(batches):
@@ -202,13 +217,13 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 n, media = text_image(text)
                 plane = decode(media)
                 payload = plane.tobytes()
-                own = hashlib.sha256(b"".join(npy_bytes(t) for _, _, t in tiles(plane, 16, 16))).hexdigest()
+                own = [{"row": r, "col": c, "npy": npy_bytes(t)} for r, c, t in tiles(plane, 16, 8)]
                 out.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(plane), own))
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            kinds = [pa.string() if c.endswith("string") else pa.int64() for c in SCHEMA.split(", ")]
+            names = [*(c.split()[0] for c in SCHEMA.split(", ")), "tiles"]
+            kinds = [*(pa.string() if c.endswith("string") else pa.int64() for c in SCHEMA.split(", ")), pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("npy", pa.binary())]))]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{SCHEMA}, {TILES}")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

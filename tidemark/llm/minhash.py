@@ -11,8 +11,8 @@ So a bucket of many copies costs one link a copy, no link that could join two co
 bucket is linear in its members.
 
 Rows of null doc_id are linked with nothing: their component is null and they are kept. Rows that
-share a doc_id are kept or dropped together with their own text's class. Extra columns are ignored.
-An empty table gives no rows.
+share a doc_id are one node of the graph: what one of their texts is linked with, all are; so ids should be unique. Extra columns, whatever their names, are ignored by near_duplicates() and kept by keep_first().
+An empty table gives no rows. Very long texts are whole sets, of which a task holds a few at a time.
 """
 
 from __future__ import annotations
@@ -99,26 +99,26 @@ class Signer:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, set_key, s0 ... s3, buckets: one row a document, no exchange."""
-    names = ["doc_id", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "buckets"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
+    """doc_id, body, n_shingles, set_key, s0 ... s3, buckets: one row a document, no exchange; ``body`` is xxhash64 of the text."""
+    names = ["doc_id", "body", "n_shingles", "set_key", "s0", "s1", "s2", "s3", "buckets"]
+    kinds = [*[pa.int64()] * 3, pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64())]
 
     def run(batches):
         begin("minhash")
         signer = Signer(bands, rows)
         for part in pieces(batches):
             out = []
-            for text in part.column(1).to_pylist():
+            for text in part.column(2).to_pylist():
                 own = shingles(text)
                 if len(own):
                     signature = signer.sign(own)
                     out.append((len(own), set_key(own), *signer.bits(signature).tolist(), signer.buckets(signature)))
                 else:
                     out.append((0, *[None] * 6))
-            columns = [part.column(0), *zip(*out, strict=True)]
+            columns = [part.column(0), part.column(1), *zip(*out, strict=True)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, buckets array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("body"), "text").mapInArrow(run, "doc_id long, body long, n_shingles long, set_key binary, s0 long, s1 long, s2 long, s3 long, buckets array<long>")
 
 
 def set_key(own: np.ndarray) -> bytes:
@@ -284,8 +284,8 @@ def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
     return rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a document."""
+def linked(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, body, n_shingles, component_id: one row a document."""
     base = checkpoint(signatures(docs, bands, rows))
     full = base.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -306,16 +306,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     more = _across(_mixed_buckets(placed, components(links)), docs, reps, percent)
     whole = components(links.union(more))
     of_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = base.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
+    out = base.select("doc_id", "body", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "body", "n_shingles", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a document; kept is true for rows of null doc_id."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return linked(docs, percent, bands, rows).drop("body").withColumn("kept", kept)
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows that near_duplicates() doesn't keep: of each group the least doc_id stays."""
-    found = near_duplicates(docs, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    """One document of each group, that of the least doc_id, and all rows of null doc_id.
+
+    Of rows that share this least doc_id the text of the least hash stays, and of equal rows one.
+    """
+    found = checkpoint(linked(docs, percent).where("doc_id is not null").select("doc_id", "body", "component_id"))
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("body").alias("body"), F.count("*").alias("rows"))
+    stay = first.select("doc_id", "body")
+    gone = found.select("doc_id", "body").distinct().join(stay, ["doc_id", "body"], "left_anti")
+    repeated = first.where("rows > 1").select("doc_id", "body")
+
+    def matched(other: DataFrame, how: str) -> DataFrame:
+        on = (docs["doc_id"].cast("long") == other["doc_id"]) & (F.xxhash64(docs["text"]) == other["body"])
+        return docs.join(other, on, how)
+
+    if repeated.isEmpty():
+        return matched(gone, "left_anti")
+    # of a doc_id with several rows one row of the staying text is taken, whichever comes
+    one = matched(repeated, "left_semi")
+    one = one.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).groupBy(F.col("row.doc_id").alias("k")).agg(F.first("row").alias("row"))
+    return matched(gone.union(repeated), "left_anti").unionByName(one.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ no padding and are compared apart.
 Streams are packed in blocks of ``BLOCK_TOKENS``, which bounds the memory of a task. Splits
 are packed independently, without an exchange, so a recomputed split gives the same rows.
 Null text is empty text: such a document is its closing id alone. Repeated rows, equal or null
-ids are each packed; extra columns are dropped. An empty table gives no rows.
+ids are each packed; extra columns, whatever their names, are dropped. An empty table gives no rows. A document longer than a block is
+a block of its own. Which documents share a sequence depends on how the input is split.
 """
 
 from __future__ import annotations

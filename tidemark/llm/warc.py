@@ -13,8 +13,8 @@ of all rows is spread over its slices. Header and payload columns join the resul
 
 outcome: ``resolved``, ``mismatch`` (validators differ), ``unconfirmed`` (no common validator), ``orphan`` (no earlier response).
 A null or empty URL is its own canonical form "" and is never joined; a null time is an orphan. Null headers count as
-none; names compare without case. Repeated record_ids are resolved each by its own row. Extra columns are ignored.
-An empty table gives no rows.
+none; names compare without case. Repeated record_ids are resolved each by its own row. Extra columns, whatever their names, are ignored.
+An empty table gives no rows. Payloads may be very long; they pass the last join only.
 """
 
 from __future__ import annotations
