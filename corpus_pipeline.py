@@ -5,7 +5,9 @@ that are nothing else. near_duplicates: one document of each group stays, that o
 spans are replaced by their kinds. packing: the texts' tokens in sequences, a row a piece.
 
 Every stage but the last returns the columns of its input, in their order. Null texts have no letter, so the first stage
-drops them; an empty table passes through every stage as an empty table; extra columns pass through all stages but the last.
+drops them; an empty table passes through every stage as an empty table; extra columns, whatever their names, pass through all stages but
+the last. Rows of equal doc_id and text become one in near_duplicates. Ties: of documents that are near one another the least doc_id stays.
+Very long texts are rows like others in every stage.
 """
 
 from __future__ import annotations
@@ -28,13 +30,21 @@ from tidemark.llm.pii import redact
 PERCENT = 80
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accept(docs, train(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = dedup_lines(docs).where("n_removed = 0 or trim(text) != ''")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    counted, removed = (fresh(name, docs.columns) for name in ("n_lines", "n_removed"))
+    found = dedup_lines(docs, counted, removed).where((F.col(removed) == 0) | (F.trim("text") != ""))
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
