@@ -20,7 +20,6 @@ import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,9 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import begin, documents, pieces
 
 #: Entries of each of the two generations of a Python worker's memories of chunks and of the words in them.
-MEMORY_CHUNKS, MEMORY_WORDS = 200_000, 250_000
+MEMORY_CHUNKS, MEMORY_WORDS = 400_000, 250_000
+#: Words share the work of their first units; so many beginnings are remembered.
+HEAD, MEMORY_HEADS = 5, 150_000
 #: Longer chunks and words are encoded anew each time.
 MEMORY_CHARS = 48
+PLAIN_ENDS = frozenset(".,;:!?")
 #: Moves a unit to its end-of-word variant, beyond all byte characters.
 _END = 0x1000
 _NEVER = 1 << 60
@@ -71,6 +73,54 @@ class Memory:
         return got
 
 
+class SuffixAutomaton:
+    """States of the vocabulary's entries read unit by unit, linked to the longest suffix that is a state too.
+
+    ``found[state]``: (entry, length) of every entry that ends there, the longest first. Links that were followed are remembered as
+    steps of their own, REMEMBERED of them at most.
+    """
+
+    REMEMBERED = 400_000
+
+    def __init__(self, entries: Iterable[tuple[str, int]]):
+        self.next: list[dict[str, int]] = [{}]
+        self.found: list[tuple[tuple[int, int], ...]] = [()]
+        for units, number in entries:
+            state = 0
+            for unit in units:
+                state = self.next[state].setdefault(unit, len(self.next))
+                if state == len(self.next):
+                    self.next.append({})
+                    self.found.append(())
+            self.found[state] = ((number, len(units)),)
+        self.link, self.left = [0] * len(self.next), self.REMEMBERED
+        row = list(self.next[0].values())
+        while row:  # state by state, the shorter first
+            below = []
+            for state in row:
+                for unit, after in self.next[state].items():
+                    link = self.link[after] = self.follow(self.link[state], unit)
+                    self.found[after] += self.found[link]
+                    below.append(after)
+            row = below
+
+    def follow(self, state: int, unit: str) -> int:
+        """The state after ``unit`` by way of the links."""
+        while unit not in self.next[state]:
+            if not state:
+                return 0
+            state = self.link[state]
+        return self.next[state][unit]
+
+    def step(self, state: int, unit: str) -> int:
+        """follow(), remembered."""
+        after = self.follow(state, unit)
+        if self.left:
+            self.left -= 1
+            self.next[state][unit] = after
+        return after
+
+
 class WordCoder:
     """Encodes words of one vocabulary file. Holds no more than the file and two bounded memories."""
 
@@ -93,19 +143,16 @@ class WordCoder:
             if whole not in self.halves:
                 self.halves[whole] = pair
                 self.made_at[whole] = rank
-        self.automaton = ahocorasick.Automaton()
-        for token, number in vocabulary.items():
-            if number in self.special.values():
-                continue
-            units = self.units(token[: -len(self.mark)]) if self.mark and token.endswith(self.mark) and token != self.mark else token
-            self.automaton.add_word(units, (number, len(units)))
-        self.automaton.make_automaton()
+        special = set(self.special.values())
+        entries = ((self.units(t[: -len(self.mark)]) if self.mark and t.endswith(self.mark) and t != self.mark else t, n) for t, n in vocabulary.items() if n not in special)
+        self.automaton = SuffixAutomaton(entries)
         self.byte_text = byte_characters()
         self.fits = lru_cache(1 << 18)(self._fits)
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.token_bytes = {i: int(i).to_bytes(4, "little") for i in self.token_text}
         self._words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.heads: dict[str, tuple[tuple[int, ...], tuple[int, ...], int]] = {}
         self.word = Memory(self._word, MEMORY_WORDS)
         self.chunk = Memory(self._chunk, MEMORY_CHUNKS)
 
@@ -144,15 +191,30 @@ class WordCoder:
 
     def encode_units(self, units: str) -> list[int]:
         """Ids of one word given as units."""
-        fits, last, size = self.fits, [-1] * (len(units) + 1), [0] * (len(units) + 1)
-        done = 0
-        for end, (token, length) in self.automaton.iter(units):
-            end += 1
-            if end == done:  # this prefix has its last token, there is no other
-                continue
-            before = end - length
-            if not before or last[before] >= 0 and fits(last[before], token):
-                last[end], size[end], done = token, length, end
+        n, head = len(units), units[:HEAD]
+        begun = self.heads.get(head) if n > HEAD else None
+        if begun is None:
+            last, size, state = [-1], [0], 0
+        else:
+            last, size, state = [*begun[0]], [*begun[1]], begun[2]
+        fits, after, found, step = self.fits, self.automaton.next, self.automaton.found, self.automaton.step
+        for end in range(len(last), n + 1):
+            unit = units[end - 1]
+            known = after[state].get(unit)
+            state = step(state, unit) if known is None else known
+            for token, length in found[state]:
+                before = end - length
+                if not before or last[before] >= 0 and fits(last[before], token):
+                    last.append(token)
+                    size.append(length)
+                    break  # this prefix has its last token, there is no other
+            else:
+                last.append(-1)
+                size.append(0)
+            if end == HEAD and n > HEAD:
+                if len(self.heads) >= MEMORY_HEADS:
+                    self.heads.clear()
+                self.heads[head] = tuple(last), tuple(size), state
         out, at = [], len(units)
         while at:
             out.append(last[at])
@@ -165,6 +227,10 @@ class WordCoder:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space as little-endian 32-bit integers."""
+        if chunk.isalpha():
+            return self.word(chunk)
+        if chunk[-1] in PLAIN_ENDS and chunk[:-1].isalpha():  # what the pattern below would find
+            return self.word(chunk[:-1]) + self.word(chunk[-1])
         return b"".join(map(self.word, self._words.findall(chunk)))
 
     def segments(self, text: str) -> Iterator[bytes | list[str]]:

@@ -24,6 +24,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -322,6 +323,7 @@ class Lexicon:
         self.log_base = np.log10((counts + SMOOTH) / self.base_total())
         self.log_rest = np.where(in_head, 0.0, np.log10((counts + SMOOTH) / self.rest_total()[classes]))
         self.seen = counts > 0
+        self.rest_number = lru_cache(1 << 16)(lambda end: head + rest_class(end))
 
     def base_total(self) -> float:
         return self.tokens + SMOOTH * (self.kinds + 1)
@@ -339,8 +341,9 @@ class Lexicon:
         """Input and output numbers of a document's words and its end."""
         places = self.places(words) if places is None else places
         out = self.numbered[places]
-        for i in np.flatnonzero(places < 0).tolist():
-            out[i] = len(self.number) + rest_class(words[i])
+        unknown = np.flatnonzero(places < 0)
+        if len(unknown):
+            out[unknown] = [self.rest_number(words[i][-2:]) for i in unknown.tolist()]
         return out
 
 

@@ -18,7 +18,6 @@ a block of its own. Which documents share a sequence depends on how the input is
 from __future__ import annotations
 
 import zlib
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -79,22 +78,28 @@ def cut(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:
     order = np.argsort(ends, kind="stable")
     unpadded, edges = starts[order].tolist(), np.searchsorted(ends[order], np.arange(len(at) + 1)).tolist()
     best, back = [0] * len(where), [0] * len(where)
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (best + place, number), ascending in both
+    keys, numbers, head = [0], [0], 0  # the queue: best + place, ascending, and the places' numbers
+    low = 0
     for j in range(1, len(where)):
         here = where[j]
-        while where[queue[0][1]] < here - window:
-            queue.popleft()
-        least, start = queue[0]
-        least += window - here
-        if least - best[start]:  # a full window has no padding to save
-            for i in unpadded[edges[j] : edges[j + 1]]:
-                if best[i] < least:
-                    least, start = best[i], i
+        while where[numbers[head]] < here - window:
+            head += 1
+        start = numbers[head]
+        least = keys[head] + window - here
+        high = edges[j + 1]
+        if high > low:
+            if least > best[start]:  # a full window has no padding to save
+                for i in unpadded[low:high]:
+                    if best[i] < least:
+                        least, start = best[i], i
+            low = high
         best[j], back[j] = least + price[j], start
         key = best[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            numbers.pop()
+        keys.append(key)
+        numbers.append(j)
     out, j = [], len(where) - 1
     while j:
         out.append(where[j])
