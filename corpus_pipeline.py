@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import scratch
+from tidemark.functions.lineage import given, release, scratch
 from tidemark.llm.bpe import default_vocabulary
 from tidemark.llm.common import documents
 from tidemark.llm.langid import accept, train
@@ -73,10 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, by way of tables in the shared folder."""
-    docs = documents(spark, sf_dir)
-    folder = scratch(spark, "pipeline")
+    """The stages applied to documents, by way of tables in the shared folder, of which only the last one is left."""
+    docs, since = documents(spark, sf_dir), given()
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        release(spark, since, but=(path,))  # what the stages before have written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,9 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, until release()."""
+    _given.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def given() -> int:
+    """How many paths scratch() has given that are not released."""
+    return len(_given)
+
+
+def release(spark: SparkSession, since: int = 0, but: tuple[str, ...] = ()) -> None:
+    """Delete what was written to the paths that scratch() gave after the first ``since``; for when the results that need it are written.
+
+    Checkpoints are Spark's own: set spark.cleaner.referenceTracking.cleanCheckpoints to have them go with their last reference.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _given[since:] if p not in but]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _given.remove(path)
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def _feature_sql() -> str:
 
 @query(_feature_sql())
 def feature_panel(spark, sf_dir):
-    return rounded(FE.feature_panel(regions(spark, sf_dir)), *MOM_NAMES, *MACD_NAMES)
+    return rounded(FE.feature_panel(settled(regions(spark, sf_dir))), *MOM_NAMES, *MACD_NAMES)
 
 
 @query(f"with {BARS}, {sql_momentum()} select a.n as i, b.n as j, round(corr(a.v, b.v), 6) + 0.0 as corr, count(*) as n from " + " join ".join(f"(select * from (select date, ticker, unnest(['{"', '".join(MOM_NAMES)}']) as n, unnest([{', '.join(MOM_NAMES)}]) as v from mom) where v is not null) {x}" for x in "ab") + " using (date, ticker) where a.n < b.n group by all")
@@ -307,7 +307,7 @@ exposure as (select date, ticker, (c - avg(c) over (partition by date)) / nullif
 
 @query(f"with {BARS}, {EXPOSURE} select date::varchar as date, ticker, {o6('z', 'exposure')} from exposure where z is not null")
 def momentum_exposure(spark, sf_dir):
-    panel = regions(spark, sf_dir)
+    panel = settled(regions(spark, sf_dir))
     raw = panel.select("date", "ticker", FE.momentum_12_1().alias("raw")).where("raw is not null")
     sigma = FE.return_vol(panel, out="sigma").select("date", "ticker", "sigma")
     return rounded(X.momentum_exposure(raw, sigma), "exposure")
