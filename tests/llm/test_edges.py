@@ -73,6 +73,17 @@ def test_stages_on_empty_and_clashing_tables(spark, table, clashing, tmp_path, n
     assert all(r[c] == f"own {c}" for r in mixed.select(*CLASHES).collect() for c in CLASHES)
 
 
+def test_the_pipeline_leaves_one_table(spark, table, tmp_path):
+    from tidemark.functions import lineage
+
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    since = lineage.given()
+    rows = corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert rows > 0 and lineage.given() == since + 1
+    lineage.release(spark, since)
+    assert lineage.given() == since
+
+
 def test_lines_and_revisits_on_empty_and_clashing_tables(spark, table, clashing):
     assert linededup.dedup_lines(table.where("false")).count() == 0
     with pytest.raises(ValueError, match="n_lines, n_removed"):
