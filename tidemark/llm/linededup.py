@@ -47,7 +47,7 @@ def dedup_lines(docs: DataFrame, counted: str = "n_lines", removed: str = "n_rem
         raise ValueError(f"{', '.join(sorted(taken))} would be given twice; choose other names")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda p: F.sequence(p, p + (SPAN - 1)))))
     gone = later_windows(windows(docs)).groupBy("doc_id", "body").agg(covered.alias("gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("own"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text").alias("text"), F.xxhash64("text").alias("own"))
     rows = rows.join(gone, F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (F.col("own") == gone["body"]), "left").select("row", "text", "gone")
     lines = F.split("text", "\n")
     rows = rows.withColumn("n", F.coalesce(F.greatest(F.size(lines), F.lit(0)), F.lit(0)).cast("long")).withColumn("k", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
