@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -89,7 +90,7 @@ def crc_fold(column: str, modulus: int) -> Column:
 
 
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_SPACES = " \t\n\v\f\r"
+_OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\v\f\r") + "]")
 
 
 def ascii_lower(text: str) -> str:
@@ -104,10 +105,7 @@ def ascii_words(text: str) -> list[str]:
 
     str.split() also splits at other white space and bytes.split() at exactly these six.
     """
-    raw = text.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER)
-    return raw.decode("utf-8", "surrogatepass").split() if text.isascii() and not _has_separators(raw) else [w.decode("utf-8", "surrogatepass") for w in raw.split()]
-
-
-def _has_separators(raw: bytes) -> bool:
-    """ASCII 28 to 31 split for str but not for bytes."""
-    return any(c in raw for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
+    lower = ascii_lower(text)
+    if _OTHER_SPACE.search(lower) is None:
+        return lower.split()
+    return [w.decode("utf-8", "surrogatepass") for w in lower.encode("utf-8", "surrogatepass").split()]

@@ -319,10 +319,11 @@ class Lexicon:
         classes = np.array([rest_class(w) for w in words])
         in_head = np.array([w in self.number for w in words])
         self.place = {w: i for i, w in enumerate(words)}
-        self.numbered = np.array([self.number.get(w, head + r) for w, r in zip(words, classes.tolist(), strict=True)], "i4")
-        self.log_base = np.log10((counts + SMOOTH) / self.base_total())
-        self.log_rest = np.where(in_head, 0.0, np.log10((counts + SMOOTH) / self.rest_total()[classes]))
-        self.seen = counts > 0
+        # the last row is that of place -1, a word that isn't known: it adds nothing
+        self.numbered = np.array([*(self.number.get(w, head + r) for w, r in zip(words, classes.tolist(), strict=True)), 0], "i4")
+        log_base = np.log10((counts + SMOOTH) / self.base_total())
+        log_rest = np.where(in_head, 0.0, np.log10((counts + SMOOTH) / self.rest_total()[classes]))
+        self.values = np.vstack((np.column_stack((log_base, log_rest, counts > 0)), np.zeros(3)))
         self.rest_number = lru_cache(1 << 16)(lambda end: head + rest_class(end))
 
     def base_total(self) -> float:
@@ -337,14 +338,14 @@ class Lexicon:
             self.prepare()
         return np.fromiter(map(self.place.get, [*words, END], repeat(-1)), "i4", len(words) + 1)
 
-    def numbers(self, words: list[str], places: np.ndarray | None = None) -> np.ndarray:
-        """Input and output numbers of a document's words and its end."""
+    def numbers(self, words: list[str], places: np.ndarray | None = None) -> tuple[np.ndarray, list[str]]:
+        """Input and output numbers of a document's words and its end, and the words that aren't known."""
         places = self.places(words) if places is None else places
-        out = self.numbered[places]
-        unknown = np.flatnonzero(places < 0)
-        if len(unknown):
-            out[unknown] = [self.rest_number(words[i][-2:]) for i in unknown.tolist()]
-        return out
+        out, unknown = self.numbered[places], np.flatnonzero(places < 0)
+        tail = [words[i] for i in unknown.tolist()]
+        if tail:
+            out[unknown] = [self.rest_number(w[-2:]) for w in tail]
+        return out, tail
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -402,7 +403,7 @@ def lexicon(words: DataFrame, known: int = KNOWN, head: int = HEAD) -> tuple[Lex
     return lex, words.where((level < least) & (F.col("word") != END))
 
 
-NUMBERED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, numbers binary, tail array<struct<word: string, n: long>>"
+NUMBERED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, numbers binary, tail array<string>"
 
 
 def number_documents(docs: DataFrame, lex: Lexicon, fold: int = 10) -> DataFrame:
@@ -414,21 +415,17 @@ def number_documents(docs: DataFrame, lex: Lexicon, fold: int = 10) -> DataFrame
         begin("gru")
         own = shared.value
         for part in pieces(batches):
-            ids, rows, numbers, words_out, n_out, offsets = part.column(1).to_pylist(), [], [], [], [], [0]
+            ids, rows, numbers, tails = part.column(1).to_pylist(), [], [], []
             for key, text in zip(ids, part.column(2).to_pylist(), strict=True):
                 words = ascii_words(text or "")
                 places = own.places(words)
-                numbers.append(own.numbers(words, places).astype("<u2").tobytes())
-                if (places < 0).any():
-                    tail = Counter([words[i] for i in np.flatnonzero(places < 0).tolist()])
-                    words_out += tail
-                    n_out += tail.values()
-                    places = places[places >= 0]
-                offsets.append(len(words_out))
-                rows.append((id_crc32(key) % fold == 0, len(words) + 1, int(own.seen[places].sum()), float(own.log_base[places].sum()), float(own.log_rest[places].sum())))
+                number, tail = own.numbers(words, places)
+                numbers.append(number.astype("<u2").tobytes())
+                tails.append(tail)
+                base, within, seen = own.values[places].sum(0).tolist()
+                rows.append((id_crc32(key) % fold == 0, len(words) + 1, int(seen), base, within))
             kinds = pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
-            tails = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words_out, pa.string()), pa.array(n_out, pa.int64())], ["word", "n"]))
-            yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], pa.array(numbers, pa.binary()), tails], names)
+            yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], pa.array(numbers, pa.binary()), pa.array(tails, pa.list_(pa.string()))], names)
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, NUMBERED)
 
@@ -511,13 +508,13 @@ def score_documents(docs: DataFrame, fold: int = 10, known: int = KNOWN, head: i
     kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
     scored = numbered.select(*kept, "within", "numbers").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     # the counts of the words that no task holds; a word without a count was never seen in training
-    rare = numbered.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("k"))
+    rare = numbered.select("row", F.explode("tail").alias("word"))
     rare = rare.join(tail_words, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     of_class = F.get(F.array(*[F.lit(float(x)) for x in rest_total]), rest_column("word"))
     sums = rare.groupBy("row").agg(
-        F.sum(F.col("k") * F.log10((F.col("c") + SMOOTH) / base_total)).alias("more_base"),
-        F.sum(F.col("k") * F.log10((F.col("c") + SMOOTH) / of_class)).alias("more_score"),
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more_known"),
+        F.sum(F.log10((F.col("c") + SMOOTH) / base_total)).alias("more_base"),
+        F.sum(F.log10((F.col("c") + SMOOTH) / of_class)).alias("more_score"),
+        F.count_if(F.col("c") > 0).alias("more_known"),
     )
     out = scored.join(sums, "row", "left")
     more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
