@@ -14,6 +14,7 @@ encoded whole, chunk by chunk; a long run without white space takes time and mem
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -269,8 +270,10 @@ class WordCoder:
 
 @lru_cache(2)
 def coder(path: str) -> WordCoder:
-    """One coder a worker process and file."""
-    return WordCoder(path)
+    """One coder a worker process and file; the garbage collector passes over its states."""
+    made = WordCoder(path)
+    gc.freeze()
+    return made
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
