@@ -53,13 +53,20 @@ def _joined(left: Column, right: Column, by: int) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array<struct<hash: long, position: int>>, in the order of positions.
 
-    Every step is a column of its own, so that no step is evaluated twice. The other columns are kept, whatever their names; one named
-    ``out`` is replaced.
+    The other columns are kept, whatever their names; one named ``out`` is replaced.
     """
-    step = lambda name: F.col(f"__{name}")
     kept = [c for c in df.columns if c != out]
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    text = "__text"
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return _fingerprinted(rows, "text", "made").select(*[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("made").alias(out))
+
+
+def _fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
+    """with_fingerprint() for columns without names of two underscores; the plan still sees how the rows are dealt.
+
+    Every step is a column of its own, so that no step is evaluated twice.
+    """
+    step = lambda name: F.col(f"__{name}")
+    kept = df.columns
     df = df.withColumn("__tokens", F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKENS), F.lit(0)), lambda w: F.xxhash64(w)))
     df = df.withColumn("__two", _joined(step("tokens"), _from(step("tokens"), 1), 1))
     df = df.withColumn("__four", _joined(step("two"), _from(step("two"), 2), 2))
@@ -74,7 +81,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn("__chosen", F.array_distinct(F.slice(step(f"least{WINDOW}"), 1, F.greatest(F.size("__grams") - WINDOW + 1, F.least(F.size("__grams"), F.lit(1))))))
     df = df.withColumn("__at", F.transform("__chosen", lambda p: (F.lit(_MASK) - p.bitwiseAND(F.lit(_MASK))).cast("int")))
     df = df.withColumn(out, F.transform("__at", lambda p: F.struct(F.get(F.col("__grams"), p).alias("hash"), p.alias("position"))))
-    return df.select(*[F.col(f"__row.`{c}`").alias(c) for c in kept], out)
+    return df.select(*kept, out)
 
 
 def hashes(fingerprint: str) -> Column:
@@ -133,9 +140,9 @@ def compare_neighbours(docs: DataFrame, parts: int | None = None) -> DataFrame:
     df = df.withColumn("follower", F.lead("text").over(order)).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 2) as int)), substring(coalesce(follower, ''), 1, cast(floor(n_chars / 2) as int)))")
     df = df.withColumn("edited", F.when(~F.col("guest"), edited)).drop("follower")
-    df = with_fingerprint(df, "text", "own").drop("text")
+    df = _fingerprinted(df, "text", "own").drop("text")
     df = df.withColumn("own_set", hashes("own")).withColumn("next_set", F.lead("own_set").over(order))
-    df = with_fingerprint(df.where(~F.col("guest")), "edited", "changed").withColumn("changed_set", hashes("changed"))
+    df = _fingerprinted(df.where(~F.col("guest")), "edited", "changed").withColumn("changed_set", hashes("changed"))
     return df.select(
         "doc_id",
         "n_chars",
