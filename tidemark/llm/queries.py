@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .centroids import ORACLE as CENTROIDS
+from .centroids import op11_centroids
 from .gru import op6_gru
 from .langid import op7_langid
 from .linededup import ORACLE as LINEDEDUP
@@ -32,8 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_linededup": op8_linededup,
         "op9_minhash": op9_minhash,
         "op10_warc": op10_warc,
+        "op11_centroids": op11_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_linededup": LINEDEDUP, "op10_warc": WARC}
+    return {"op8_linededup": LINEDEDUP, "op10_warc": WARC, "op11_centroids": CENTROIDS}
