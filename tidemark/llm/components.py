@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +54,25 @@ def components(edges: DataFrame) -> DataFrame:
         count, seen = now[0], now
     edges = edges.coalesce(_tasks(count))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """Places (i, j) of links that join different components ``left``[i], ``right``[j]; no more of them than a forest has edges."""
+    names, local = np.unique(np.concatenate((left, right)), return_inverse=True)
+    mine, other = local[: len(left)], local[len(left) :]
+    i, j = np.nonzero(linked & (mine[:, None] != other[None]))
+    _, first = np.unique(mine[i] * len(names) + other[j], return_index=True)
+    root, out = list(range(len(names))), ([], [])
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k in first.tolist():
+        x, y = find(mine[i[k]]), find(other[j[k]])
+        if x != y:
+            root[x] = y
+            out[0].append(int(i[k]))
+            out[1].append(int(j[k]))
+    return out

@@ -17,6 +17,7 @@ from .media import op3_media
 from .minhash import op9_minhash
 from .packing import op5_packing
 from .pii import op2_pii
+from .vectors import op13_vectors
 from .warc import ORACLE as WARC
 from .warc import op10_warc
 from .winnowing import op1_winnowing
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash": op9_minhash,
         "op10_warc": op10_warc,
         "op11_centroids": op11_centroids,
+        "op13_vectors": op13_vectors,
     }
 
 
