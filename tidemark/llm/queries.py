@@ -16,6 +16,8 @@ from .linededup import op8_linededup
 from .media import op3_media
 from .minhash import op9_minhash
 from .packing import op5_packing
+from .phrases import ORACLE as PHRASES
+from .phrases import op12_phrases
 from .pii import op2_pii
 from .vectors import op13_vectors
 from .warc import ORACLE as WARC
@@ -36,9 +38,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash": op9_minhash,
         "op10_warc": op10_warc,
         "op11_centroids": op11_centroids,
+        "op12_phrases": op12_phrases,
         "op13_vectors": op13_vectors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_linededup": LINEDEDUP, "op10_warc": WARC, "op11_centroids": CENTROIDS}
+    return {"op8_linededup": LINEDEDUP, "op10_warc": WARC, "op11_centroids": CENTROIDS, "op12_phrases": PHRASES}
