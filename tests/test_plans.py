@@ -383,8 +383,8 @@ def test_residual_correlations_may_exceed_one(spark):
     """A specific variance that is too small for the covariance beside the factors shows as a correlation beyond 1."""
     row = (1, ["A", "B", "C"], [0.0, 0.0, 1.0], [1.0], [0.04, 0.04, 0.01], [0.2, 0.2, 1.0])
     frame = spark.createDataFrame([row], "bar long, tickers array<string>, b array<double>, f array<double>, d array<double>, sigma array<double>")
-    pairs = [("A", "A", 0.04), ("A", "B", 0.05), ("B", "B", 0.04), ("C", "C", 1.0), ("A", "C", 0.0), ("B", "C", 0.0)]
-    cov = spark.createDataFrame([(1, pairs)], "bar long, pairs array<struct<i: string, j: string, s: double>>")
+    whole = [1.0, 0.0, 0.0, 0.0, 0.04, 0.05, 0.0, 0.05, 0.04]
+    cov = spark.createDataFrame([(1, ["C", "A", "B"], whole)], "bar long, axis array<string>, s array<double>")
     assert [(r.i, r.j, r.corr) for r in B.residual_correlations(frame, cov).collect()] == [("A", "B", pytest.approx(1.25))]
     assert {(r.ticker, r.masked) for r in B.residual_shares(frame, cov).collect()} == {("A", False), ("B", False), ("C", True)}
 

@@ -90,21 +90,7 @@ def ewm_moments(df: DataFrame, keys: list[str], order: str, value: str, mean: st
 
 
 def ewm_covariance(returns: DataFrame, *, span: float, periods: int) -> DataFrame:
-    """(bar, i, j, n, cov) for i <= j from (bar, ticker, value): every pair decays on every bar.
+    """(bar, i, j, n, cov) for i <= j from (bar, ticker, value), by blocks of tickers and chunks of bars: gram.pair_covariances()."""
+    from .gram import pair_covariances
 
-    Rows are the bars where both have a finite value; on other bars the covariance is that of the last such bar.
-    """
-    if periods < 2:
-        raise ValueError("a covariance needs two observations")
-    d = 1 - alpha(span)
-    fine = returns.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
-    a = fine.select("bar", F.col("ticker").alias("i"), F.col("value").alias("x"))
-    b = fine.select("bar", F.col("ticker").alias("j"), F.col("value").alias("y"))
-    pairs = a.join(b, "bar").where("i <= j")
-    pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("i", "j").orderBy("bar")).cast("long"))
-    one = F.lit(1.0)
-    sums = {"__w": (one, d), "__w2": (one, d * d), "__x": (F.col("x"), d), "__y": (F.col("y"), d), "__xy": (F.col("x") * F.col("y"), d)}
-    pairs = decayed_sums(pairs, ["i", "j"], "bar", sums)
-    below = F.col("__w") * F.col("__w") - F.col("__w2")
-    cov = (F.col("__w") * F.col("__xy") - F.col("__x") * F.col("__y")) / F.when(below > 0, below)
-    return pairs.select("bar", "i", "j", "n", F.when(F.col("n") >= periods, cov).alias("cov"))
+    return pair_covariances(returns, span=span, periods=periods)

@@ -24,6 +24,7 @@ from ..operators.crosssection import TRADING_DAYS, pair_correlation, summary, va
 from ..operators.ewm import alpha, ewm_moments
 from ..operators.features import VOL_SPAN, macd_score
 from ..sources.panel import dense_panel
+from .riskmodel import spread_rows
 
 KINDS = ("target_vol", "rescaled", "buy_hold", "optimized")
 OBJECTIVES = ("linear", "mean_variance")
@@ -343,20 +344,20 @@ def loading_drift(loads: DataFrame, every: int = 5) -> DataFrame:
     return out.withColumn("ratio", F.try_divide("change", "size")).orderBy(F.col("ratio").desc_nulls_last(), "factor")
 
 
-def _scaled_residual(row: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _scaled_residual(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A snapshot's tickers, the covariance rescaled to its volatilities less the factors' part, and its share of each own variance."""
-    names = list(row["tickers"])
-    place, n = {t: k for k, t in enumerate(names)}, len(names)
-    s = np.full((n, n), np.nan)
-    for p in row["pairs"]:
-        if p["i"] in place and p["j"] in place:
-            i, j = place[p["i"]], place[p["j"]]
-            s[i, j] = s[j, i] = p["s"]
+    names, axis = np.array(row["tickers"]), np.array(row["axis"])
+    order = np.argsort(axis)
+    at = np.minimum(np.searchsorted(axis, names, sorter=order), len(axis) - 1)
+    place, n = order[at], len(names)
+    s = row["s"].reshape(len(axis), -1)[np.ix_(place, place)]
+    missing = axis[place] != names
+    s[missing] = s[:, missing] = np.nan
     own = np.diag(s)
-    scale = np.array(row["sigma"]) / np.sqrt(np.where(own > 0, own, np.nan))
+    scale = row["sigma"] / np.sqrt(np.where(own > 0, own, np.nan))
     s = s * np.outer(scale, scale)
-    b = np.array(row["b"]).reshape(n, -1)
-    rest = s - b @ np.array(row["f"]).reshape(b.shape[1], -1) @ b.T
+    b = row["b"].reshape(n, -1)
+    rest = s - b @ row["f"].reshape(b.shape[1], -1) @ b.T
     with np.errstate(invalid="ignore", divide="ignore"):
         return names, rest, np.diag(rest) / np.diag(s)
 
@@ -364,36 +365,29 @@ def _scaled_residual(row: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
 def residual_shares(snaps: DataFrame, cov: DataFrame, least: float = 0.10) -> DataFrame:
     """(bar, ticker, share, masked): what part of each own variance the factors leave; ``least`` or less is masked."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for row in part.to_dict("records"):
-                names, _, share = _scaled_residual(row)
-                out += [(row["bar"], t, float(x), not x > least) for t, x in zip(names, share, strict=True)]
-            yield pd.DataFrame(out, columns=["bar", "ticker", "share", "masked"])
+    def kernel(row):
+        names, _, share = _scaled_residual(row)
+        return [row["bar"]] * len(names), names, share, ~(share > least)
 
-    return snaps.join(cov, "bar").mapInPandas(run, "bar long, ticker string, share double, masked boolean")
+    return spread_rows(snaps.join(cov, "bar"), kernel, "bar long, ticker string, share double, masked boolean")
 
 
 def residual_correlations(snaps: DataFrame, cov: DataFrame, least: float = 0.10) -> DataFrame:
     """(bar, i, j, corr) for i < j, by place in the snapshot, of what a covariance keeps beside the factors.
 
-    ``cov``: (bar, pairs array<struct<i, j, s>>), rescaled to the snapshot's volatilities; tickers stay if their
+    ``cov``: (bar, axis array<string>, s array<double>), a matrix over the axis, rescaled to the snapshot's volatilities; tickers stay if their
     residual share of variance is above ``least``. A correlation beyond 1 says that specific variances are too small for it.
     """
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for row in part.to_dict("records"):
-                names, rest, share = _scaled_residual(row)
-                keep = np.flatnonzero(np.nan_to_num(share) > least)
-                std = np.sqrt(np.maximum(np.diag(rest)[keep], M.VARIANCE_LEAST))
-                corr = rest[np.ix_(keep, keep)] / np.outer(std, std)
-                out += [(row["bar"], names[keep[a]], names[keep[c]], float(corr[a, c])) for a in range(len(keep)) for c in range(a + 1, len(keep)) if np.isfinite(corr[a, c])]
-            yield pd.DataFrame(out, columns=["bar", "i", "j", "corr"])
-
-    return snaps.join(cov, "bar").mapInPandas(run, "bar long, i string, j string, corr double")
+    def kernel(row):
+        names, rest, share = _scaled_residual(row)
+        keep = np.flatnonzero(np.nan_to_num(share) > least)
+        std = np.sqrt(np.maximum(np.diag(rest)[keep], M.VARIANCE_LEAST))
+        corr = rest[np.ix_(keep, keep)] / np.outer(std, std)
+        i, j = np.nonzero(np.triu(np.isfinite(corr), 1))
+        return [row["bar"]] * len(i), names[keep][i], names[keep][j], corr[i, j]
+
+    return spread_rows(snaps.join(cov, "bar"), kernel, "bar long, i string, j string, corr double")
 
 
 def collinearity(snaps: DataFrame) -> DataFrame:

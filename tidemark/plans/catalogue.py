@@ -826,13 +826,13 @@ def model_factor_returns(spark, sf_dir):
 def model_residual_correlations(spark, sf_dir):
     panel = settled(regions(spark, sf_dir))
     snaps = settled(R.snapshots(panel, CONFIG))
-    return B.residual_correlations(snaps, R.bar_inputs(panel, CONFIG)[1].select("bar", "pairs"))
+    return B.residual_correlations(snaps, R.correlation_inputs(panel, CONFIG))
 
 
 @query()
 def model_residual_shares(spark, sf_dir):
     panel = settled(regions(spark, sf_dir))
-    return B.residual_shares(settled(R.snapshots(panel, CONFIG)), R.bar_inputs(panel, CONFIG)[1].select("bar", "pairs"))
+    return B.residual_shares(settled(R.snapshots(panel, CONFIG)), R.correlation_inputs(panel, CONFIG))
 
 
 LEGS = [B.Leg("trend"), B.Leg("trend rescaled", "rescaled"), HOLD]

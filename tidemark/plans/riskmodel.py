@@ -1,8 +1,8 @@
 """The factor risk model of every bar as a graph of parallel stages.
 
-Covariances come from the pair scan; each later stage is a map over dates without state, joined with the results of the
+Covariances come from one scan by blocks for both spans; each later stage is a map over dates without state, joined with the results of the
 bar before or with short series of scalars. No bar waits for another: no estimate feeds back into its own inputs.
-Matrices are arrays of doubles, row by row, beside their axes.
+Matrices are arrays of doubles, row by row, beside their axes; covariances of all tickers come as bytes, a row a pair of blocks and bar.
 """
 
 from __future__ import annotations
@@ -10,14 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import matrices as M
 from ..functions.lineage import settled
-from ..operators.ewm import ewm_covariance, ewm_moments
+from ..operators import gram as G
+from ..operators.ewm import ewm_moments
 from ..sources.panel import bar_numbers, good_ticks, with_returns
 
 MOMENTUM = "Momentum"
@@ -50,20 +51,53 @@ class Config:
         object.__setattr__(self, "weights", np.array([[w.get(t, 0.0) for _, _, w in self.factors] for t in self.tickers]))
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+
+
+def records(batch: pa.RecordBatch) -> list[dict]:
+    """The rows of a batch; arrays of doubles are numpy views of its buffers."""
+    columns = []
+    for c in batch.columns:
+        if c.type == _ARROW["array<double>"]:
+            edges, flat, known = c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False), c.is_valid().to_pylist()
+            columns.append([flat[a:b] if k else None for a, b, k in zip(edges[:-1], edges[1:], known, strict=True)])
+        else:
+            columns.append(c.to_pylist())
+    return [dict(zip(batch.schema.names, row, strict=True)) for row in zip(*columns, strict=True)]
+
+
+def _fields(schema: str) -> tuple[list[str], list[pa.DataType]]:
+    parts = [f.split() for f in schema.split(", ")]
+    return [n for n, _ in parts], [_ARROW[t] for _, t in parts]
+
+
 def _maps(frame: DataFrame, kernel, schema: str) -> DataFrame:
     """One output row, or none, for each input row."""
 
     def run(batches):
-        names = [c.split()[0] for c in schema.split(", ")]
+        names, kinds = _fields(schema)
+        for part in batches:
+            found = [r for r in map(kernel, records(part)) if r is not None]
+            yield pa.record_batch([pa.array([r[n] for r in found], t) for n, t in zip(names, kinds, strict=True)], names)
+
+    return frame.mapInArrow(run, schema)
+
+
+def spread_rows(frame: DataFrame, kernel, schema: str) -> DataFrame:
+    """Several output rows, as columns of equal length, for each input row; or none."""
+
+    def run(batches):
+        names, kinds = _fields(schema)
         for part in batches:
-            found = [kernel(r) for r in part.to_dict("records")]
-            yield pd.DataFrame([r for r in found if r is not None], columns=names)
+            for found in map(kernel, records(part)):
+                if found is not None and len(found[0]):
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names)
 
-    return frame.mapInPandas(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
-def _matrix(values, rows: int) -> np.ndarray:
-    return np.array(values, dtype=float).reshape(rows, -1)
+def _matrix(values: np.ndarray, rows: int) -> np.ndarray:
+    return np.asarray(values, dtype=float).reshape(rows, -1)
 
 
 def _carried_on(rows: DataFrame, keys: list[str], last: int) -> DataFrame:
@@ -73,7 +107,7 @@ def _carried_on(rows: DataFrame, keys: list[str], last: int) -> DataFrame:
 
 
 def bar_inputs(panel: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """Returns (bar, ticker, value), and a row a bar: bar, pairs of covariances, raw momentum."""
+    """Returns (bar, ticker, value), and a row a bar: bar, blocks of covariances of both spans, raw momentum."""
     panel = good_ticks(panel.where(F.col("ticker").isin(list(config.tickers))))
     bars = settled(bar_numbers(panel))
     order = Window.partitionBy("ticker").orderBy("date")
@@ -81,17 +115,35 @@ def bar_inputs(panel: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     rows = rows.join(bars, "date").select("bar", "ticker", F.col("log_return").alias("value"), "raw")
     rows = settled(rows)
     returns = rows.select("bar", "ticker", "value").where("value is not null")
-    short = ewm_covariance(returns, span=config.vol_span, periods=config.vol_span).withColumnRenamed("cov", "v").drop("n")
-    long = ewm_covariance(returns, span=config.corr_span, periods=config.corr_periods).withColumnRenamed("cov", "s").drop("n")
-    both = short.join(long, ["bar", "i", "j"])
-    both = settled(both)
     last = bars.count()
-    pairs = _carried_on(both.where("s is not null and v is not null"), ["i", "j"], last).groupBy("bar").agg(F.collect_list(F.struct("i", "j", "s", "v")).alias("pairs"))
+    pairs = G.by_bar(packed_inputs(returns, config, last))
     raw = _carried_on(rows.where("raw is not null").select("bar", "ticker", "raw"), ["ticker"], last)
     raw = raw.groupBy("bar").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "raw"))).alias("raw"))
     return returns, pairs.join(raw, "bar", "left")
 
 
+def packed_inputs(returns: DataFrame, config: Config, last: int) -> DataFrame:
+    """packed_covariances() of the config's tickers: correlation span, then volatility span."""
+    tickers = returns.sparkSession.createDataFrame([(t,) for t in config.tickers], "ticker string")
+    return G.packed_covariances(returns, tickers, G.Spec((config.corr_span, config.vol_span), (config.corr_periods, config.vol_span)), last)
+
+
+def both_spans(blocks: list[dict], tickers: tuple[str, ...]) -> np.ndarray:
+    """(correlation and volatility span, tickers, tickers) of a bar, in the order of ``tickers``; a pair is known by both spans or not at all."""
+    place = np.argsort(np.argsort(np.array(tickers)))
+    found = G.unpacked([(b["lo"], b["hi"], b["cov"]) for b in blocks], 2, len(tickers))[:, place[:, None], place[None]]
+    return np.where(np.isnan(found).any(0), np.nan, found)
+
+
+def correlation_inputs(panel: DataFrame, config: Config) -> DataFrame:
+    """(bar, axis, s): the covariances of the correlation span of each bar over all tickers, a matrix row by row."""
+
+    def kernel(row):
+        return {"bar": row["bar"], "axis": list(config.tickers), "s": both_spans(row["blocks"], config.tickers)[0].ravel()}
+
+    return _maps(bar_inputs(panel, config)[1].select("bar", "blocks"), kernel, "bar long, axis array<string>, s array<double>")
+
+
 BLOCK = "bar long, tickers array<string>, factors array<string>, s array<double>, sigma array<double>, w array<double>, beta array<double>, f array<double>, g array<double>, m array<double>"
 
 
@@ -100,12 +152,7 @@ def macro_blocks(inputs: DataFrame, config: Config) -> DataFrame:
 
     def kernel(row):
         tickers = list(config.tickers)
-        place = {t: k for k, t in enumerate(tickers)}
-        s, v = np.full((2, len(tickers), len(tickers)), np.nan)
-        for p in row["pairs"]:
-            i, j = place[p["i"]], place[p["j"]]
-            s[i, j] = s[j, i] = p["s"]
-            v[i, j] = v[j, i] = p["v"]
+        s, v = both_spans(row["blocks"], config.tickers)
         warm = np.flatnonzero((np.nan_to_num(np.diag(s)) > 0) & (np.nan_to_num(np.diag(v)) > 0))
         live = warm[np.isfinite(s[np.ix_(warm, warm)]).all(1)]
         if len(live) < 2:
@@ -134,7 +181,7 @@ def macro_blocks(inputs: DataFrame, config: Config) -> DataFrame:
 
 
 def _momentum_return(row, r: np.ndarray) -> float:
-    m, beta, w = np.array(row["m"]), _matrix(row["beta"], len(r)), _matrix(row["w"], len(r))
+    m, beta, w = row["m"], _matrix(row["beta"], len(r)), _matrix(row["w"], len(r))
     size = m @ m
     return float(m @ (r - beta @ (w.T @ r)) / size) if size else 0.0
 
@@ -171,8 +218,8 @@ def loadings(blocks: DataFrame, states: DataFrame, config: Config) -> DataFrame:
 
     def kernel(row):
         n = len(row["tickers"])
-        b, f, g, names = _matrix(row["beta"], n), _matrix(row["f"], len(row["factors"])), np.array(row["g"]), list(row["factors"])
-        own, sigma, long = np.array(row["s"]), np.array(row["sigma"]), row["long"]
+        b, f, g, names = _matrix(row["beta"], n), _matrix(row["f"], len(row["factors"])), row["g"], list(row["factors"])
+        own, sigma, long = row["s"], row["sigma"], row["long"]
         if row["m"] is not None and long is not None and np.isfinite(long) and long > 0:
             b = np.column_stack((b, row["m"]))
             f = np.block([[f, np.zeros((len(f), 1))], [np.zeros((1, len(f))), np.array([[long**2]])]])
@@ -198,25 +245,22 @@ def eigen_biases(loaded: DataFrame, config: Config) -> DataFrame:
     weights = M.decay_weights(config.corr_span, config.window or 3 * config.corr_span)
     due = rows.where("first").select("bar", "island", "turn").join(loaded.select("bar", "spectrum"), "bar")
     spread = due.repartition(max(2, due.sparkSession.sparkContext.defaultParallelism), "bar")
-    found = _maps(spread, lambda r: {"island": r["island"], "turn": r["turn"], "bias": M.eigen_bias(np.array(r["spectrum"]), weights, config.simulations, config.seed)}, "island long, turn long, bias array<double>")
+    found = _maps(spread, lambda r: {"island": r["island"], "turn": r["turn"], "bias": M.eigen_bias(r["spectrum"], weights, config.simulations, config.seed)}, "island long, turn long, bias array<double>")
     return rows.join(found, ["island", "turn"]).select("bar", "bias")
 
 
 def residuals(loaded: DataFrame, returns: DataFrame) -> DataFrame:
     """(bar, ticker, eps): returns less what the loadings of the bar before explain, for the tickers that traded."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for row in part.to_dict("records"):
-                if row["next"] is None:
-                    continue
-                r, traded = _vector(row), dict(row["next"])
-                eps = r - _matrix(row["b"], len(r)) @ _factor_returns(row, r)
-                out += [(row["bar"] + 1, t, float(e)) for t, e in zip(row["tickers"], eps, strict=True) if t in traded]
-            yield pd.DataFrame(out, columns=["bar", "ticker", "eps"])
+    def kernel(row):
+        if row["next"] is None:
+            return None
+        r, traded = _vector(row), dict(row["next"])
+        eps = r - _matrix(row["b"], len(r)) @ _factor_returns(row, r)
+        own = [k for k, t in enumerate(row["tickers"]) if t in traded]
+        return [row["bar"] + 1] * len(own), [row["tickers"][k] for k in own], eps[own]
 
-    return _next_returns(loaded, returns).mapInPandas(run, "bar long, ticker string, eps double")
+    return spread_rows(_next_returns(loaded, returns), kernel, "bar long, ticker string, eps double")
 
 
 def _factor_returns(row, r: np.ndarray) -> np.ndarray:
@@ -243,10 +287,10 @@ def snapshots(panel: DataFrame, config: Config) -> DataFrame:
     state = state.groupBy("bar").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "std"))).alias("stds"))
 
     def kernel(row):
-        f, g = _matrix(row["f"], row["k"]), np.array(row["g"])
+        f, g = _matrix(row["f"], row["k"]), row["g"]
         if row["bias"] is not None:
-            f = M.eigen_adjusted(f, np.array(row["bias"]), config.eigen_scale)
-        d, sigma = np.array(row["implied"]), np.array(row["sigma"])
+            f = M.eigen_adjusted(f, row["bias"], config.eigen_scale)
+        d, sigma = row["implied"], row["sigma"]
         if config.measured and row["stds"] is not None:
             stds = dict(row["stds"])
             var = np.array([stds.get(t, np.nan) for t in row["tickers"]]) ** 2
@@ -259,12 +303,12 @@ def snapshots(panel: DataFrame, config: Config) -> DataFrame:
 def factor_returns(snaps: DataFrame, returns: DataFrame) -> DataFrame:
     """(bar, factor, value): the return of each factor of the snapshot before on the bar's returns."""
 
-    def run(batches):
-        for part in batches:
-            out = [(row["bar"] + 1, n, float(x)) for row in part.to_dict("records") if row["next"] is not None for n, x in zip(row["factors"], _factor_returns(row, _vector(row)), strict=True)]
-            yield pd.DataFrame(out, columns=["bar", "factor", "value"])
+    def kernel(row):
+        if row["next"] is None:
+            return None
+        return [row["bar"] + 1] * len(row["factors"]), row["factors"], _factor_returns(row, _vector(row))
 
-    return _next_returns(snaps, returns).mapInPandas(run, "bar long, factor string, value double")
+    return spread_rows(_next_returns(snaps, returns), kernel, "bar long, factor string, value double")
 
 
 def risk(snaps: DataFrame, holdings: DataFrame) -> DataFrame:
@@ -274,34 +318,28 @@ def risk(snaps: DataFrame, holdings: DataFrame) -> DataFrame:
     """
     maps = holdings.groupBy("bar").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("held"))
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for row in part.to_dict("records"):
-                held = dict(row["held"])
-                x = np.array([held.get(t, 0.0) for t in row["tickers"]])
-                load = _matrix(row["b"], len(x)).T @ x
-                parts = load * (_matrix(row["f"], len(load)) @ load)
-                own = float(np.array(row["d"]) @ x**2)
-                total = float(parts.sum() + own)
-                share = np.append(parts, own) / total if total > 0 else np.zeros(len(parts) + 1)
-                out += [(row["bar"], n, float(e), float(s), total) for n, e, s in zip([*row["factors"], "RESIDUAL"], [*load, 0.0], share, strict=True)]
-            yield pd.DataFrame(out, columns=["bar", "factor", "exposure", "share", "variance"])
+    def kernel(row):
+        held = dict(row["held"])
+        x = np.array([held.get(t, 0.0) for t in row["tickers"]])
+        load = _matrix(row["b"], len(x)).T @ x
+        parts = load * (_matrix(row["f"], len(load)) @ load)
+        own = float(row["d"] @ x**2)
+        total = float(parts.sum() + own)
+        share = np.append(parts, own) / total if total > 0 else np.zeros(len(parts) + 1)
+        return [row["bar"]] * len(share), [*row["factors"], "RESIDUAL"], np.append(load, 0.0), share, [total] * len(share)
 
-    return snaps.join(maps, "bar").mapInPandas(run, "bar long, factor string, exposure double, share double, variance double")
+    return spread_rows(snaps.join(maps, "bar"), kernel, "bar long, factor string, exposure double, share double, variance double")
 
 
 def covariances(snaps: DataFrame) -> DataFrame:
     """(bar, i, j, cov) for i <= j: each snapshot's full covariance B F B' + diag(D)."""
 
-    def run(batches):
-        for part in batches:
-            out = []
-            for row in part.to_dict("records"):
-                names = list(row["tickers"])
-                b = _matrix(row["b"], len(names))
-                cov = b @ _matrix(row["f"], b.shape[1]) @ b.T + np.diag(row["d"])
-                out += [(row["bar"], *sorted((names[i], names[j])), float(cov[i, j])) for i in range(len(names)) for j in range(i, len(names))]
-            yield pd.DataFrame(out, columns=["bar", "i", "j", "cov"])
-
-    return snaps.mapInPandas(run, "bar long, i string, j string, cov double")
+    def kernel(row):
+        names = np.array(row["tickers"])
+        order = np.argsort(names)
+        b = _matrix(row["b"], len(names))[order]
+        cov = b @ _matrix(row["f"], b.shape[1]) @ b.T + np.diag(row["d"][order])
+        i, j = np.triu_indices(len(names))
+        return [row["bar"]] * len(i), names[order][i], names[order][j], cov[i, j]
+
+    return spread_rows(snaps, kernel, "bar long, i string, j string, cov double")
