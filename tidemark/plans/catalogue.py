@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import scratch, settled
 from ..operators import crosssection as X
+from ..operators import eigen as EI
 from ..operators import ewm as E
 from ..operators import factors as FA
 from ..operators import features as FE
@@ -798,6 +799,105 @@ def model_one_level_shares(spark, sf_dir):
     return R.risk(snaps, held).select("bar", "factor", r6("exposure").alias("exposure"), r6("share").alias("share"), r6(F.col("variance") * 1e4).alias("variance"))
 
 
+# --- the model with two levels, decompositions and draws, which SQL can repeat -------------
+
+EAST = {"ASIA": 1.0, "EUROPE": -0.5, "AMERICA": -0.5}
+TWO_LEVELS = R.Config(REGIONS, (("World", 1, {t: 0.2 for t in REGIONS}), ("East", 2, EAST)), vol_span=60, corr_span=120, corr_periods=120, lookback=1_000_000, simulations=20, seed=7, measured=False)
+
+
+def sql_draws(k: int, seed: int, simulations: int, window: int, decay: float) -> str:
+    """CTEs up to ``sims`` (sim, s0_0, s0_1 ...): the moments of the hashed draws."""
+    number = lambda j, at: f"cast(('0x' || substr(md5('{seed}:' || sim || ':' || r || ':{j}'), {at}, 12)) as bigint) / pow(16, 12)"
+    z = ", ".join(f"sqrt(-2 * ln({number(j, 1)} + pow(16, -12))) * cos(2 * pi() * {number(j, 13)}) as z{j}" for j in range(k))
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    return f"""draws as (select sim, r, pow({decay!r}, {window} - 1 - r) as w, {z} from (select unnest(range({simulations})) as sim), (select unnest(range({window})) as r)),
+mass as (select sum(w) as w, sum(w * w) / pow(sum(w), 2) as w2 from draws where sim = 0),
+sims as (select sim, {", ".join(f"(sum(d.w * z{i} * z{j}) / max(m.w) - sum(d.w * z{i}) * sum(d.w * z{j}) / pow(max(m.w), 2)) / (1 - max(m.w2)) as s{i}_{j}" for i, j in upper)} from draws d, mass m group by sim)"""
+
+
+def sql_bias(source: str, low: str, high: str) -> str:
+    """CTEs up to ``biases`` (bar, v1, v2): of the two variances ``low`` <= ``high`` of each row of ``source``, in closed form."""
+    return f"""ests as (select bar, {low} as l1, {high} as l2, {low} * s0_0 as a, sqrt({low} * {high}) * s0_1 as b, {high} * s1_1 as d from {source}, sims),
+halves as (select *, (a + d) / 2 as mid, sqrt(pow((a - d) / 2, 2) + b * b) as half from ests),
+shares as (select *, (mid + half - a) / (2 * half) as e from halves),
+biases as (select bar, sqrt(avg((e * l1 + (1 - e) * l2) / (mid - half))) as v1, sqrt(avg(((1 - e) * l1 + e * l2) / (mid + half))) as v2 from shares group by bar)"""
+
+
+LONG_COVS = COV[COV.index("covs as (select") :].replace("covs as", "longs as").replace(">= 60", ">= 120").replace(repr(span(60)), repr(span(120)))
+
+LEVELS = f"""{COV}, {LONG_COVS},
+known as (select n.bar, p.i, p.j, last_value(c.cov ignore nulls) over w as v, last_value(l.cov ignore nulls) over w as s
+  from numbered n cross join (select distinct i, j from covs) p left join covs c on c.bar = n.bar and c.i = p.i and c.j = p.j left join longs l on l.bar = n.bar and l.i = p.i and l.j = p.j
+  window w as (partition by p.i, p.j order by n.bar)),
+sure as (select bar, i, j, s, v from known where s is not null and v is not null union all select bar, j, i, s, v from known where s is not null and v is not null and i != j),
+warm as (select bar, i as ticker from sure where i = j and s > 0 and v > 0),
+needed as (select bar, count(*) as k from warm group by bar),
+partners as (select w.bar, w.ticker, count(*) as k from warm w join sure f on f.bar = w.bar and f.i = w.ticker join warm o on o.bar = f.bar and o.ticker = f.j group by all),
+whole as (select bar, ticker from partners join needed using (bar, k)),
+fixed(ticker, world, east) as (values {", ".join(f"('{t}', 0.2, {EAST.get(t, 0.0)})" for t in REGIONS)}),
+sides as (select bar, sum(world) as world, sum(case when east > 0 then east end) as plus, sum(case when east < 0 then -east end) as minus from whole join fixed using (ticker) group by bar having plus > 0 and minus > 0),
+raw as (select bar, ticker, f.world / s.world as a, case when east > 0 then east / plus when east < 0 then east / minus else 0 end as b from whole join fixed f using (ticker) join sides s using (bar)),
+forms as (select x.bar, sum(x.s * p.a * q.a) as aa, sum(x.s * p.a * q.b) as ab, sum(x.s * p.b * q.b) as bb
+  from sure x join raw p on p.bar = x.bar and p.ticker = x.i join raw q on q.bar = x.bar and q.ticker = x.j group by x.bar),
+w as (select bar, ticker, a as w1, b - ab / aa * a as w2 from raw join forms using (bar)),
+f0 as (select x.bar, sum(x.s * p.w1 * q.w1) as f1, sum(x.s * p.w2 * q.w2) as f2, sum(x.v * p.w1 * q.w1) as v1, sum(x.v * p.w2 * q.w2) as v2
+  from sure x join w p on p.bar = x.bar and p.ticker = x.i join w q on q.bar = x.bar and q.ticker = x.j group by x.bar),
+fs as (select bar, greatest(f1, 1e-8 * greatest(f1, f2)) as f1, greatest(f2, 1e-8 * greatest(f1, f2)) as f2, sqrt(v1 / f1) as g1, sqrt(v2 / f2) as g2, row_number() over (order by bar) - 1 as place from f0),
+spectra as (select bar, place, least(f1, f2) as low, greatest(f1, f2) as high from fs where place % {TWO_LEVELS.refresh} = 0),
+{sql_draws(2, TWO_LEVELS.seed, TWO_LEVELS.simulations, 3 * TWO_LEVELS.corr_span, span(120))},
+{sql_bias("spectra", "low", "high")},
+turned as (select f.*, b.v1, b.v2 from fs f join spectra s on s.place = f.place - f.place % {TWO_LEVELS.refresh} join biases b on b.bar = s.bar),
+scaled as (select bar, g1, g2, f1, f2, f1 * pow(1 + 1.4 * (case when f1 < f2 then v1 else v2 end - 1), 2) * g1 * g1 as m1, f2 * pow(1 + 1.4 * (case when f1 < f2 then v2 else v1 end - 1), 2) * g2 * g2 as m2 from turned),
+loads as (select x.bar, x.i as ticker, sum(x.s * q.w1) / max(t.f1) as b1, sum(x.s * q.w2) / max(t.f2) as b2, max(case when x.i = x.j then x.s end) as own, max(case when x.i = x.j then x.v end) as vol
+  from sure x join scaled t on t.bar = x.bar join w q on q.bar = x.bar and q.ticker = x.j group by all),
+shared as (select l.*, t.f1, t.f2, g1, g2, m1, m2, w1, w2, least(1, own / (b1 * b1 * f1 + b2 * b2 * f2)) as share, b1 * b1 * f1 + b2 * b2 * f2 as common from loads l join scaled t using (bar) join w using (bar, ticker))"""
+
+
+@query(f"""with {BARS}, {LEVELS} select bar, ticker, {o6('w1', 'w1')}, {o6('w2', 'w2')}, {o6('b1 * sqrt(share) * sqrt(vol / own) / g1', 'b1')}, {o6('b2 * sqrt(share) * sqrt(vol / own) / g2', 'b2')},
+  {o6('m1', 'f1')}, {o6('m2', 'f2')}, {o6('greatest(0.1 * own, own - common * share) * vol / own', 'd')}, {o6('sqrt(vol)', 'sigma')} from shared""")
+def model_two_levels(spark, sf_dir):
+    """The whole model with a residual level, two spans and simulated adjustment; bars on which both factors are active."""
+    snaps = R.snapshots(settled(regions(spark, sf_dir)), TWO_LEVELS).where(F.size("factors") == 2)
+    pair = lambda c, k: F.get(F.col(c), 2 * F.col("at") + k)
+    rows = snaps.select("bar", "w", "b", "f", "d", "sigma", F.posexplode("tickers").alias("at", "ticker"))
+    of = lambda c: F.get(F.col(c), F.col("at"))
+    return rows.select("bar", "ticker", r6(pair("w", 0)).alias("w1"), r6(pair("w", 1)).alias("w2"), r6(pair("b", 0)).alias("b1"), r6(pair("b", 1)).alias("b2"), r6(F.get("f", F.lit(0))).alias("f1"), r6(F.get("f", F.lit(3))).alias("f2"), r6(of("d")).alias("d"), r6(of("sigma")).alias("sigma"))
+
+
+FIXED_BIAS, SCALE = (1.2, 0.9), 1.4
+TWO_FORMS = f"""{COV},
+fixed(ticker, world, east) as (values {", ".join(f"('{t}', 0.2, {EAST.get(t, 0.0)})" for t in REGIONS)}),
+sides as (select bar, i, j, cov from covs where cov is not null union all select bar, j, i, cov from covs where cov is not null and i != j),
+forms as (select x.bar, sum(cov * p.world * q.world) as a, sum(cov * p.world * q.east) as b, sum(cov * p.east * q.east) as d from sides x join fixed p on p.ticker = x.i join fixed q on q.ticker = x.j group by x.bar having count(*) = 25),
+roots as (select *, (a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b) as l1, (a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b) as l2 from forms)"""
+
+
+def _two_forms(spark, sf_dir):
+    """(bar, f): covariance of the two factors as given, before the second is made residual, on bars where all regions traded."""
+    weights = [("World", t, 0.2) for t in REGIONS] + [("East", t, w) for t, w in EAST.items()]
+    cov = E.ewm_covariance(_observed(spark, sf_dir), span=60, periods=60)
+    return EI.quadratic_forms(cov, spark.createDataFrame(weights, "name string, ticker string, weight double"), ["World", "East"]).where("n = 25").select("bar", "f")
+
+
+@query(f"""with {BARS}, {TWO_FORMS}, low as (select *, greatest(l1, 1e-8 * l2, 1e-18) * pow(1 + {SCALE} * ({FIXED_BIAS[0]} - 1), 2) as h1, l2 * pow(1 + {SCALE} * ({FIXED_BIAS[1]} - 1), 2) as h2 from roots)
+select bar, {o6('l1 * 1e4', 'least')}, {o6('l2 * 1e4', 'most')}, {o6('(h2 * (a - l1) + h1 * (l2 - a)) / (l2 - l1) * 1e4', 'f11')}, {o6('(h2 - h1) * b / (l2 - l1) * 1e4', 'f12')}, {o6('(h2 * (d - l1) + h1 * (l2 - d)) / (l2 - l1) * 1e4', 'f22')} from low""")
+def adjusted_factor_covariance(spark, sf_dir):
+    """Clipped and adjusted by given biases, decomposed in the plan."""
+    rows = _two_forms(spark, sf_dir).withColumn("e", EI.jacobi(F.col("f"), 2)).withColumn("c", EI.clipped(F.col("f"), 2))
+    rows = rows.withColumn("m", EI.adjusted(F.col("c"), F.array(*map(F.lit, FIXED_BIAS)), SCALE, 2))
+    cell = lambda k: r6(F.get("m", F.lit(k)) * 1e4)
+    return rows.select("bar", r6(F.get("e", F.lit(0))["value"] * 1e4).alias("least"), r6(F.get("e", F.lit(1))["value"] * 1e4).alias("most"), cell(0).alias("f11"), cell(1).alias("f12"), cell(3).alias("f22"))
+
+
+@query(f"""with {BARS}, {TWO_FORMS}, {sql_draws(2, 3, 50, 180, span(60))}, spectra as (select * from roots where bar % 21 = 0), {sql_bias("spectra", "l1", "l2")} select bar, {o6('v1', 'v1')}, {o6('v2', 'v2')} from biases""")
+def simulated_eigen_bias(spark, sf_dir):
+    """The bias of every 21st bar, simulated in the plan by hashed draws."""
+    spectra = _two_forms(spark, sf_dir).where("bar % 21 = 0").select(F.col("bar").alias("key"), F.transform(EI.jacobi(F.col("f"), 2), lambda x: x["value"]).alias("spectrum"))
+    moments = settled(EI.draw_moments(spark, 2, seed=3, simulations=50, window=180, decay=span(60)))
+    found = EI.simulated_bias(spectra, moments, 2)
+    return found.select(F.col("key").alias("bar"), r6(F.get("bias", F.lit(0))).alias("v1"), r6(F.get("bias", F.lit(1))).alias("v2"))
+
+
 # --- models and legs beyond SQL ------------------------------------------------------------
 
 CONFIG = R.Config(REGIONS, (("World", 1, {t: 0.2 for t in REGIONS}), ("East", 2, {"ASIA": 1.0, "EUROPE": -0.5, "AMERICA": -0.5})))

@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from ..functions import matrices as M
 from ..functions.lineage import settled
 from ..operators import gram as G
-from ..operators.ewm import ewm_moments
+from ..operators.eigen import draw_moments
+from ..operators.ewm import alpha, ewm_moments
 from ..sources.panel import bar_numbers, good_ticks, with_returns
 
 MOMENTUM = "Momentum"
@@ -235,17 +236,34 @@ def loadings(blocks: DataFrame, states: DataFrame, config: Config) -> DataFrame:
     return _maps(blocks.join(states, "bar"), kernel, LOADED)
 
 
+def _bias(row: dict) -> dict:
+    size = np.sqrt(np.maximum(row["spectrum"], 0.0))
+    return {"island": row["island"], "turn": row["turn"], "bias": M.bias_of(row["spectrum"], row["draws"].reshape(-1, row["k"], row["k"]) * np.outer(size, size))}
+
+
 def eigen_biases(loaded: DataFrame, config: Config) -> DataFrame:
-    """(bar, bias): simulated at every ``refresh``-th ready bar and when the number of factors changes, and used until the next."""
+    """(bar, bias): simulated at every ``refresh``-th ready bar and when the number of factors changes, and used until the next.
+
+    The unit draws are summed up once for each number of factors and scaled for each bar's spectrum.
+    """
     order = Window.orderBy("bar")
     rows = loaded.select("bar", "k").withColumn("new", (F.col("k") != F.lag("k", 1, -1).over(order)).cast("int"))
     rows = rows.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     place = F.row_number().over(Window.partitionBy("island").orderBy("bar")) - 1
     rows = rows.withColumn("turn", F.floor(place / config.refresh)).withColumn("first", place % config.refresh == 0)
-    weights = M.decay_weights(config.corr_span, config.window or 3 * config.corr_span)
-    due = rows.where("first").select("bar", "island", "turn").join(loaded.select("bar", "spectrum"), "bar")
-    spread = due.repartition(max(2, due.sparkSession.sparkContext.defaultParallelism), "bar")
-    found = _maps(spread, lambda r: {"island": r["island"], "turn": r["turn"], "bias": M.eigen_bias(r["spectrum"], weights, config.simulations, config.seed)}, "island long, turn long, bias array<double>")
+    spark, window = loaded.sparkSession, config.window or 3 * config.corr_span
+    decay = 1 - alpha(span=config.corr_span)
+    due = settled(rows.where("first").select("bar", "island", "turn", "k").join(loaded.select("bar", "spectrum"), "bar"))
+    sizes = [r.k for r in due.select("k").distinct().collect()]  # a handful: factors, with momentum or without
+    found = None
+    for k in sizes:
+        draws = draw_moments(spark, k, seed=config.seed, simulations=config.simulations, window=window, decay=decay)
+        draws = draws.groupBy().agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("simulation", "s"))), lambda x: x["s"])).alias("draws"))
+        spread = due.where(F.col("k") == k).repartition(max(2, spark.sparkContext.defaultParallelism), "bar").crossJoin(F.broadcast(settled(draws)))
+        part = _maps(spread.select("island", "turn", "k", "spectrum", "draws"), _bias, "island long, turn long, bias array<double>")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.select("bar", F.lit(None).cast("array<double>").alias("bias"))
     return rows.join(found, ["island", "turn"]).select("bar", "bias")
 
 
