@@ -158,12 +158,12 @@ def health(found: Attribution) -> DataFrame:
 
 
 def factor_regression(found: Attribution) -> DataFrame:
-    """regression() of each leg's simple returns on the simple returns of the factors; a leg's own factors only where all legs share them.
+    """regression() of each leg's simple returns on the simple returns of its own factors; a bar without one of them counts 0.
 
     The names of the factors come from a config, so the driver knows them and the wide table has a column each.
     """
     names = [r.factor for r in found.factors.groupBy("factor").agg(F.max("place").alias("place")).orderBy("place", "factor").collect()]
-    wide = dense(found).groupBy("leg", "date").pivot("factor", names).agg(F.first("simple")).fillna(0.0)
+    wide = dense(found).groupBy("leg", "date").pivot("factor", names).agg(F.first("simple"))
     return regression(wide.join(found.bars.select("leg", "date", F.expm1("ret").alias("__y")), ["leg", "date"]), "__y", names, by="leg")
 
 

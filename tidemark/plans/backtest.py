@@ -23,6 +23,7 @@ from ..functions.lineage import settled
 from ..operators.crosssection import TRADING_DAYS, pair_correlation, summary, value_shares
 from ..operators.ewm import alpha, ewm_moments
 from ..operators.features import VOL_SPAN, macd_score
+from ..operators.leastsquares import regression as regression
 from ..sources.panel import dense_panel
 from .riskmodel import spread_rows
 
@@ -307,34 +308,6 @@ def edge_summary(buckets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return summary(rows, [*by, "bucket"], "value")
 
 
-def regression(rows: DataFrame, y: str, xs: list[str], by: str | None = None) -> DataFrame:
-    """(term, beta, t, r2, contribution) by least squares with an intercept, from one aggregate of sums of products.
-
-    A term's contribution is its beta times the mean of its variable, times the trading days of a year; that of the intercept is alpha a year.
-    No rows for a group of no more observations than terms. ``by``: a key of several regressions; the driver solves one system of as many
-    unknowns as terms for each.
-    """
-    terms = [F.lit(1.0), *[F.col(f"`{x}`") for x in xs]]
-    pairs = [F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j]
-    key = [F.col(by)] if by else []
-    found = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col(y) * F.col(y)).alias("yy"), *pairs, *[F.sum(a * F.col(y)).alias(f"y{i}") for i, a in enumerate(terms)]).collect()
-    k, out = len(terms), []
-    for got in found:
-        if got.n <= k:
-            continue
-        xx = np.array([[got[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-        xy = np.array([got[f"y{i}"] for i in range(k)])
-        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
-        left = max(got.yy - beta @ xy, 0.0)
-        error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(xx)) * left / (got.n - k), 0))
-        total = got.yy - xy[0] ** 2 / got.n
-        t = np.divide(beta, error, out=np.zeros(k), where=error > 0)
-        r2 = float(1 - left / total) if total > 0 else None
-        parts = beta * xx[0] / got.n * TRADING_DAYS
-        out += [(*([got[by]] if by else []), n, float(b), float(x), r2, float(c)) for n, b, x, c in zip(["alpha", *xs], beta, t, parts, strict=True)]
-    return rows.sparkSession.createDataFrame(out, (f"{by} string, " if by else "") + "term string, beta double, t double, r2 double, contribution double")
-
-
 def loading_drift(loads: DataFrame, every: int = 5) -> DataFrame:
     """(factor, change, size, ratio): median absolute change between sampled bars over the median absolute loading, the largest first."""
     rows = loads.where((F.col("bar") - 1) % every == 0)
