@@ -5,10 +5,11 @@ with fewer words has the whole sequence, one without words or with null text the
 linked with nothing. Documents of equal sets form a class, which its least doc_id stands for.
 Representatives whose signatures agree in a band are candidates. Each is first held against the
 least one of its bucket: such a pair must be near in size, its signatures, one bit a hash function, must agree
-to within DEVIATIONS of what the threshold gives (a link fails this once in 10^9), and it is confirmed on the full sets. In buckets that then
-still hold several components every pair across them is decided on the full sets, a pair of blocks at a time.
-So a bucket of many copies costs one link a copy, no link that could join two components is left out, and what comes out of a
-bucket is linear in its members.
+to within DEVIATIONS of what the threshold gives (a link fails this once in 10^9), and it is confirmed on the full sets. The members of buckets that
+then still hold several components are looked at once more, all together: linked sets share one of their rarest values, by an order
+that all tasks share, so sets meet by these, in blocks, and only where that can join components.
+So a bucket of many copies costs one link a copy, near misses cost their rarest values but hardly a copy of their sets, and no link that
+could join two components is left out.
 
 Rows of null doc_id are linked with nothing: their component is null and they are kept. Rows that
 share a doc_id are one node of the graph: what one of their texts is linked with, all are; so ids should be unique. Extra columns, whatever their names, are ignored by near_duplicates() and kept by keep_first().
@@ -37,6 +38,8 @@ DEVIATIONS = 6.0
 FILTER_BITS = 1 << 27
 #: Members of a bucket, and values of their sets, that are held against as many others at once.
 BLOCK, BLOCK_VALUES = 512, 1 << 20
+#: Slots of the table by whose counts values are called rare (16 MB); fuller slots make the order coarser, never wrong.
+SLOT_BITS = 22
 #: Distinct values that are compared at once.
 COLUMNS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -250,18 +253,101 @@ def forest(a: list, b: list, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def prefixes(size: int, percent: int) -> tuple[int, int]:
+    """How many of a set's rarest values must hold a common one if it is linked with a set that is no smaller, and with any."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1, size - -(-percent * size // 100) + 1
+
+
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (_mixed(values) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(sets: DataFrame) -> np.ndarray:
+    """How many values of the sets fall into each slot of a table of fixed size: an order of values, rare ones first, that all tasks share."""
+
+    def run(batches):
+        begin("minhash")
+        held = np.zeros(1 << SLOT_BITS, np.int64)
+        for part in pieces(batches):
+            flat = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64)
+            held += np.bincount(_slots(flat), minlength=len(held))
+        at = np.flatnonzero(held)
+        for k in range(0, len(at), 65_536):
+            yield pa.record_batch([pa.array(at[k : k + 65_536]), pa.array(held[at[k : k + 65_536]])], ["slot", "n"])
+
+    found = sets.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, component, n, index): the rare values of each set by which a linked set can be found; no exchange.
+
+    ``index``: whether the value is among the fewer ones that a set needs for partners of its own size or more.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_slot_counts(sets))
+
+    def run(batches):
+        begin("minhash")
+        counts = shared.value
+        for part in pieces(batches, 64):
+            rep, component, members = (c.to_pylist() for c in part.columns)
+            out = []
+            for r, c, x in zip(rep, component, members, strict=True):
+                own = np.frombuffer(x, np.uint64)
+                index, probe = prefixes(len(own), percent)
+                rare = own[np.lexsort((own, counts[_slots(own)]))[:probe]].view(np.int64)
+                out.append((rare, np.full(len(rare), r), np.full(len(rare), c), np.full(len(rare), len(own)), np.arange(len(rare)) < index))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], ["token", "rep", "component", "n", "index"])
+
+    return sets.select("rep", "component", "members").mapInArrow(run, "token long, rep long, component long, n long, index boolean")
+
+
+def meetings(tokens: DataFrame) -> DataFrame:
+    """(token, lo, hi, mine, rep, component): the pairs of blocks of each token's sets that can hold a link between components.
+
+    Of two linked sets one, at least, has the token among its index values, and they are of different components. So sets meet unless both
+    are only probes or both are of the token's commonest component; a token without such a pair has no rows. Blocks hold
+    BLOCK sets and BLOCK_VALUES values on average.
+    """
+    per = tokens.groupBy("token", "component").agg(F.count("*").alias("c"), F.max("index").alias("any"))
+    mixed = per.groupBy("token").agg(F.max_by("component", "c").alias("top"), F.count("*").alias("components"), F.max("any").alias("any")).where("components > 1 and any")
+    rows = checkpoint(tokens.join(mixed.select("token", "top"), "token"))
+    # 0: index of the commonest component, 1: other index, 2: other probe, 3: probe of the commonest component
+    same = F.col("component") == F.col("top")
+    rows = rows.withColumn("kind", F.when(F.col("index"), F.when(same, 0).otherwise(1)).otherwise(F.when(same, 3).otherwise(2)))
+    need = lambda k: F.ceil(F.greatest(F.count(F.when(F.col("kind") == k, 1)) / BLOCK, F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) / BLOCK_VALUES)).cast("int").alias(f"b{k}")
+    sizes = rows.groupBy("token").agg(*map(need, range(4)))
+    # an index set meets something: other index sets, or those that are only probes of other components
+    sizes = sizes.where("b1 > 0 or (b0 > 0 and b2 > 0)")
+    start = [sum((F.col(f"b{j}") for j in range(k)), F.lit(0)) for k in range(4)]
+    spans = F.array(*[F.when(F.col(f"b{k}") > 0, F.sequence(start[k], start[k] + F.col(f"b{k}") - 1)).otherwise(F.array().cast("array<int>")) for k in range(4)])
+    meets = ((1, 2), (0, 1, 2, 3), (0, 1), (1,))
+    dealt = rows.join(sizes, "token").withColumn("spans", spans)
+    at = F.get("spans", F.col("kind"))
+    dealt = dealt.withColumn("own", F.get(at, F.pmod(F.xxhash64("rep"), F.size(at)).cast("int")))
+    others = F.lit(None).cast("array<int>")
+    for kind, with_ in enumerate(meets):
+        others = F.when(F.col("kind") == kind, F.concat(*[F.get("spans", F.lit(k)) for k in with_])).otherwise(others)
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "component")
+
+
 def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links that join what is left of the components of each bucket, decided on the full sets of every pair in it.
+    """(u, v): links that join what is left of the components of the buckets, decided on the full sets.
 
-    ``members``: (bucket, rep, n_shingles, component). A bucket is dealt into blocks of BLOCK members and BLOCK_VALUES
-    values at most, on average, and every pair of blocks is compared by itself, so no task holds more than two blocks. The rows
+    ``members``: (bucket, rep, n_shingles, component). Each set is fetched once. Sets that can be linked share one of their rarest values,
+    so only these are exchanged; where sets of several components share one, they are compared in blocks, and
+    most near misses, whose rarest values are their own, are compared with nothing. The rows
     that come out are linear in the members: a forest a pair of blocks.
     """
 
     def run(batches):
         begin("minhash")
         found = []
-        for group in runs_of(batches, ("bucket", "lo", "hi")):
+        for group in runs_of(batches, ("token", "lo", "hi")):
             mine, rep, component, members = (group.column(c).to_pylist() for c in ("mine", "rep", "component", "members"))
             sides = [], []
             for m, r, c, x in zip(mine, rep, component, members, strict=True):
@@ -275,12 +361,11 @@ def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
         if found:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
-    sizes = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_VALUES)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "component")
-    key = ["bucket", "lo", "hi"]
-    rows = dealt.join(_sets(members.select("rep").distinct(), docs, reps), "rep").repartition(shuffle_partitions(docs.sparkSession), *key)
+    nodes = checkpoint(members.select("rep", "component").distinct())
+    sets = checkpoint(_sets(nodes.select("rep"), docs, reps).join(nodes, "rep"))
+    dealt = meetings(_tokens(sets, percent))
+    key = ["token", "lo", "hi"]
+    rows = dealt.join(sets.select("rep", "members"), "rep").repartition(shuffle_partitions(docs.sparkSession), *key)
     return rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long")
 
 
