@@ -168,9 +168,9 @@ def plain_labels(scanned):
         best = {}
         for v, own_patterns in edges.items():
             for k in range(4):
-                left = [max(1 - share[p, k], 1e-9) for p in own_patterns if share.get((p, k), 0) >= pii.LEAST_SHARE]
-                score = 1 - math.prod(left)
-                if v not in seeds and left and score >= pii.LEAST_SCORE and labels.get(v, (k,))[0] == k and score > best.get(v, (0, 0))[1] + 1e-12:
+                trusted = [p for p in own_patterns if share.get((p, k), 0) >= pii.LEAST_SHARE]
+                score = 1 - math.prod(max(1 - share[p, k], 1e-9) for p in trusted)
+                if v not in seeds and any(not p.startswith("f ") for p in trusted) and score >= pii.LEAST_SCORE and labels.get(v, (k,))[0] == k and score > best.get(v, (0, 0))[1] + 1e-12:
                     best[v] = (k, max(score, labels.get(v, (k, 0.0))[1]))
         labels = {**{v: x for v, x in labels.items() if v not in best}, **best}
         now = len(labels), sum(x for _, x in labels.values())
@@ -198,6 +198,23 @@ def test_pattern_scores_are_those_of_plain_loops(spark):
     assert {texts[k][s.start : s.end].lower() for k, found in spans.items() for s in found} == set(want)
 
 
+def test_contexts_find_planted_identifiers_among_decoys(spark):
+    """Ten contexts, each with a few seeds and planted identifiers of other forms; as many decoys of the same forms elsewhere, of which the form alone says nothing."""
+    draw = random.Random(21)
+    contexts = [f"{a} {b}" for a, b in zip("reach dial ring contact mobile line desk agent support help".split(), "me us him at number direct phone via team now".split(), strict=True)]
+    elsewhere = ["order no", "part code", "lot id", "serial is", "invoice of", "total was", "batch ref", "page of", "build tag", "case nr"]
+    makers = [lambda: f"{draw.randrange(100, 1000)} {draw.randrange(100, 1000)} {draw.randrange(1000, 10000)}", lambda: f"{draw.randrange(100, 1000)}-{draw.randrange(1000, 10000)}", lambda: f"({draw.randrange(100, 1000)}) {draw.randrange(100, 1000)}-{draw.randrange(1000, 10000)}"]
+    seeds = [(f"we {c} +1 {draw.randrange(100, 1000)} 555 {draw.randrange(1000, 10000)} {draw.choice(WORDS)}", None) for c in contexts for _ in range(12)]
+    planted = [(c, draw.choice(makers)()) for c in contexts for _ in range(12)]
+    decoys = [(c, draw.choice(makers)()) for c in elsewhere for _ in range(12)]
+    texts = [t for t, _ in seeds] + [f"we {c} {v} {draw.choice(WORDS)}" for c, v in planted + decoys]
+    draw.shuffle(texts)
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {texts[r.doc_id][s.start : s.end] for r in found for s in r.found}
+    right = got & {v for _, v in planted}
+    assert len(right) >= 0.9 * len({v for _, v in planted}) and len(right) >= 0.9 * len(got)
+
+
 def test_nothing_to_label(spark):
     rows = spark.createDataFrame([(1, "no data"), (2, None), (3, "order 1234567 of 7654321")], "doc_id long, text string")
     assert [r.found for r in pii.find_personal_data(rows).collect()] == [[], [], []]

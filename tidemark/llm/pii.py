@@ -8,7 +8,7 @@ the distinct values that they hold form a graph. In each round a pattern is scor
 with it, over these plus those labelled otherwise plus ``UNKNOWN_SHARE`` for each value without a label plus ``PRIOR`` (a value
 that nobody has labelled speaks against a pattern, but less than one of another kind). Patterns with ``LEAST_SEEDS`` labelled values
 and a score of ``LEAST_SHARE`` pass labels to their other values, whose score is that of several patterns together; values of
-``LEAST_SCORE`` are labelled, keep their kind and their best score, and seed the next round, until nothing changes. Occurrences of
+``LEAST_SCORE`` that one context, at least, speaks for are labelled (a form alone never suffices, it supports contexts), keep their kind and their best score, and seed the next round, until nothing changes. Occurrences of
 labelled values become spans; base spans are never dropped.
 
 Null text has no spans. Offsets are code points, ends exclusive. Spans of different kinds may overlap, and found ones may lie within one another; found
@@ -35,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_DIGITS = 5
 #: Longer values are told apart by a hash.
 MOST_CHARS = 64
+#: What patterns of a form alone begin with; all others hold words of the context.
+FORM = "f "
 #: A pattern needs labelled values of such scores together, and such a score, to pass a label on.
 LEAST_SEEDS, LEAST_SHARE = 3.0, 0.6
 LEAST_SCORE = 0.75
@@ -152,7 +154,7 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     left = plain(text[max(0, start - REACH) : start].split()[-2:])
     right = plain(text[end : end + REACH].split()[:1])
     form = form_of(text[start:end])
-    out = [f"f {form}"]
+    out = [FORM + form]
     if left:
         out += [f"1 {left[-1]}", f"lf {left[-1]} {form}"]
         if len(left) > 1:
@@ -202,7 +204,8 @@ def label_values(scanned: DataFrame) -> DataFrame:
         against = F.sum("own").over(all_kinds) - F.col("own") + UNKNOWN_SHARE * (F.col("held") - F.sum("n").over(all_kinds)) + PRIOR
         scored = own.withColumn("share", F.col("own") / (F.col("own") + against))
         trusted = checkpoint(scored.where((F.col("own") >= LEAST_SEEDS) & (F.col("share") >= LEAST_SHARE)).select("pattern", "kind", "share"))
-        reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("score"))
+        by_context = F.max(~F.startswith("pattern", F.lit(FORM))).alias("by_context")
+        reached = edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("share"), F.lit(1e-9)))))).alias("score"), by_context).where("by_context").drop("by_context")
         had = labels.select("value", F.col("kind").alias("had"), F.col("score").alias("had_score"))
         reached = reached.where(F.col("score") >= LEAST_SCORE).join(had, "value", "left").where("had is null or kind = had")
         reached = reached.select("value", "kind", F.greatest("score", F.coalesce("had_score", F.lit(0.0))).alias("score"))
