@@ -38,8 +38,8 @@ DEVIATIONS = 6.0
 FILTER_BITS = 1 << 27
 #: Members of a bucket, and values of their sets, that are held against as many others at once.
 BLOCK, BLOCK_VALUES = 512, 1 << 20
-#: Slots of the table by whose counts values are called rare (16 MB); fuller slots make the order coarser, never wrong.
-SLOT_BITS = 22
+#: Slots of the table by whose counts values are called rare (4 MB), and of a part of it; fuller slots make the order coarser, never wrong.
+SLOT_BITS, SLOT_RANGE = 20, 4096
 #: Distinct values that are compared at once.
 COLUMNS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -265,20 +265,33 @@ def _slots(values: np.ndarray) -> np.ndarray:
 def _slot_counts(sets: DataFrame) -> np.ndarray:
     """How many values of the sets fall into each slot of a table of fixed size: an order of values, rare ones first, that all tasks share."""
 
-    def run(batches):
+    def count(batches):
         begin("minhash")
         held = np.zeros(1 << SLOT_BITS, np.int64)
         for part in pieces(batches):
             flat = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64)
             held += np.bincount(_slots(flat), minlength=len(held))
-        at = np.flatnonzero(held)
-        for k in range(0, len(at), 65_536):
-            yield pa.record_batch([pa.array(at[k : k + 65_536]), pa.array(held[at[k : k + 65_536]])], ["slot", "n"])
-
-    found = sets.select("members").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SLOT_BITS, np.int64)
-    out[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+        yield from _ranges({k: c for k, c in enumerate(held.reshape(-1, SLOT_RANGE)) if c.any()})
+
+    def add(batches):
+        begin("minhash")
+        held: dict[int, np.ndarray] = {}
+        for part in batches:
+            for k, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(c, np.int64)
+        yield from _ranges(held)
+
+    kind = "range int, counts binary"
+    found = sets.select("members").mapInArrow(count, kind).repartition("range").mapInArrow(add, kind)
+    out = np.zeros((1 << SLOT_BITS) // SLOT_RANGE * SLOT_RANGE, np.int32).reshape(-1, SLOT_RANGE)
+    for r in found.collect():  # one row a range, of which there is a fixed number
+        out[r.range] = np.minimum(np.frombuffer(r.counts, np.int64), np.iinfo(np.int32).max)
+    return out.ravel()
+
+
+def _ranges(held: dict[int, np.ndarray]):
+    if held:
+        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["range", "counts"])
 
 
 def _tokens(sets: DataFrame, percent: int) -> DataFrame:
