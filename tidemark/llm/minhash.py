@@ -7,7 +7,7 @@ Representatives whose signatures agree in a band are candidates. Each is first h
 least one of its bucket: such a pair must be near in size, its signatures, one bit a hash function, must agree
 to within DEVIATIONS of what the threshold gives (a link fails this once in 10^9), and it is confirmed on the full sets. The members of buckets that
 then still hold several components are looked at once more, all together: linked sets share one of their rarest values, by an order
-that all tasks share, so sets meet by these, in blocks, and only where that can join components.
+that all tasks share, so they meet by these, in blocks, and only where sizes and signatures allow links that can join components.
 So a bucket of many copies costs one link a copy, near misses cost their rarest values but hardly a copy of their sets, and no link that
 could join two components is left out.
 
@@ -128,10 +128,15 @@ def set_key(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
+def most_bits(percent: int, bits: int) -> int:
+    """In how many bits of their signatures links may differ."""
+    p = (100 - percent) / 200
+    return int(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5)
+
+
 def _plausible(a: str, b: str, percent: int, bits: int) -> Column:
     """Whether structs a, b (rep, n_shingles, s0 ... s3) can be links, by their sizes and signatures."""
-    p = (100 - percent) / 200
-    most = int(bits * p + DEVIATIONS * (bits * p * (1 - p)) ** 0.5)
+    most = most_bits(percent, bits)
     differ = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(4)), F.lit(0))
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= most)
@@ -176,8 +181,8 @@ def _sets(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return checkpoint(found.join(wanted, ["rep", "set_key"], "left_semi").select("rep", "members"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of representatives with 100 |A and B| >= percent |A or B|, on full sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) with 100 |A and B| >= percent |A or B|, on full sets (rep, members)."""
 
     def run(batches):
         begin("minhash")
@@ -190,12 +195,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    found = _sets(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct(), docs, reps)
-    a = found.select(F.col("rep").alias("u"), F.col("members").alias("a"))
-    b = found.select(F.col("rep").alias("v"), F.col("members").alias("b"))
+    a = sets.select(F.col("rep").alias("u"), F.col("members").alias("a"))
+    b = sets.select(F.col("rep").alias("v"), F.col("members").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs of representatives that are links, on full sets made from their texts."""
+    found = _sets(pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct(), docs, reps)
+    return _compared(pairs, found, percent)
+
+
 def _mixed_buckets(placed: DataFrame, found: DataFrame) -> DataFrame:
     """(bucket, rep, n_shingles, component): the members of the buckets that hold several components."""
     now = placed.join(found, placed["m.rep"] == found["node"], "left").select("bucket", "m.rep", "m.n_shingles", F.coalesce("component", "m.rep").alias("component"))
@@ -348,12 +358,68 @@ def meetings(tokens: DataFrame) -> DataFrame:
     return dealt.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("mine"), "rep", "component")
 
 
-def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def plausible_meetings(dealt: DataFrame, percent: int, bits: int) -> DataFrame:
+    """What is left of meeting blocks by sizes and signatures: pairs (u, v) where they are no more than the sets, or else the sets.
+
+    ``dealt``: (token, lo, hi, mine, rep, component, n_shingles, s0 ... s3). So no more rows come out than go in, and sets are only
+    fetched for what can be a link.
+    """
+    most, key = most_bits(percent, bits), ["token", "lo", "hi"]
+    names = [*key, "mine", "rep", "component", "u", "v"]
+
+    def run(batches):
+        begin("minhash")
+        held: list[list[np.ndarray]] = []
+        for group in runs_of(batches, key):
+            mine, rep, component, n = (group.column(c).to_numpy() for c in ("mine", "rep", "component", "n_shingles"))
+            signature = np.stack([group.column(f"s{k}").to_numpy().view(np.uint64) for k in range(4)], 1)
+            same = group.column("lo")[0] == group.column("hi")[0]
+            a = np.flatnonzero(mine == 0)
+            b = a if same else np.flatnonzero(mine == 1)
+            if not len(a) or not len(b):
+                continue
+            seen, pairs, count = np.zeros(len(rep), bool), [], 0
+            for at in range(0, len(a), 512):
+                own = a[at : at + 512]
+                fine = 100 * np.minimum(n[own][:, None], n[b][None]) >= percent * np.maximum(n[own][:, None], n[b][None])
+                fine &= component[own][:, None] != component[b][None]
+                differ = sum(np.bitwise_count(signature[own, k][:, None] ^ signature[b, k][None]).astype(np.int16) for k in range(4))
+                i, j = np.nonzero(fine & (differ <= most))
+                i, j = own[i], b[j]
+                seen[i] = seen[j] = True
+                if same:
+                    i, j = i[i < j], j[i < j]
+                count += len(i)
+                if count <= len(rep):
+                    pairs.append((i, j))
+            if 0 < count <= len(rep):
+                u, v = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+                empty = np.full(len(u), -1)
+                held.append([empty, empty, empty, empty, empty, empty, np.maximum(rep[u], rep[v]), np.minimum(rep[u], rep[v])])
+            elif count:
+                left, empty = np.flatnonzero(seen), np.full(int(seen.sum()), -1)
+                held.append([*(group.column(c).to_numpy()[left] for c in key), mine[left], rep[left], component[left], empty, empty])
+            if len(held) > 500:
+                yield _columns(held, names)
+                held = []
+        if held:
+            yield _columns(held, names)
+
+    rows = dealt.repartition(shuffle_partitions(dealt.sparkSession), *key).sortWithinPartitions(*key)
+    return rows.mapInArrow(run, "token long, lo int, hi int, mine int, rep long, component long, u long, v long")
+
+
+def _columns(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 4]
+    return pa.record_batch([pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, bits: int) -> DataFrame:
     """(u, v): links that join what is left of the components of the buckets, decided on the full sets.
 
-    ``members``: (bucket, rep, n_shingles, component). Each set is fetched once. Sets that can be linked share one of their rarest values,
-    so only these are exchanged; where sets of several components share one, they are compared in blocks, and
-    most near misses, whose rarest values are their own, are compared with nothing. The rows
+    ``members``: (bucket, rep, n_shingles, component). Sets that can be linked share one of their rarest values,
+    so only these are exchanged; where sets of several components share one, their sizes and signatures are compared in blocks, and only what
+    they leave is compared in full: few pairs as pairs, many in blocks. The rows
     that come out are linear in the members: a forest a pair of blocks.
     """
 
@@ -376,10 +442,13 @@ def _across(members: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
 
     nodes = checkpoint(members.select("rep", "component").distinct())
     sets = checkpoint(_sets(nodes.select("rep"), docs, reps).join(nodes, "rep"))
-    dealt = meetings(_tokens(sets, percent))
+    signed = meetings(_tokens(sets, percent)).join(reps.select("rep", "n_shingles", "s0", "s1", "s2", "s3"), "rep")
+    left = checkpoint(plausible_meetings(signed.select("token", "lo", "hi", "mine", "rep", "component", "n_shingles", "s0", "s1", "s2", "s3"), percent, bits))
+    pairs = checkpoint(left.where("u >= 0").select("u", "v").distinct())
     key = ["token", "lo", "hi"]
-    rows = dealt.join(sets.select("rep", "members"), "rep").repartition(shuffle_partitions(docs.sparkSession), *key)
-    return rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long")
+    rows = left.where("u < 0").join(sets.select("rep", "members"), "rep").repartition(shuffle_partitions(docs.sparkSession), *key)
+    blocks = rows.sortWithinPartitions(*key).select(*key, "mine", "rep", "component", "members").mapInArrow(run, "u long, v long")
+    return blocks.unionByName(_compared(pairs, sets.select("rep", "members"), percent))
 
 
 def linked(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -401,7 +470,7 @@ def linked(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = R
     to_least = checkpoint(to_least.select(F.col("m.rep").alias("u"), F.col("c.rep").alias("v")).distinct())
     links = checkpoint(_confirmed(to_least, docs, reps, percent))
     # what is left: all against all in a bucket that still holds several components
-    more = _across(_mixed_buckets(placed, components(links)), docs, reps, percent)
+    more = _across(_mixed_buckets(placed, components(links)), docs, reps, percent, bands * rows)
     whole = components(links.union(more))
     of_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "body", "n_shingles", "set_key").join(of_class, "set_key", "left")
