@@ -22,11 +22,13 @@ table gives no rows. Very long texts take memory in proportion to their words.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -235,16 +237,23 @@ def build(shares, left, order: int = ORDER) -> Model:
     return Model(languages, tables(shares, 0), tables(left, 1))
 
 
+def _frame(rows: DataFrame) -> pd.DataFrame:
+    """The rows on the driver by way of Arrow, without a Python object a row; equal strings are one object."""
+    return rows.toArrow().to_pandas(self_destruct=True, split_blocks=True)
+
+
 def train(labelled: DataFrame, order: int = ORDER, quota: int = QUOTA) -> Model | None:
     """Fit on all rows of (doc_id, text, lang) with a language and a text; the driver takes what tasks will hold."""
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     held_out = F.floor(crc_fold("doc_id", 3 * HELD_OUT) / 3) == 0  # independent of the remainder by 3
     words = written(word_counts(labelled.where(~held_out)))
     shares, left = model_tables(words, order, quota)
-    shares = shares.toPandas()
+    shares = _frame(shares)
     if not len(shares):
         return None
-    model = build(shares, left.toPandas(), order)
+    model = build(shares, _frame(left), order)
+    del shares
+    gc.collect()
     model.mean, model.spread = word_statistics(words, model)
     model.limit = calibrated_limit(labelled.where(held_out), model)
     return model
