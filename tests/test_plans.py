@@ -1,6 +1,6 @@
 import json
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import matrices as M
+from tidemark.operators.crosssection import column_correlation
 from tidemark.operators.ewm import ewm_covariance
-from tidemark.operators.features import feature_panel, macd_score, return_vol
+from tidemark.operators.features import clip_rates, feature_panel, macd_score, return_vol, winsorised
 from tidemark.plans import attribution as A
 from tidemark.plans import backtest as B
 from tidemark.plans import riskmodel as R
@@ -402,3 +403,71 @@ def test_decayed_sums_read_their_input_once(spark):
         np.testing.assert_allclose(got.s.astype(float), want.to_numpy(), rtol=1e-8)
     finally:
         spark.sql("drop table decayed_once")
+
+
+def test_buy_and_hold_in_windows_equals_a_replay(spark):
+    """Against a plain loop: whole shares on the first bar, a ticker that starts later is not bought, gaps keep the last price."""
+    draw = np.random.default_rng(5)
+    rows = [(datetime(2020, 1, 1) + timedelta(days=d), t, 50.0 + 10 * k + float(draw.normal())) for d in range(30) for k, t in enumerate("ABC") if not (t == "C" and d < 4) and not (t == "B" and d in (7, 8))]
+    leg = B.Leg("h", "buy_hold", cash=10_000.0, cost_bps=3.0)
+    panel = spark.createDataFrame(rows, P.PANEL)
+    folded = B.fold_legs(B.sticky_prices(panel), [leg])
+    got = {(r.date, r.ticker): r for r in B.holdings(folded).collect()}
+    days = sorted({r[0] for r in rows})
+    last, cash, shares, before, equity_before = {}, leg.cash, {}, {}, None
+    for day in days:
+        last |= {t: c for d, t, c in rows if d == day}
+        equity = cash + sum(n * last[t] for t, n in shares.items())
+        weights = {t: shares.get(t, 0) * before[t] / equity_before if equity_before and t in before else 0.0 for t in last}
+        ordered = {} if shares else {t: round(1 / len(last) * equity / c) for t, c in last.items()}
+        for t, n in ordered.items():
+            shares[t] = n
+            cash -= n * last[t] + n * last[t] * 3e-4
+        for t, c in last.items():
+            r = got.pop((day.date(), t))
+            assert (r.price, r.quantity, r.ordered) == (c, shares.get(t, 0), ordered.get(t, 0))
+            assert (r.weight, r.equity, r.cash) == pytest.approx((weights[t], equity, cash))
+        before, equity_before = dict(last), equity
+    assert not got
+    assert "MapInArrow" not in folded._jdf.queryExecution().toString()
+    assert {r.ticker for r in B.trade_log(folded).collect()} == {"A", "B"}
+    assert B.trade_log(B.fold_legs(B.sticky_prices(panel), [B.Leg("none", "buy_hold", cash=0.0)])).count() == 0
+    both = B.fold_legs(B.leg_inputs(panel, macd_score(panel)), [B.Leg("t"), leg]).groupBy("leg").count().collect()
+    assert {(r.leg, r["count"]) for r in both} == {("t", 30), ("h", 30)}
+
+
+def test_volatility_counts_scored_or_held_bars(spark):
+    """Scored on every second bar: until the 61st score only those bars count, then all."""
+    draw = np.random.default_rng(6)
+    closes = 100 + np.cumsum(draw.normal(size=200))
+    days = [datetime(2020, 1, 1) + timedelta(days=d) for d in range(200)]
+    panel = spark.createDataFrame([(d, "A", float(c)) for d, c in zip(days, closes, strict=True)], P.PANEL)
+    scores = spark.createDataFrame([(d, "A", 0.5) for d in days[10::2]], "date timestamp, ticker string, score double")
+    got = {r.date: r.vol for r in B.traded_vol(panel, scores).collect()}
+    full = 10 + 2 * 60
+    counted = [*range(10, full + 1, 2), *range(full + 1, 200)]
+    r = pd.Series(np.diff(np.log(closes[counted])))
+    want = r.ewm(span=60, min_periods=60).std()
+    assert len(got) == len(counted) - 1
+    for at, v in zip(counted[1:], want, strict=True):
+        assert (got[days[at]] is None) == np.isnan(v)
+        assert np.isnan(v) or got[days[at]] == pytest.approx(v)
+    assert got[days[full]] is not None
+
+
+def test_column_correlations_and_clip_rates(spark):
+    draw = np.random.default_rng(7)
+    frame = pd.DataFrame(draw.normal(size=(400, 3)), columns=list("abc"))
+    frame.loc[:9, "b"] = np.nan
+    frame.loc[200, "a"] = 60.0
+    rows = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in frame.to_numpy()], "a double, b double, c double")
+    got = {(r.i, r.j): (r["corr"], r.n) for r in column_correlation(rows, list("abc")).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {("a", "b"): 390, ("a", "c"): 400, ("b", "c"): 390}
+    for (i, j), (corr, _) in got.items():
+        assert corr == pytest.approx(frame[i].corr(frame[j]))
+    long = spark.createDataFrame([(k, "T", c, float(v)) for c in "ac" for k, v in enumerate(frame[c])], "date int, ticker string, feature string, value double")
+    rates = {(r.halflife, r.width, r.feature): r.rate for r in clip_rates(long, (21, 31), (2.0, 5.0)).collect()}
+    for (h, w, c), rate in rates.items():
+        clipped = winsorised(long.where(F.col("feature") == c), "value", "clipped", halflife=h, width=w, keys=("ticker", "feature")).where("clipped != value").count()
+        assert rate == pytest.approx(clipped / 400)
+    assert len(rates) == 8 and rates[21, 5.0, "a"] > 0

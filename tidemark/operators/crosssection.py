@@ -77,6 +77,14 @@ def pair_correlation(rows: DataFrame, value: str, key: str = "ticker", on: str =
     return a.join(b, on).where("i < j and x is not null and y is not null").groupBy("i", "j").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
 
 
+def column_correlation(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(i, j, corr, n) of the columns ``names``, i before j, over the rows where both have a value: one aggregate of the wide table."""
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
+    both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
+    found = rows.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)], *[F.count_if(c).alias(f"n{k}") for k, c in enumerate(both)])
+    return found.select(F.inline(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"c{k}").alias("corr"), F.col(f"n{k}").alias("n")) for k, (a, b) in enumerate(pairs)])))
+
+
 def value_shares(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     counts = rows.groupBy(*(by or []), column).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*(by or []))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.panel import by_ticker, with_returns
-from .ewm import alpha, decayed_sums, ewm_moments, mean_column, observation_numbers, variance_column
+from .ewm import alpha, decayed_sums, default_periods, ewm_moments, mean_column, observation_numbers, variance_column
 
 # The look-backs, spans and windows of the features.
 LOOKBACKS = (1, 21, 63, 126, 252)
@@ -93,6 +93,26 @@ def winsorised(rows: DataFrame, value: str, out: str, *, halflife: float = WINSO
     return rows.withColumn(out, F.least(F.greatest(F.col(value), low), high)).drop("__mean", "__dev")
 
 
+def clip_rates(rows: DataFrame, halflives: tuple[float, ...], widths: tuple[float, ...] = (WINSOR_WIDTH,)) -> DataFrame:
+    """(halflife, width, feature, n, rate): the share of each feature's values that winsorised() would change, from (date, ticker, feature, value).
+
+    One scan for all half-lives and widths; values without deviations yet count as unchanged.
+    """
+    keys = ["ticker", "feature"]
+    rows = observation_numbers(rows.where("value is not null"), keys, "date")
+    decays = {k: 1 - alpha(halflife=h) for k, h in enumerate(halflives)}
+    v = F.col("value")
+    rows = decayed_sums(rows, keys, "n", {f"__{s}{k}": (x, d) for k, d in decays.items() for s, x in (("x", v), ("y", v * v))})
+    each = []
+    for k, h in enumerate(halflives):
+        d, least = decays[k], default_periods(halflife=h)
+        off, dev = F.abs(v - mean_column(d, least, f"__x{k}")), F.sqrt(variance_column(d, least, f"__x{k}", f"__y{k}"))
+        each += [(h, w, F.avg(F.coalesce(off > w * dev, F.lit(False)).cast("double"))) for w in widths]
+    found = rows.groupBy("feature").agg(F.count("*").alias("n"), *[rate.alias(f"r{k}") for k, (_, _, rate) in enumerate(each)])
+    grid = F.array(*[F.struct(F.lit(h).alias("halflife"), F.lit(w).alias("width"), F.col(f"r{k}").alias("rate")) for k, (h, w, _) in enumerate(each)])
+    return found.select("feature", "n", F.inline(grid)).select("halflife", "width", "feature", "n", "rate")
+
+
 def feature_panel(panel: DataFrame, squash_momentum: bool = False, squash_macd: bool = True, winsorise: bool = True) -> DataFrame:
     """(date, ticker, mom_1 ... mom_252, macd_8_24 ...): squashed where asked, then winsorised; null while warming up."""
     names = [*(f"mom_{k}" for k in LOOKBACKS), *(f"macd_{s}_{l}" for s, l in MACD_PAIRS)]

@@ -1,6 +1,6 @@
 """Backtest legs and diagnostics.
 
-Everything that doesn't depend on a leg's own equity is a window plan. Only integer shares against own equity make a fold
+Everything that doesn't depend on a leg's own equity is a window plan, buy and hold included. Only integer shares against own equity make a fold
 over bars; legs are folded side by side, so a sweep over settings scales by its legs. A task reads one bar at a time, as one row
 with the bar's tickers in an array, and holds a leg's cash, shares and last prices.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -61,18 +62,28 @@ class Leg:
 
 
 def traded_vol(panel: DataFrame, scores: DataFrame) -> DataFrame:
-    """(date, ticker, vol): deviation of log returns counted from the first bar on which the ticker is scored."""
-    first = scores.groupBy("ticker").agg(F.min("date").alias("first"))
-    rows = dense_panel(panel).join(first, "ticker").where("date >= first and sticky is not null")
+    """(date, ticker, vol): deviation of log returns over the bars on which the ticker is scored or held.
+
+    A ticker is held after its first scored bar with a known deviation, which needs VOL_SPAN returns between scored bars; until then only
+    scored bars count. Holding is taken from that bar on, also where a book rounds to no share.
+    """
+    scored = scores.select("date", "ticker", F.lit(True).alias("__scored"))
+    rows = dense_panel(panel).where("sticky is not null").join(scored, ["date", "ticker"], "left")
+    seen = F.count("__scored").over(Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__seen", seen).where(F.col("__scored") | (F.col("__seen") > VOL_SPAN))
     last = F.lag("sticky").over(Window.partitionBy("ticker").orderBy("date"))
     rows = rows.withColumn("r", F.log(F.col("sticky") / last)).where("r is not null")
     return ewm_moments(rows, ["ticker"], "date", "r", "__m", "vol", span=VOL_SPAN, periods=VOL_SPAN).select("date", "ticker", "vol")
 
 
+def sticky_prices(panel: DataFrame) -> DataFrame:
+    """(date, ticker, price): the last close seen, of every bar since a ticker's first."""
+    return dense_panel(panel).where("sticky is not null").select("date", "ticker", F.col("sticky").alias("price"))
+
+
 def leg_inputs(panel: DataFrame, scores: DataFrame) -> DataFrame:
     """(date, ticker, price, score, vol): sticky prices of every bar, and scores and volatilities where they exist."""
-    rows = dense_panel(panel).where("sticky is not null").select("date", "ticker", F.col("sticky").alias("price"))
-    return rows.join(scores, ["date", "ticker"], "left").join(traded_vol(panel, scores), ["date", "ticker"], "left")
+    return sticky_prices(panel).join(scores, ["date", "ticker"], "left").join(traded_vol(panel, scores), ["date", "ticker"], "left")
 
 
 SOLVE = "struct<status: string, vol: double, gross: double, turnover: double>"
@@ -87,6 +98,32 @@ def unknown_bounds(names: list[str], snaps: DataFrame) -> list[str]:
     return sorted(r["name"] for r in missing.distinct().collect())
 
 
+def hold_leg(prices: DataFrame, leg: Leg) -> DataFrame:
+    """Buy and hold as fold_legs() gives it, from (date, ticker, price): equal parts of the cash on the first bar, in whole shares.
+
+    Nothing depends on earlier equity, so it is aggregates by date and a window by ticker; only equities, a row a date, pass a window
+    without keys. A leg without cash buys nothing.
+    """
+    prices = prices.select(F.to_date("date").alias("date"), "ticker", "price")
+    first = prices.agg(F.min("date").alias("first"))  # one row, as is what is spent
+    start = prices.join(F.broadcast(first), F.col("date") == F.col("first")).withColumn("target", 1 / F.count("*").over(Window.partitionBy("first")))
+    shares = F.bround(F.col("target") * leg.cash / F.col("price")) if leg.cash > 0 else F.lit(0)
+    start = start.select("ticker", F.col("price").alias("paid"), "target", shares.cast("long").alias("quantity"), "first")
+    spent = start.groupBy("first").agg(F.sum(F.col("quantity") * F.col("paid") + F.abs("quantity") * F.col("paid") * (leg.cost_bps / 1e4)).alias("spent"))
+    rows = prices.join(start.drop("first"), "ticker", "left").withColumn("quantity", F.coalesce("quantity", F.lit(0).cast("long")))
+    rows = rows.withColumn("before", F.lag("price").over(Window.partitionBy("ticker").orderBy("date")))
+    worth = rows.groupBy("date").agg(F.sum(F.col("quantity") * F.col("price")).alias("worth")).join(F.broadcast(spent), F.lit(True))
+    fresh = F.col("date") == F.col("first")
+    cash = F.lit(leg.cash) - F.col("spent")
+    worth = worth.select("date", fresh.alias("fresh"), cash.alias("cash"), F.when(fresh, F.lit(leg.cash)).otherwise(cash + F.col("worth")).alias("equity"))
+    worth = worth.withColumn("last", F.lag("equity").over(Window.orderBy("date")))
+    bought = F.col("fresh") & F.lit(leg.cash > 0)
+    weight = F.coalesce(F.try_divide(F.col("quantity") * F.col("before"), "last"), F.lit(0.0))
+    one = F.struct("ticker", "price", "quantity", weight.alias("weight"), F.when(bought, F.col("quantity")).otherwise(0).alias("ordered"), F.when(bought, F.col("target")).alias("target"))
+    held = rows.join(worth, "date").groupBy("date").agg(F.first("equity").alias("equity"), F.first("cash").alias("cash"), F.sort_array(F.collect_list(one)).alias("held"))
+    return held.select(F.lit(leg.name).alias("leg"), "date", "equity", "cash", "held", F.lit(None).cast(SOLVE).alias("solve"))
+
+
 def fold_legs(inputs: DataFrame, legs: list[Leg], snaps: DataFrame | None = None) -> DataFrame:
     """One row a leg and bar: equity before the bar's orders, and the holdings after them, filled at the bar's price.
 
@@ -94,6 +131,10 @@ def fold_legs(inputs: DataFrame, legs: list[Leg], snaps: DataFrame | None = None
     where there was none). ``snaps``: (date, tickers, factors, b, f, d, sigma) for optimised legs, which stay flat until there is one; ``solve`` is
     what their solver said. ValueError if a bound names a factor that a snapshot doesn't have.
     """
+    plain = [hold_leg(inputs, leg) for leg in legs if leg.kind == "buy_hold"]
+    legs = [leg for leg in legs if leg.kind != "buy_hold"]
+    if not legs:
+        return reduce(DataFrame.unionByName, plain)
     table = {leg.name: leg for leg in legs}
     bars = inputs.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("ticker", "price", "score", "vol"))).alias("rows"))
     if snaps is None:
@@ -118,7 +159,7 @@ def fold_legs(inputs: DataFrame, legs: list[Leg], snaps: DataFrame | None = None
                 out.append({"leg": bar["leg"], "date": bar["date"], **book.step(bar["rows"], bar["snap"])})
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    return dealt.mapInArrow(run, FOLDED)
+    return reduce(DataFrame.unionByName, plain, dealt.mapInArrow(run, FOLDED))
 
 
 def holdings(folded: DataFrame) -> DataFrame:
@@ -167,7 +208,7 @@ class Book:
         self.leg, self.cash = leg, leg.cash
         self.held: dict[str, int] = {}
         self.own, self.counted = _Running(VOL_SPAN), None
-        self.last_equity, self.before, self.started = None, {}, False
+        self.last_equity, self.before = None, {}
 
     def step(self, rows: list[dict], snap: dict | None) -> dict:
         leg, held = self.leg, self.held
@@ -180,7 +221,7 @@ class Book:
             if any(held.values()) and self.counted is not None:
                 self.own.update(math.log(equity / self.counted))
             self.counted = equity
-            weights, solve = self.targets(rows, price, value, equity, snap)
+            weights, solve = self.targets(rows, value, equity, snap)
         ordered = {t: round(w * equity / price[t]) - held.get(t, 0) for t, w in weights.items() if t in price}
         for t, n in ordered.items():
             held[t] = held.get(t, 0) + n
@@ -188,12 +229,9 @@ class Book:
         self.before, self.last_equity = price, equity
         return {"equity": equity, "cash": self.cash, "solve": solve, "held": [{"ticker": t, "price": p, "quantity": held.get(t, 0), "weight": earned[t], "ordered": ordered.get(t, 0), "target": weights.get(t)} for t, p in price.items()]}
 
-    def targets(self, rows: list[dict], price: dict, value: dict, equity: float, snap: dict | None) -> tuple[dict, dict | None]:
+    def targets(self, rows: list[dict], value: dict, equity: float, snap: dict | None) -> tuple[dict, dict | None]:
         leg = self.leg
         scores = {r["ticker"]: r["score"] for r in rows if r["score"] is not None}
-        if leg.kind == "buy_hold":
-            fresh, self.started = not self.started, True
-            return (dict.fromkeys(price, 1 / len(price)) if fresh else {}), None
         if leg.kind == "optimized":
             return _optimised(snap, scores, value, equity, leg) if snap is not None else ({}, None)
         vols = {r["ticker"]: r["vol"] * math.sqrt(TRADING_DAYS) for r in rows if r["score"] is not None and r["vol"]}

@@ -17,6 +17,7 @@ from ..operators import eigen as EI
 from ..operators import ewm as E
 from ..operators import factors as FA
 from ..operators import features as FE
+from ..operators import percentiles as PC
 from ..sources import panel as P
 from . import attribution as A
 from . import backtest as B
@@ -263,36 +264,55 @@ def winsor_clip_rate(spark, sf_dir):
     return rows.groupBy("ticker").agg(F.count("*").alias("n"), r6(F.avg((F.abs(F.col("log_return") - F.col("mean")) > 2 * F.col("std")).cast("double"))).alias("rate"))
 
 
-def _feature_sql() -> str:
-    macd = sql_macd(True)
-    ctes = [f"raw as (select * from mom join macd using (date, ticker))"]
-    names = [*MOM_NAMES, *MACD_NAMES]
-    for k, n in enumerate(names):
+ALL_NAMES = [*MOM_NAMES, *MACD_NAMES]
+
+
+def _sql_features() -> str:
+    """CTEs up to ``feats`` (date, ticker, the eight features)."""
+    ctes = ["raw as (select * from mom join macd using (date, ticker))"]
+    for k, n in enumerate(ALL_NAMES):
         ctes.append(f"raw{k} as (select date, ticker, {n} from raw)")
         ctes.append(sql_ewm(f"w{k}", f"raw{k}", n, half(31), 31, 900))
         ctes.append(f"c{k} as (select date, ticker, case when std is null then {n} else least(greatest({n}, mean - 5 * std), mean + 5 * std) end as {n} from w{k})")
-    joins = " ".join(f"left join c{k} using (date, ticker)" for k in range(len(names)))
-    return f"with {BARS}, {sql_momentum()}, {macd}, {', '.join(ctes)} select bars.date::varchar as date, bars.ticker, {', '.join(o6(f'c{k}.{n}', n) for k, n in enumerate(names))} from bars {joins}"
+    joins = " ".join(f"left join c{k} using (date, ticker)" for k in range(len(ALL_NAMES)))
+    ctes.append(f"feats as (select bars.date, bars.ticker, {', '.join(f'c{k}.{n}' for k, n in enumerate(ALL_NAMES))} from bars {joins})")
+    return f"{BARS}, {sql_momentum()}, {sql_macd(True)}, {', '.join(ctes)}"
+
+
+FEATURES = _sql_features()
+FULL = f"({' + '.join(ALL_NAMES)}) is not null"
 
 
-@query(_feature_sql())
+@query(f"with {FEATURES} select date::varchar as date, ticker, {', '.join(o6(n, n) for n in ALL_NAMES)} from feats")
 def feature_panel(spark, sf_dir):
-    return rounded(FE.feature_panel(settled(regions(spark, sf_dir))), *MOM_NAMES, *MACD_NAMES)
+    return rounded(FE.feature_panel(settled(regions(spark, sf_dir))), *ALL_NAMES)
 
 
-@query(f"with {BARS}, {sql_momentum()} select a.n as i, b.n as j, round(corr(a.v, b.v), 6) + 0.0 as corr, count(*) as n from " + " join ".join(f"(select * from (select date, ticker, unnest(['{"', '".join(MOM_NAMES)}']) as n, unnest([{', '.join(MOM_NAMES)}]) as v from mom) where v is not null) {x}" for x in "ab") + " using (date, ticker) where a.n < b.n group by all")
+def _full_features(spark, sf_dir):
+    """The rows where all eight features have a value."""
+    return FE.feature_panel(settled(regions(spark, sf_dir))).dropna(subset=ALL_NAMES)
+
+
+@query(f"with {FEATURES}, whole as (select * from feats where {FULL}) " + " union all ".join(f"select '{a}' as i, '{b}' as j, {o6(f'corr({a}, {b})', 'corr')}, count(*) as n from whole" for k, a in enumerate(ALL_NAMES) for b in ALL_NAMES[k + 1 :]))
 def feature_correlation(spark, sf_dir):
-    rows = FE.vol_scaled_momentum(regions(spark, sf_dir)).unpivot(["date", "ticker"], MOM_NAMES, "feature", "value").withColumn("place", F.struct("date", "ticker"))
-    return rounded(X.pair_correlation(rows, "value", "feature", "place"), "corr")
+    return rounded(X.column_correlation(_full_features(spark, sf_dir), ALL_NAMES), "corr")
 
 
-@query(f"with {BARS}, {sql_momentum()} select ticker, count(*) as bars, " + ", ".join(f"count(*) filter ({n} is null) as null_{n}" for n in MOM_NAMES) + f", min(date) filter ({' + '.join(MOM_NAMES)} is not null)::varchar as first_full from mom group by ticker")
+@query(f"with {FEATURES} select ticker, count(*) as bars, " + ", ".join(f"count(*) filter ({n} is null) as null_{n}" for n in ALL_NAMES) + f", min(date) filter ({FULL})::varchar as first_full from feats group by ticker")
 def feature_warmup(spark, sf_dir):
-    rows = FE.vol_scaled_momentum(regions(spark, sf_dir))
-    full = F.col(MOM_NAMES[0])
-    for n in MOM_NAMES[1:]:
-        full = full + F.col(n)
-    return rows.groupBy("ticker").agg(F.count("*").alias("bars"), *[F.count_if(F.col(n).isNull()).alias(f"null_{n}") for n in MOM_NAMES], F.min(F.when(full.isNotNull(), F.col("date"))).alias("first_full"))
+    rows = FE.feature_panel(settled(regions(spark, sf_dir)))
+    full = F.array_position(F.transform(F.array(*ALL_NAMES), lambda x: x.isNull()), True) == 0
+    return rows.groupBy("ticker").agg(F.count("*").alias("bars"), *[F.count_if(F.col(n).isNull()).alias(f"null_{n}") for n in ALL_NAMES], F.min(F.when(full, F.col("date"))).alias("first_full"))
+
+
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+@query(f"with {FEATURES}, whole as (select * from feats where {FULL}) " + " union all ".join(
+    f"select '{n}' as feature, count(*) as n, {o6(f'avg({n})', 'mean')}, {o6(f'stddev_samp({n})', 'std')}, {o6(f'min({n})', 'least')}, {', '.join(o6(f'quantile_cont({n}, {p})', f'p{int(100 * p)}') for p in QUARTERS)}, {o6(f'max({n})', 'most')} from whole" for n in ALL_NAMES))
+def feature_summary(spark, sf_dir):
+    """Count, moments, range and quartiles of each feature over the rows where all have a value."""
+    return rounded(PC.described(settled(_full_features(spark, sf_dir)), ALL_NAMES, QUARTERS).withColumnRenamed("column", "feature"), "mean", "std", "least", "p25", "p50", "p75", "most")
 
 
 # --- cross-sections ------------------------------------------------------------------------
@@ -412,7 +432,9 @@ def worst_pairs_12(spark, sf_dir):
 def correlation_spread(spark, sf_dir):
     corr = X.pair_correlation(P.with_returns(P.lineitem_bars(spark, sf_dir, "n_name")), "log_return")
     size = F.abs("corr")
-    return corr.agg(r6(F.percentile(size, 0.95)).alias("p95"), r6(F.avg(size)).alias("mean"), r6(F.avg((size > 0.05).cast("double"))).alias("high"))
+    corr = settled(corr.select(size.alias("size")))
+    p95 = PC.exact_percentiles(corr, {"size": (0.95,)})["size"][0]
+    return corr.agg(r6(F.lit(p95)).alias("p95"), r6(F.avg("size")).alias("mean"), r6(F.avg((F.col("size") > 0.05).cast("double"))).alias("high"))
 
 
 # --- covariances, one factor ---------------------------------------------------------------
@@ -584,29 +606,24 @@ def exposure_collinearity(spark, sf_dir):
 
 # --- clip rates, correlations, bounds ------------------------------------------------------
 
-HALFLIVES = (21, 31, 63)
+HALFLIVES, WIDTHS = (21, 31, 63), (2.0, FE.WINSOR_WIDTH)
 
 
 def _sql_clip_grid() -> str:
     ctes, rows = [], []
     for h in HALFLIVES:
-        for n in MOM_NAMES[:2]:
-            name = f"g{h}_{n}"
-            ctes.append(f"{name}_in as (select date, ticker, {n} from mom where {n} is not null), {sql_ewm(name, f'{name}_in', n, half(h), h, 1200)}")
-            rows.append(f"select {h} as halflife, '{n}' as feature, count(*) as n, round(avg(case when std is not null and abs({n} - mean) > 2 * std then 1.0 else 0.0 end), 6) + 0.0 as rate from {name}")
-    return f"with {BARS}, {sql_momentum()}, {', '.join(ctes)} {' union all '.join(rows)}"
+        for n in ALL_NAMES:
+            name, source = f"g{h}_{n}", "mom" if n in MOM_NAMES else "macd"
+            ctes.append(f"{name}_in as (select date, ticker, {n} from {source} where {n} is not null), {sql_ewm(name, f'{name}_in', n, half(h), h, 30 * h)}")
+            rows += [f"select {h} as halflife, {w}::double as width, '{n}' as feature, count(*) as n, round(avg(case when std is not null and abs({n} - mean) > {w} * std then 1.0 else 0.0 end), 6) + 0.0 as rate from {name}" for w in WIDTHS]
+    return f"with {BARS}, {sql_momentum()}, {sql_macd(True)}, {', '.join(ctes)} {' union all '.join(rows)}"
 
 
 @query(_sql_clip_grid())
 def winsor_clip_grid(spark, sf_dir):
-    """The share of each feature's values that a clip at two running deviations would change, by half-life."""
-    rows = FE.vol_scaled_momentum(settled(regions(spark, sf_dir))).unpivot(["date", "ticker"], MOM_NAMES[:2], "feature", "value").where("value is not null")
-    rows, out = settled(rows), None
-    for h in HALFLIVES:
-        clipped = FE.winsorised(rows, "value", "clipped", halflife=h, width=2.0, keys=("ticker", "feature"))
-        found = clipped.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg((F.col("clipped") != F.col("value")).cast("double"))).alias("rate")).select(F.lit(h).alias("halflife"), "feature", "n", "rate")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """The share of each feature's values that a clip at two and at five running deviations would change, by half-life."""
+    rows = FE.feature_panel(settled(regions(spark, sf_dir)), winsorise=False).unpivot(["date", "ticker"], ALL_NAMES, "feature", "value")
+    return rounded(FE.clip_rates(rows, HALFLIVES, WIDTHS), "rate")
 
 
 @query(f"with {NATIONS}, {CORR.replace('bars', 'nations')} select round(avg(abs(corr)), 6) + 0.0 as mean, round(avg(case when abs(corr) > 0.5 then 1.0 else 0.0 end), 6) + 0.0 as high from corrs")
@@ -640,6 +657,21 @@ def universe_union(spark, sf_dir):
     return traded.unionByName(named).groupBy("ticker").agg(F.min("ord").alias("ord"))
 
 
+TRADED = f"""{sql_macd(True)}, grid as (select date, ticker, last_value(close ignore nulls) over (partition by ticker order by date) as price
+  from (select distinct date from bars) cross join (select distinct ticker from bars) left join bars using (date, ticker)),
+seen as (select date, ticker, price, score is not null as scored, count(score) over (partition by ticker order by date) as k
+  from grid left join (select date, ticker, {SCORE} as score from macd) using (date, ticker) where price is not null),
+moved as (select date, ticker, ln(price / lag(price) over (partition by ticker order by date)) as r from seen where scored or k > 60),
+{sql_ewm('v', 'moved', 'r', span(60), 60)}"""
+
+
+@query(f"with {BARS}, {TRADED} select date::varchar as date, ticker, {o6('std', 'vol')} from v")
+def traded_vol(spark, sf_dir):
+    """Deviation over the bars on which a region is scored or held."""
+    panel = settled(regions(spark, sf_dir))
+    return rounded(B.traded_vol(panel, FE.macd_score(panel)), "vol")
+
+
 # --- a leg and its attribution -------------------------------------------------------------
 
 HOLD = B.Leg("buy and hold", "buy_hold", cost_bps=1.0)
@@ -661,7 +693,7 @@ tied as (select *, avg(x) over () as m, ret - x * f - (wr - x * f) as other, sqr
 
 
 def _held(panel):
-    return B.fold_legs(B.leg_inputs(panel, FE.macd_score(panel)), [HOLD])
+    return B.hold_leg(settled(B.sticky_prices(panel)), HOLD)
 
 
 def _one_snapshots(model):
