@@ -18,6 +18,7 @@ from ..operators import ewm as E
 from ..operators import factors as FA
 from ..operators import features as FE
 from ..operators import percentiles as PC
+from ..operators.sliding import sliding_std
 from ..sources import panel as P
 from . import attribution as A
 from . import backtest as B
@@ -208,7 +209,7 @@ def ewm_std_span(spark, sf_dir):
 @query(f"with {BARS}, {RETURNS} select date::varchar as date, ticker, case when count(r) over w = 63 then round(stddev_samp(r) over w, 6) + 0.0 end as std from rets window w as (partition by ticker order by date rows 62 preceding)")
 def rolling_std_63(spark, sf_dir):
     rows = P.with_returns(regions(spark, sf_dir))
-    return rows.select("date", "ticker", r6(FE.rolling_std("log_return", 63)).alias("std"))
+    return sliding_std(rows, "log_return", 63, ["ticker"], "date", "std").select("date", "ticker", r6("std").alias("std"))
 
 
 @query(f"with {BARS} select date::varchar as date, ticker, round(ln(lag(close, 252) over (partition by ticker order by date)), 6) + 0.0 as log_before from bars")
