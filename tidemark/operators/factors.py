@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .ewm import ewm_covariance
 
@@ -49,10 +50,11 @@ def one_factor(returns: DataFrame, weights: DataFrame, *, span: float, periods:
     market = joined.groupBy("bar").agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).alias("value"))
     both = returns.select("bar", "ticker", "value").union(market.select("bar", F.lit(" market").alias("ticker"), "value"))
     cov = ewm_covariance(both, span=span, periods=periods).where("cov is not null")
-    own = cov.where("i = j").select("bar", F.col("i").alias("ticker"), F.col("cov").alias("var")).where("ticker != ' market'")
-    factor = cov.where("i = ' market' and j = ' market'").select("bar", F.col("cov").alias("factor_var"))
-    cross = cov.where("i = ' market' and j != ' market'").select("bar", F.col("j").alias("ticker"), F.col("cov").alias("cross"))
-    rows = own.join(cross, ["bar", "ticker"]).join(factor, "bar").where("factor_var > 0")
+    # a ticker's variance and its covariance with the market are two rows of one reading, the market's own variance a third; no joins
+    rows = cov.where("i = j or i = ' market'").select("bar", F.when(F.col("i") == " market", F.col("j")).otherwise(F.col("i")).alias("ticker"), "i", "j", "cov").repartition("bar")
+    rows = rows.groupBy("bar", "ticker").agg(F.max(F.when(F.expr("i = j"), F.col("cov"))).alias("var"), F.max(F.when(F.col("i") == " market", F.col("cov"))).alias("cross"))
+    rows = rows.withColumn("factor_var", F.max(F.when(F.col("ticker") == " market", F.col("cross"))).over(Window.partitionBy("bar")))
+    rows = rows.where("ticker != ' market' and var is not null and cross is not null and factor_var > 0")
     beta = F.col("cross") / F.col("factor_var")
     common = beta * beta * F.col("factor_var")
     capped = F.when(common > F.col("var"), beta * F.sqrt(F.col("var") / common)).otherwise(beta)
