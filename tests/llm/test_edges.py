@@ -132,3 +132,27 @@ def test_repeated_ids_keep_one_row_of_each_group(spark):
     kept = sorted((r.doc_id or 0, r.text) for r in minhash.keep_first(table).collect())
     first = min((a, b), key=lambda t: table.sparkSession.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
     assert kept == sorted([(0, a), (0, a), (1, first), (3, c)])
+
+
+def test_workers_let_a_coder_go_when_another_operator_begins(spark):
+    """A coder that the collector passes over refers to itself, and stayed in its worker through all later stages."""
+    from tidemark.llm.bpe import default_vocabulary
+    from tidemark.llm.packing import pack_documents
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    assert pack_documents(docs, default_vocabulary()).agg(F.sum("length")).first()[0] > 40
+
+    def run(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from tidemark.llm.common import begin
+
+        for batch in batches:
+            begin("another")
+            gc.unfreeze()
+            left = sum(type(x).__name__ == "WordCoder" for x in gc.get_objects())
+            yield pa.record_batch([pa.array([left] * batch.num_rows, pa.int64())], ["left"])
+
+    assert {r.left for r in spark.range(0, 16, 1, 16).mapInArrow(run, "left long").collect()} == {0}

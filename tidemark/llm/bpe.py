@@ -276,11 +276,17 @@ def coder(path: str) -> WordCoder:
     return made
 
 
+def forget() -> None:
+    """Let the coders go: they refer to themselves, so the collector must see them again to free them."""
+    coder.cache_clear()
+    gc.unfreeze()
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, ids array<int> and decoded string of every whole text."""
 
     def run(batches):
-        begin("bpe", coder.cache_clear)
+        begin("bpe", forget)
         own = coder(path)
         for part in pieces(batches):
             found = [own.encode_ids(t).astype("int32") for t in part.column(1).to_pylist()]
@@ -294,7 +300,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and the decoded text of every whole text: one row a document, no exchange."""
 
     def run(batches):
-        begin("bpe", coder.cache_clear)
+        begin("bpe", forget)
         own, sha = coder(path), hashlib.sha256
         for part in pieces(batches):
             n, a, b = [], [], []

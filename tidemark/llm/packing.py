@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import WordCoder, coder, default_vocabulary
+from .bpe import WordCoder, coder, default_vocabulary, forget
 from .common import begin, documents, pieces
 
 WINDOW = 2048
@@ -128,7 +128,7 @@ def pack_documents(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS)
     closing = CLOSE.to_bytes(4, "little")
 
     def run(batches):
-        begin("bpe", coder.cache_clear)
+        begin("bpe", forget)
         own = coder(path)
         is_end = sentence_ends(own)
         first = TaskContext.get().partitionId() << 40
