@@ -156,3 +156,25 @@ def test_workers_let_a_coder_go_when_another_operator_begins(spark):
             yield pa.record_batch([pa.array([left] * batch.num_rows, pa.int64())], ["left"])
 
     assert {r.left for r in spark.range(0, 16, 1, 16).mapInArrow(run, "left long").collect()} == {0}
+
+
+def test_words_are_split_at_ascii_white_space_only_and_without_a_slow_search():
+    """Other white space is looked for in every text; a pattern's search for it took longer than splitting."""
+    import time
+
+    from tidemark.llm.common import ascii_words
+
+    for c in map(chr, range(0x3100)):
+        text = f"aÉ{c}B x"
+        assert ascii_words(text) == [w.decode() for w in "".join(x.lower() if x.isascii() else x for x in text).encode().split()]
+    text = "x" * 4_000_000
+
+    def least(f):
+        spent = []
+        for _ in range(7):
+            since = time.process_time()
+            f()
+            spent.append(time.process_time() - since)
+        return min(spent)
+
+    assert least(lambda: ascii_words(text)) < 2.5 * least(lambda: text.lower().split())

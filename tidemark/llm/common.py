@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -94,7 +93,7 @@ def crc_fold(column: str, modulus: int) -> Column:
 
 
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_OTHER_SPACE = re.compile("[" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\v\f\r") + "]")
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\v\f\r"]
 
 
 def ascii_lower(text: str) -> str:
@@ -110,6 +109,6 @@ def ascii_words(text: str) -> list[str]:
     str.split() also splits at other white space and bytes.split() at exactly these six.
     """
     lower = ascii_lower(text)
-    if _OTHER_SPACE.search(lower) is None:
+    if not any(map(lower.__contains__, _OTHER_SPACE)):  # a search for one character is far faster than a pattern's for any
         return lower.split()
     return [w.decode("utf-8", "surrogatepass") for w in lower.encode("utf-8", "surrogatepass").split()]

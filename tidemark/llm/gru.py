@@ -422,7 +422,7 @@ def number_documents(docs: DataFrame, lex: Lexicon, fold: int = 10) -> DataFrame
                 number, tail = own.numbers(words, places)
                 numbers.append(number.astype("<u2").tobytes())
                 tails.append(tail)
-                base, within, seen = own.values[places].sum(0).tolist()
+                base, within, seen = (np.ones(len(places)) @ own.values.take(places, 0)).tolist()
                 rows.append((id_crc32(key) % fold == 0, len(words) + 1, int(seen), base, within))
             kinds = pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
             yield pa.record_batch([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], pa.array(numbers, pa.binary()), pa.array(tails, pa.list_(pa.string()))], names)
