@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import given, release, scratch
+from tidemark.functions.lineage import given, release, scratch, trim_if_due
 from tidemark.llm.bpe import default_vocabulary
 from tidemark.llm.common import documents
 from tidemark.llm.langid import accept, train
@@ -42,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trim_if_due(spark)  # the stages before and after this one do so whenever they cut lineage
     counted, removed = (fresh(name, docs.columns) for name in ("n_lines", "n_removed"))
     found = dedup_lines(docs, counted, removed).where((F.col(removed) == 0) | (F.trim("text") != ""))
     n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -57,6 +58,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trim_if_due(spark)
     return pack_documents(docs, default_vocabulary())
 
 

@@ -178,3 +178,16 @@ def test_words_are_split_at_ascii_white_space_only_and_without_a_slow_search():
         return min(spent)
 
     assert least(lambda: ascii_words(text)) < 2.5 * least(lambda: text.lower().split())
+
+
+def test_freed_native_memory_goes_back_when_lineage_is_cut(spark, monkeypatch):
+    """glibc's arenas kept what the driver's short threads had freed: the pipeline's driver grew from stage to stage."""
+    from tidemark.functions import lineage
+
+    assert lineage.trim(spark)
+    seen, trim = [], lineage.trim
+    monkeypatch.setattr(lineage, "trim", lambda s: seen.append(trim(s)))
+    monkeypatch.setattr(lineage, "TRIM_EVERY", 0.0)
+    assert lineage.settled(spark.range(3)).count() == 3
+    lineage.scratch(spark, "nothing")
+    assert seen == [True, True]
