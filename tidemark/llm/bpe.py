@@ -35,6 +35,10 @@ HEAD, MEMORY_HEADS = 5, 150_000
 #: Longer chunks and words are encoded anew each time.
 MEMORY_CHARS = 48
 PLAIN_ENDS = frozenset(".,;:!?")
+#: Texts are encoded together up to so many characters.
+TOGETHER_CHARS = 2_000_000
+#: Places of the memory of pair tests, a power of two.
+MEMORY_PAIRS = 1 << 19
 #: Moves a unit to its end-of-word variant, beyond all byte characters.
 _END = 0x1000
 _NEVER = 1 << 60
@@ -73,6 +77,14 @@ class Memory:
                 self.young[key] = got
         return got
 
+    def known(self, key: str) -> bytes | None:
+        return self.young.get(key) or self.old.get(key)
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
 
 class SuffixAutomaton:
     """States of the vocabulary's entries read unit by unit, linked to the longest suffix that is a state too.
@@ -122,8 +134,85 @@ class SuffixAutomaton:
         return after
 
 
+class WordArrays:
+    """The automaton as sorted arrays, by which the prefixes of many words are encoded side by side, a unit of all words at a time."""
+
+    UNITS = 1 << 13
+
+    def __init__(self, automaton: SuffixAutomaton, fits: Callable[[int, int], bool]):
+        steps = sorted((state * self.UNITS + ord(unit), after) for state, own in enumerate(automaton.next) for unit, after in own.items())
+        self.steps, self.after = (np.array(c) for c in zip(*steps, strict=True))
+        self.link = np.array(automaton.link)
+        self.first = np.concatenate(([0], np.cumsum(list(map(len, automaton.found)))))
+        self.token, self.length = (np.array(c) for c in zip(*[x for own in automaton.found for x in own], strict=True))
+        self.fits, self.pairs, self.fit = fits, np.full(MEMORY_PAIRS, -1), np.zeros(MEMORY_PAIRS, bool)
+
+    def fits_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pair test of each two tokens; each place of the memory has the last pair that fell there."""
+        pair = left << 32 | right
+        place = (left * 40503 + right * 2654435761 >> 7) & (MEMORY_PAIRS - 1)
+        new, held = np.flatnonzero(self.pairs[place] != pair), self.fit[place]
+        if len(new):
+            own, back = np.unique(pair[new], return_inverse=True)
+            found = np.array([self.fits(x >> 32, x & 0xFFFFFFFF) for x in own.tolist()])[back]
+            held[new] = found
+            self.pairs[place[new]] = pair[new]
+            # of two pairs for one place only one is kept, and its own result with it
+            kept = self.pairs[place[new]] == pair[new]
+            self.fit[place[new][kept]] = found[kept]
+        return held
+
+    def step(self, state: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        out, state, todo = np.zeros_like(state), state.copy(), np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.UNITS + unit[todo]
+            at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            there = self.steps[at] == key
+            out[todo[there]] = self.after[at[there]]
+            todo = todo[~there]
+            todo = todo[state[todo] > 0]
+            state[todo] = self.link[state[todo]]
+        return out
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, given as units, as little-endian 32-bit integers."""
+        sizes = np.array(list(map(len, words)))
+        order = np.argsort(-sizes, kind="stable")
+        sizes, longest = sizes[order], int(sizes.max())
+        units = np.frombuffer("".join([words[i].ljust(longest, "\0") for i in order.tolist()]).encode("utf-32-le"), "<u4").reshape(len(words), longest).astype(int)
+        last, size = np.full((len(words), longest + 1), -1), np.zeros((len(words), longest + 1), int)
+        state = np.zeros(len(words), int)
+        for end in range(1, longest + 1):
+            n = int(np.searchsorted(-sizes, -end, "right"))  # words that are as long
+            state = self.step(state[:n], units[:n, end - 1])
+            at, stop, todo = self.first[state], self.first[state + 1], np.arange(n)
+            while len(todo := todo[at[todo] < stop[todo]]):
+                token, length = self.token[at[todo]], self.length[at[todo]]
+                before = last[todo, end - length]
+                fit = length == end
+                test = np.flatnonzero(~fit & (before >= 0))
+                fit[test] = self.fits_all(before[test], token[test])
+                last[todo[fit], end], size[todo[fit], end] = token[fit], length[fit]
+                todo = todo[~fit]
+                at[todo] += 1
+        found, row, at = [], np.arange(len(words)), sizes.copy()
+        while len(row):
+            if not size[row, at].all():
+                raise ValueError("the vocabulary lacks a unit")
+            found.append((row, last[row, at]))
+            at = at - size[row, at]
+            row, at = row[at > 0], at[at > 0]
+        rows, ids = np.concatenate([r for r, _ in found[::-1]]), np.concatenate([i for _, i in found[::-1]])
+        stream = ids[np.argsort(rows, kind="stable")].astype("<u4").tobytes()
+        edges = [0, *(4 * np.cumsum(np.bincount(rows, minlength=len(words)))).tolist()]
+        out = [b""] * len(words)
+        for k, i in enumerate(order.tolist()):
+            out[i] = stream[edges[k] : edges[k + 1]]
+        return out
+
+
 class WordCoder:
-    """Encodes words of one vocabulary file. Holds no more than the file and two bounded memories."""
+    """Encodes words of one vocabulary file. Holds no more than the file and bounded memories of chunks, words and pairs."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -147,6 +236,7 @@ class WordCoder:
         special = set(self.special.values())
         entries = ((self.units(t[: -len(self.mark)]) if self.mark and t.endswith(self.mark) and t != self.mark else t, n) for t, n in vocabulary.items() if n not in special)
         self.automaton = SuffixAutomaton(entries)
+        self.arrays = WordArrays(self.automaton, self._fits)
         self.byte_text = byte_characters()
         self.fits = lru_cache(1 << 18)(self._fits)
         self._spines: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
@@ -222,9 +312,11 @@ class WordCoder:
             at -= size[at]
         return out[::-1]
 
+    def units_of(self, word: str) -> str:
+        return self.units(word if word.isascii() and word.isprintable() else "".join([self.byte_text[b] for b in word.encode()]))
+
     def _word(self, word: str) -> bytes:
-        units = word if word.isascii() and word.isprintable() else "".join([self.byte_text[b] for b in word.encode()])
-        return b"".join([self.token_bytes[i] for i in self.encode_units(self.units(units))])
+        return b"".join([self.token_bytes[i] for i in self.encode_units(self.units_of(word))])
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space as little-endian 32-bit integers."""
@@ -260,6 +352,44 @@ class WordCoder:
                 found += [known(w) or chunk(w) for w in part]
         return b"".join(found)
 
+    def learn(self, chunks: Iterable[str]) -> None:
+        """Encode the words of these chunks that are not remembered, side by side; very long ones are left to encode_units()."""
+        new: set[str] = set()
+        for chunk in chunks:
+            new.update([chunk] if chunk.isalpha() else self._words.findall(chunk))
+        words = [w for w in new if len(w) <= MEMORY_CHARS and self.word.known(w) is None]
+        if words:
+            for word, ids in zip(words, self.arrays.encode(list(map(self.units_of, words))), strict=True):
+                self.word.put(word, ids)
+
+    def encode_all(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[tuple[object, bytes]]:
+        """Of rows of a key and a text: the key and encode() of the text. Chunks of several texts are looked up once, and their new words
+        encoded side by side."""
+        keys, held, chars = [], [], 0
+        for key, text in rows:
+            keys.append(key)
+            held.append(list(self.segments(text or "")))
+            chars += len(text or "")
+            if chars >= TOGETHER_CHARS:
+                done = list(zip(keys, self._together(held), strict=True))
+                keys, held, chars = [], [], 0
+                yield from done
+        yield from zip(keys, self._together(held), strict=True)
+
+    def _together(self, held: list[list[bytes | list[str]]]) -> list[bytes]:
+        distinct: set[str] = set()
+        for parts in held:
+            for part in parts:
+                if not isinstance(part, bytes):
+                    distinct.update(part)
+        young, old = self.chunk.young.get, self.chunk.old.get
+        ids = {c: young(c) or old(c) for c in distinct}
+        new = [c for c, known in ids.items() if known is None]
+        self.learn(new)
+        ids.update(zip(new, map(self.chunk, new), strict=True))
+        own = ids.__getitem__
+        return [b"".join([part if isinstance(part, bytes) else b"".join(map(own, part)) for part in parts]) for parts in held]
+
     def encode_ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype="<u4")
 

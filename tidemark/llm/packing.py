@@ -133,16 +133,16 @@ def pack_documents(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS)
         is_end = sentence_ends(own)
         first = TaskContext.get().partitionId() << 40
         keys, tokens, held = [], [], 0
-        for part in pieces(batches):
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                keys.append(key)
-                tokens.append(own.encode(text) + closing)
-                held += len(tokens[-1]) // 4
-                if held >= block_tokens:
-                    out = pack_block(keys, tokens, is_end, first)
-                    first = out.column(5)[-1].as_py() + 1
-                    keys, tokens, held = [], [], 0
-                    yield out
+        rows = (row for part in pieces(batches) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        for key, ids in own.encode_all(rows):
+            keys.append(key)
+            tokens.append(ids + closing)
+            held += len(tokens[-1]) // 4
+            if held >= block_tokens:
+                out = pack_block(keys, tokens, is_end, first)
+                first = out.column(5)[-1].as_py() + 1
+                keys, tokens, held = [], [], 0
+                yield out
         if keys:
             yield pack_block(keys, tokens, is_end, first)
 
