@@ -213,3 +213,30 @@ def test_new_words_are_encoded_side_by_side(monkeypatch):
     for (_, ids), text in zip(got, texts, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
     assert not alone
+
+
+def test_python_sees_each_word_once_whatever_stands_beside_it(monkeypatch):
+    """Packing took 462 CPU seconds a GB, most of them for looking up the chunks of all texts."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_vocabulary()
+    draw = random.Random(11)
+    odd = [*"''''stremvld,.! \t\n\x0b\x1c\x1d\x85\xa0　aeé١½5<>İ́", "<unk>", "</s>", "'s", "'ll", "'reve", "ßΣ", "日本", "\U0001d7d9", "🎉"]
+    texts = ["".join(draw.choices(odd, k=draw.randint(0, 24))) for _ in range(3000)]
+    texts += [f"word{'*' * (k % 7)} (word) word, 'word' word{k}" for k in range(3000)]
+    library, own = Tokenizer.from_file(path), bpe.WordCoder(path)
+    library.no_truncation()
+    library.no_padding()
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for chars in (2000, 10**7):  # several batches, and one
+        monkeypatch.setattr(bpe, "TOGETHER_CHARS", chars)
+        monkeypatch.setattr(bpe, "SIDE_BY_SIDE", 1000, raising=False)
+        assert [np.frombuffer(ids, "<u4").tolist() for _, ids in own.encode_all(enumerate(texts))] == want
+    fresh, seen = bpe.WordCoder(path), []
+    made = fresh.units_of
+    monkeypatch.setattr(fresh, "units_of", lambda word: seen.append(word) or made(word))
+    monkeypatch.setattr(fresh, "_words", None)  # no text and no chunk is cut in Python
+    monkeypatch.setattr(fresh, "chunk", None)
+    assert len(list(fresh.encode_all(enumerate(texts[3000:])))) == 3000
+    assert sorted(seen) == sorted({"word", "(", ")", ",", "'", *"0123456789", *["*" * k for k in range(1, 7)]})
+    assert list(fresh.encode_all([])) == [] and list(fresh.encode_all([(None, None), (2, "")])) == [(None, b""), (2, b"")]

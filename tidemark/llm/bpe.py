@@ -35,8 +35,13 @@ HEAD, MEMORY_HEADS = 5, 150_000
 #: Longer chunks and words are encoded anew each time.
 MEMORY_CHARS = 48
 PLAIN_ENDS = frozenset(".,;:!?")
+#: Kinds of characters, and what an apostrophe that begins a word takes with it.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Texts are encoded together up to so many characters.
-TOGETHER_CHARS = 2_000_000
+TOGETHER_CHARS = 4_000_000
+#: So many of their words are put at their places at a time.
+SIDE_BY_SIDE = 1 << 18
 #: Places of the memory of pair tests, a power of two.
 MEMORY_PAIRS = 1 << 19
 #: Moves a unit to its end-of-word variant, beyond all byte characters.
@@ -57,6 +62,42 @@ def byte_characters() -> list[str]:
     return [chr(b if b in set(own) else next(rest)) for b in range(256)]
 
 
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """Of each code point: white space, letter, digit or other, as the pre-tokenizer's pattern has them."""
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, OTHER, "u1")
+    for kind, pattern in ((SPACE, r"\s+"), (LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+")):
+        for found in regex.finditer(pattern, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+def word_array(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Where the words of a text in UTF-8 begin, and the words: what the pre-tokenizer's pattern finds one by one."""
+    raw, table = np.frombuffer(data, "u1"), kinds()
+    kind, wide = table[:256][raw], raw >= 0x80
+    if wide.any():  # all bytes of a character have its kind
+        high = raw[wide]
+        lead = high[high >= 0xC0]
+        kind[wide] = np.repeat(table[np.frombuffer(high.tobytes().decode().encode("utf-32-le"), "<u4")], 2 + (lead >= 0xE0) + (lead >= 0xF0))
+    starts = np.empty(len(raw), bool)
+    starts[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts |= (kind == DIGIT) & (raw & 0xC0 != 0x80)  # digits are words of their own
+    quotes = np.flatnonzero(starts & (raw == ord("'")))
+    for end in ENDINGS:
+        here = quotes[quotes + len(end) < len(raw)]
+        for k, letter in enumerate(end, 1):
+            here = here[raw[here + k] == letter]
+        starts[here + 1] = False
+        after = here + 1 + len(end)
+        starts[after[after < len(raw)]] = True
+    at = np.flatnonzero(starts)
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(data))
+    real = kind[at] != SPACE
+    return at[real], words.filter(pa.array(real))
+
+
 class Memory:
     """The last results of a function of a string, in two generations of bounded size."""
 
@@ -326,69 +367,86 @@ class WordCoder:
             return self.word(chunk[:-1]) + self.word(chunk[-1])
         return b"".join(map(self.word, self._words.findall(chunk)))
 
-    def segments(self, text: str) -> Iterator[bytes | list[str]]:
-        """A text's special tokens, encoded, and the lists of chunks between them.
+    def parts(self, text: str) -> list[str]:
+        """A text's special tokens, at odd places, and what stands between them."""
+        return self._split.split(text) if self._split and "<" in text else [text]
 
-        No word of the pre-tokenizer spans white space, so chunks are encoded one by one.
-        """
-        parts = self._split.split(text) if self._split and "<" in text else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                yield self.token_bytes[self.special[part]]
-            elif part:
-                plain = (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
-                # split() also cuts at the four separators, which are words here
-                yield self._words.findall(plain) if any(c in plain for c in "\x1c\x1d\x1e\x1f") else plain.split()
+    @staticmethod
+    def plain(part: str) -> str:
+        return (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
+
+    def chunks(self, plain: str) -> list[str]:
+        """No word of the pre-tokenizer spans white space, so chunks are encoded one by one."""
+        # split() also cuts at the four separators, which are words here
+        return self._words.findall(plain) if any(c in plain for c in "\x1c\x1d\x1e\x1f") else plain.split()
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         found: list[bytes] = []
-        for part in self.segments(text or ""):
-            if isinstance(part, bytes):
-                found.append(part)
+        for k, part in enumerate(self.parts(text or "")):
+            if k % 2:
+                found.append(self.token_bytes[self.special[part]])
             else:
                 chunk = self.chunk
                 known = chunk.young.get  # a generation that ends meanwhile is still true
-                found += [known(w) or chunk(w) for w in part]
+                found += [known(w) or chunk(w) for w in self.chunks(self.plain(part))]
         return b"".join(found)
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encode the words of these chunks that are not remembered, side by side; very long ones are left to encode_units()."""
-        new: set[str] = set()
-        for chunk in chunks:
-            new.update([chunk] if chunk.isalpha() else self._words.findall(chunk))
-        words = [w for w in new if len(w) <= MEMORY_CHARS and self.word.known(w) is None]
-        if words:
-            for word, ids in zip(words, self.arrays.encode(list(map(self.units_of, words))), strict=True):
-                self.word.put(word, ids)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these different words. Those that are not remembered are encoded side by side; very long ones are left to
+        encode_units()."""
+        found = list(map(self.word.known, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        short = [k for k in new if len(words[k]) <= MEMORY_CHARS]
+        if short:
+            for k, ids in zip(short, self.arrays.encode([self.units_of(words[k]) for k in short]), strict=True):
+                found[k] = ids
+                self.word.put(words[k], ids)
+        for k in new:
+            if found[k] is None:
+                found[k] = self.word(words[k])
+        return found
 
     def encode_all(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[tuple[object, bytes]]:
-        """Of rows of a key and a text: the key and encode() of the text. Chunks of several texts are looked up once, and their new words
-        encoded side by side."""
+        """Of rows of a key and a text: the key and encode() of the text. The words of several texts are cut by numpy and their different
+        ones found by Arrow, so that Python handles each word once; its ids are then put at all its places."""
         keys, held, chars = [], [], 0
         for key, text in rows:
             keys.append(key)
-            held.append(list(self.segments(text or "")))
-            chars += len(text or "")
+            held.append(text or "")
+            chars += len(held[-1])
             if chars >= TOGETHER_CHARS:
-                done = list(zip(keys, self._together(held), strict=True))
+                yield from zip(keys, self._together(held), strict=True)
                 keys, held, chars = [], [], 0
-                yield from done
         yield from zip(keys, self._together(held), strict=True)
 
-    def _together(self, held: list[list[bytes | list[str]]]) -> list[bytes]:
-        distinct: set[str] = set()
-        for parts in held:
-            for part in parts:
-                if not isinstance(part, bytes):
-                    distinct.update(part)
-        young, old = self.chunk.young.get, self.chunk.old.get
-        ids = {c: young(c) or old(c) for c in distinct}
-        new = [c for c, known in ids.items() if known is None]
-        self.learn(new)
-        ids.update(zip(new, map(self.chunk, new), strict=True))
-        own = ids.__getitem__
-        return [b"".join([part if isinstance(part, bytes) else b"".join(map(own, part)) for part in parts]) for parts in held]
+    def _together(self, texts: list[str]) -> list[bytes]:
+        plain, special, edges = [], {}, [0]
+        for text in texts:
+            for k, part in enumerate(self.parts(text)):
+                if k % 2:
+                    special[len(plain)] = self.token_bytes[self.special[part]]
+                plain.append(b"" if k % 2 else self.plain(part).encode())
+            edges.append(len(plain))
+        data = b"\n".join([*plain, b""])  # white space parts the words of one text from the next one's
+        if not data:
+            return []
+        at, words = word_array(data)
+        words = words.dictionary_encode()
+        ids = self.encode_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.array(list(map(len, ids)), "i4") // 4
+        table, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=int) - sizes
+        own, ends = words.indices.to_numpy(), np.zeros(len(at) + 1, int)
+        np.cumsum(sizes[own], out=ends[1:])
+        stream = bytearray(4 * int(ends[-1]))
+        ids_at = np.frombuffer(stream, "<u4")
+        for low in range(0, len(own), SIDE_BY_SIDE):  # a few words at a time need little memory
+            here = own[low : low + SIDE_BY_SIDE]
+            begin, end = ends[low], ends[low + len(here)]
+            ids_at[begin:end] = table[np.repeat(first[here] - ends[low : low + len(here)], sizes[here]) + np.arange(begin, end)]
+        to = (4 * ends[np.searchsorted(at, np.cumsum([0, *[len(p) + 1 for p in plain]]))]).tolist()
+        found = [special.get(k) or bytes(stream[to[k] : to[k + 1]]) for k in range(len(plain))]
+        return [found[a] if b - a == 1 else b"".join(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def encode_ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype="<u4")
