@@ -240,3 +240,16 @@ def test_python_sees_each_word_once_whatever_stands_beside_it(monkeypatch):
     assert len(list(fresh.encode_all(enumerate(texts[3000:])))) == 3000
     assert sorted(seen) == sorted({"word", "(", ")", ",", "'", *"0123456789", *["*" * k for k in range(1, 7)]})
     assert list(fresh.encode_all([])) == [] and list(fresh.encode_all([(None, None), (2, "")])) == [(None, b""), (2, b"")]
+
+
+def test_a_very_long_text_is_cut_at_white_space_for_encoding(monkeypatch):
+    """A text of 19 million characters took 540 MB beyond the coder."""
+    assert [*bpe.slices(b"", 4)] == [b""] and [*bpe.slices(b"abcdefgh", 4)] == [b"abcdefgh"]
+    assert [*bpe.slices(b"abcdef gh\tijklm  no", 4)] == [b"abcdef", b" gh\tijklm", b"  no"]
+    own, sizes = bpe.WordCoder(bpe.default_vocabulary()), []
+    text = "\n".join(f"word{k} it's\t<unk> é{'x' * (k % 90)},\x0b日本 " for k in range(500))
+    want, made = own.encode(text), own._side_by_side
+    monkeypatch.setattr(own, "_side_by_side", lambda plain: sizes.append(sum(map(len, plain))) or made(plain))
+    monkeypatch.setattr(bpe, "TOGETHER_CHARS", 300)
+    assert list(own.encode_all([(1, text), (2, None), (3, text.replace("<unk>", ""))])) == [(1, want), (2, b""), (3, own.encode(text.replace("<unk>", "")))]
+    assert max(sizes) < 900

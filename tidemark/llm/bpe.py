@@ -17,6 +17,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -37,6 +38,7 @@ MEMORY_CHARS = 48
 PLAIN_ENDS = frozenset(".,;:!?")
 #: Kinds of characters, and what an apostrophe that begins a word takes with it.
 SPACE, LETTER, DIGIT, OTHER = range(4)
+_SPACE = re.compile(rb"[ \t-\r]")
 ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 #: Texts are encoded together up to so many characters.
 TOGETHER_CHARS = 4_000_000
@@ -98,6 +100,15 @@ def word_array(data: bytes) -> tuple[np.ndarray, pa.Array]:
     return at[real], words.filter(pa.array(real))
 
 
+def slices(plain: bytes, most: int) -> Iterator[bytes]:
+    """A text in parts of little more than ``most`` bytes, cut at white space."""
+    low = 0
+    while len(plain) - low > most and (space := _SPACE.search(plain, low + most)):
+        yield plain[low : space.start()]
+        low = space.start()
+    yield plain[low:] if low else plain
+
+
 class Memory:
     """The last results of a function of a string, in two generations of bounded size."""
 
@@ -426,11 +437,26 @@ class WordCoder:
             for k, part in enumerate(self.parts(text)):
                 if k % 2:
                     special[len(plain)] = self.token_bytes[self.special[part]]
-                plain.append(b"" if k % 2 else self.plain(part).encode())
+                    plain.append(b"")
+                else:
+                    plain += slices(self.plain(part).encode(), TOGETHER_CHARS)
             edges.append(len(plain))
+        found: list[bytes] = []
+        held, size = [], 0
+        for part in plain:  # a very long text is many of them
+            held.append(part)
+            size += len(part)
+            if size >= TOGETHER_CHARS:
+                found += self._side_by_side(held)
+                held, size = [], 0
+        if held:
+            found += self._side_by_side(held)
+        for k, ids in special.items():
+            found[k] = ids
+        return [found[a] if b - a == 1 else b"".join(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _side_by_side(self, plain: list[bytes]) -> list[bytes]:
         data = b"\n".join([*plain, b""])  # white space parts the words of one text from the next one's
-        if not data:
-            return []
         at, words = word_array(data)
         words = words.dictionary_encode()
         ids = self.encode_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -445,8 +471,8 @@ class WordCoder:
             begin, end = ends[low], ends[low + len(here)]
             ids_at[begin:end] = table[np.repeat(first[here] - ends[low : low + len(here)], sizes[here]) + np.arange(begin, end)]
         to = (4 * ends[np.searchsorted(at, np.cumsum([0, *[len(p) + 1 for p in plain]]))]).tolist()
-        found = [special.get(k) or bytes(stream[to[k] : to[k + 1]]) for k in range(len(plain))]
-        return [found[a] if b - a == 1 else b"".join(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        view = memoryview(stream)
+        return [bytes(view[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
 
     def encode_ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encode(text), dtype="<u4")
